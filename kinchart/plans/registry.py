@@ -79,6 +79,6 @@ def with_relations(sql: str) -> str:
     visit(sql)
     if not ordered:
         return sql
-    parts = ",\n".join(f"{n} as (\n{_text(n)}\n)" for n in ordered)
+    parts = ",\n".join(f"{n} as materialized (\n{_text(n)}\n)" for n in ordered)
     recursive = "recursive " if any("recursive:" in _text(n) for n in ordered) else ""
     return f"with {recursive}{parts}\n{sql}"
