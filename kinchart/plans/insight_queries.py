@@ -9,7 +9,12 @@ from kinchart.sources.fixtures import AS_OF
 
 PRED = "id bigint, user_id bigint, disease_name string, probability double, risk_level string, is_active boolean"
 NOW = "timestamp '2001-06-01 00:00:00'"
-now = F.lit("2001-06-01 00:00:00").cast("timestamp")
+
+
+def now():
+    return F.lit("2001-06-01 00:00:00").cast("timestamp")
+
+
 
 query("active_predictions", PRED, "select * from fx_predictions where is_active")(
     lambda t: I.active_predictions(t.predictions)
@@ -217,7 +222,7 @@ query(
     "invite_status",
     "id bigint, status string, is_valid boolean",
     "select * from or_invites",
-)(lambda t: I.invite_status(t.invites, now))
+)(lambda t: I.invite_status(t.invites, now()))
 query(
     "new_invites",
     "inviter_id bigint, family_member_id bigint, token string, status string, expires_at timestamp",
@@ -236,7 +241,7 @@ query(
     "token string, inviter_name string, relationship string, expires_at timestamp, family_member_id bigint",
     """select token, full_name as inviter_name, relationship, expires_at, family_member_id from or_invites i
        join fx_users u on u.id = inviter_id where is_valid""",
-)(lambda t: I.invite_details(t.invites, t.users, now))
+)(lambda t: I.invite_details(t.invites, t.users, now()))
 
 
 def acceptances(t):
@@ -248,11 +253,11 @@ query(
     "id bigint, status string, responded_at timestamp",
     f"""select id, case when is_valid and id % 6 = 0 then 'accepted' else status end as status,
         case when is_valid and id % 6 = 0 then {NOW} end as responded_at from or_invites""",
-)(lambda t: I.accept_invites(t.invites, t.members, acceptances(t), now)["invites"])
+)(lambda t: I.accept_invites(t.invites, t.members, acceptances(t), now())["invites"])
 query(
     "accept_invites_members",
     "id bigint, related_user_id bigint, invite_status string",
     """select m.id, case when i.id is not null then m.id + 1000000 else related_user_id end as related_user_id,
        case when i.id is not null then 'accepted' else 'not_invited' end as invite_status
        from fx_members m left join or_invites i on i.family_member_id = m.id and i.is_valid and i.id % 6 = 0""",
-)(lambda t: I.accept_invites(t.invites, t.members, acceptances(t), now)["members"])
+)(lambda t: I.accept_invites(t.invites, t.members, acceptances(t), now())["members"])
