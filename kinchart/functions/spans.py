@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` (a plain reuse would evaluate it every time)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _place(gaps: Column, matches: Column, zero_width: bool) -> Column:
     """Running positions of matches from the text pieces before them (one pass)."""
     pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("text"))
@@ -32,15 +37,36 @@ def _place(gaps: Column, matches: Column, zero_width: bool) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
+MARK = "\uE000"
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """What lies between the matches.
+
+    A mark takes the place of each match and the text is split at the marks: unlike ``split`` with
+    an expression, this compiles the expression once per task and not once per row.  Marks that the
+    text happens to contain are blanked first, which keeps all lengths.
+    """
+    marked = F.regexp_replace(F.translate(text, MARK, " "), F.lit(pattern), F.lit(MARK))
+    return F.split(marked, MARK, -1)
+
+
 def regex_spans(text: Column, pattern: str) -> Column:
     """Spans of all matches, left to right.  The pattern must not match the empty string.
 
-    ``regexp_extract_all`` gives the matches and ``split`` by the same pattern the pieces between
-    them; together they give the positions.
+    ``regexp_extract_all`` gives the matches; with the pieces between them come the positions.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    return F.coalesce(_place(gaps, matches, False), F.array().cast(SPAN))
+    return _all_spans(text, pattern, 0, False)
+
+
+def _all_spans(text: Column, pattern: str, group: int, zero_width: bool) -> Column:
+    nothing = F.array().cast(SPAN)
+
+    def spans(matches: Column) -> Column:
+        gaps = F.slice(_pieces(text, pattern), F.lit(1), F.size(matches))
+        return F.when(F.size(matches) > 0, _place(gaps, matches, zero_width)).otherwise(nothing)
+
+    return F.coalesce(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), spans), nothing)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -70,23 +96,11 @@ def vocabulary_patterns(names: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(patterns)
 
 
-def _lookahead_spans(text: Column, pattern: str) -> Column:
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    pieces = F.split(text, pattern, -1)
-    count = F.size(matches)
-    # A zero-width match at the very start leaves no empty piece in front of it.
-    at_start = F.size(pieces) == count
-    gaps = F.when(
-        at_start, F.concat(F.array(F.lit("")), F.slice(pieces, F.lit(1), F.greatest(count - 1, F.lit(0))))
-    ).otherwise(F.slice(pieces, F.lit(1), count))
-    return F.coalesce(F.when(count > 0, _place(gaps, matches, True)), F.array().cast(SPAN))
-
-
 def vocabulary_spans(text: Column, names: tuple[str, ...]) -> Column:
     """Names found between non-letters; longest first over the whole text, then by name, then left to
     right; a hit that overlaps an accepted one is dropped.
     """
-    found = F.concat(*[_lookahead_spans(text, p) for p in vocabulary_patterns(names)])
+    found = F.concat(*[_all_spans(text, p, 1, True) for p in vocabulary_patterns(names)])
     keyed = F.array_sort(
         F.transform(
             found,

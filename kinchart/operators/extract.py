@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kinchart.functions import columns as C
 from kinchart.functions import dates as D
 from kinchart.functions.islands import greedy_pairs, with_islands
-from kinchart.functions.spans import hospital_spans, overlaps, regex_spans, vocabulary_spans, without_overlap
+from kinchart.functions.spans import hospital_spans, let, regex_spans, vocabulary_spans, without_overlap
 from kinchart.operators import normalize as N
 from kinchart.sources import dimensions as dims
 from kinchart.sources import fixed_values as fixed
@@ -183,14 +183,14 @@ def find_dates(text: Column) -> Column:
         )
         return F.filter(made, lambda e: e["normalized"].isNotNull())
 
-    written = valid(regex_spans(text, dims.pattern("written_date")), 0.95, D.normalize_date)
-    numeric = valid(
-        without_overlap(regex_spans(text, dims.pattern("numeric_date")), written), 0.85, D.normalize_date
-    )
-    return F.array_sort(
-        F.concat(written, numeric),
-        lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0),
-    )
+    def with_numeric(written: Column) -> Column:
+        clear = without_overlap(regex_spans(text, dims.pattern("numeric_date")), written)
+        both = F.concat(written, valid(clear, 0.85, D.numeric_date))
+        return F.array_sort(
+            both, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
+        )
+
+    return let(valid(regex_spans(text, dims.pattern("written_date")), 0.95, D.written_date), with_numeric)
 
 
 EXTRACTORS = {
@@ -259,7 +259,10 @@ def rule_entities(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def explode_entities(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return docs.select(key, F.posexplode("entities").alias("ord", "e")).select(key, "ord", "e.*")
+    # The outer form keeps the optimizer from testing the size of the array first, which would
+    # compute the whole array a second time; the empty row it adds is dropped again.
+    rows = docs.select(key, F.posexplode_outer("entities").alias("ord", "e")).filter("ord is not null")
+    return rows.select(key, "ord", "e.*")
 
 
 def extract_documents(
