@@ -145,11 +145,16 @@ class Tables:
             elif f"fx_{name}" in VIEWS:
                 text = view_text(f"fx_{name}", "spark")
                 sources = {i: getattr(self, i.removeprefix("fx_")) for i in inputs(text)}
-                self._made[name] = self.spark.sql(text, **sources)
+                made = self.spark.sql(text, **sources)
+                self._made[name] = self.spread(made) if name == "notes" else made
             else:
                 raise AttributeError(name)
         return self._made[name]
 
+    def spread(self, docs: DataFrame) -> DataFrame:
+        """Documents over all cores: a small test file is one row group, hence one task otherwise."""
+        return docs.repartition(self.spark.sparkContext.defaultParallelism)
+
     @cached_property
     def own_records(self) -> DataFrame:
         return self.records.filter("family_member_id is null")

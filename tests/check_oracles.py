@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import threading
 import time
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -51,9 +52,14 @@ def compare(spark, con, name, build, sql, folder: str = FOLDER):
     got = canonical(spark_rows, df.columns)
     if sql is None:
         return len(got), None, seconds
-    cursor = con.execute(sql)
-    names = [d[0] for d in cursor.description]
-    want = canonical(cursor.fetchall(), names)
+    watch = threading.Timer(60, con.interrupt)
+    watch.start()
+    try:
+        cursor = con.execute(sql)
+        names = [d[0] for d in cursor.description]
+        want = canonical(cursor.fetchall(), names)
+    finally:
+        watch.cancel()
     if sorted(names) != sorted(df.columns):
         return len(got), f"columns {sorted(df.columns)} against {sorted(names)}", seconds
     if got != want:
