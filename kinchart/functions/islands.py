@@ -12,26 +12,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _carry(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """Largest ``value`` of all earlier buckets of the same key."""
-    summary = df.groupBy(*keys, "_bucket").agg(F.max(value).alias("_top"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(*keys, "_bucket", F.max("_top").over(before).alias(name))
-    return df.join(carried, [*keys, "_bucket"])
-
-
 def with_islands(df: DataFrame, keys: list[str], start: str, end: str, width: float, name: str) -> DataFrame:
-    """Add the start of the island each interval belongs to."""
-    df = df.withColumn("_bucket", F.floor(F.col(start) / width))
+    """Add the start of the island each interval belongs to.
+
+    Islands are first found inside each bucket.  Of the islands of earlier buckets only the last one
+    can reach into a bucket, so a bucket needs two values from before it: how far that island
+    reaches and where it starts.
+    """
     inside = Window.partitionBy(*keys, "_bucket").orderBy(start, end)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    df = _carry(df, keys, F.col(end), "_before").withColumn("_local", F.max(end).over(earlier))
-    reach = F.greatest("_local", "_before")
-    df = df.withColumn("_first", F.when(reach.isNull() | (F.col(start) >= reach), F.col(start)))
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    df = _carry(df, keys, F.col("_first"), "_open").withColumn("_mine", F.max("_first").over(upto))
-    return df.withColumn(name, F.coalesce("_mine", "_open")).drop(
-        "_bucket", "_before", "_local", "_first", "_open", "_mine"
+    reach = F.max(end).over(earlier)
+    opens = F.when(reach.isNull() | (F.col(start) >= reach), F.col(start))
+    local = (
+        df.withColumn("_bucket", F.floor(F.col(start) / width))
+        .withColumn("_opens", opens)
+        .withColumn("_local", F.max("_opens").over(upto))
+    )
+    order = Window.partitionBy(*keys).orderBy("_bucket")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (
+        local.groupBy(*keys, "_bucket")
+        .agg(F.max(end).alias("_top"), F.max("_local").alias("_last"))
+        .withColumn("_reach", F.max("_top").over(before))
+        .withColumn("_own", F.when(F.col("_reach").isNull() | (F.col("_last") >= F.col("_reach")), F.col("_last")))
+        .withColumn("_open", F.max("_own").over(before))
+        .select(*keys, "_bucket", "_reach", "_open")
+    )
+    joined = local.join(buckets, [*keys, "_bucket"])
+    merged = F.col("_reach").isNotNull() & (F.col("_local") < F.col("_reach"))
+    return joined.withColumn(name, F.when(merged, F.col("_open")).otherwise(F.col("_local"))).drop(
+        "_bucket", "_opens", "_local", "_reach", "_open"
     )
 
 

@@ -317,64 +317,71 @@ def overlap_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared, shorter), F.lit(0.0)).cast("double")
 
 
-def span_overlap_join(
-    rules: DataFrame, annotations: DataFrame, key: str = "doc_id", threshold: float = 0.3, width: int = 4096
+def _matched_spans(
+    rules: DataFrame, annotations: DataFrame, key: str, threshold: float, width: int
 ) -> DataFrame:
-    """Pairs (key, rule_ord, ml_ord, overlap): every rule span in order takes its best free annotation.
+    """Islands of overlapping spans of a document: rule and annotation entities, and their pairs.
 
-    Spans affect each other only through overlaps, so the greedy pass runs per island of
-    overlapping spans; a document with very many spans is spread over its islands.
+    Every rule span, in order, takes its best free annotation.  Spans affect each other only through
+    overlaps, so the greedy pass runs per island; a document with very many spans is spread over
+    its islands.
     """
-    item = lambda df, side: df.select(
-        key, F.lit(side).alias("side"), F.col("ord").cast("bigint").alias("ord"), "start", "end"
-    ).filter(F.col("end") > F.col("start"))
-    spans = item(rules, "rule").unionByName(item(annotations, "ml"))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        fields = [(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in FIELDS.items()]
+        return df.select(key, F.lit(name).alias("side"), F.col("ord").cast("bigint").alias("ord"), *fields)
+
+    spans = side(rules, "rule").unionByName(side(annotations, "ml"))
     placed = with_islands(spans, [key], "start", "end", width, "island")
-    box = F.struct("ord", "start", "end")
+    item = F.struct("ord", *FIELDS)
     sides = placed.groupBy(key, "island").agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("side") == s, box))).alias(s) for s in ("rule", "ml")]
+        *[F.array_sort(F.collect_list(F.when(F.col("side") == s, item))).alias(s) for s in ("rule", "ml")]
     )
-    both = sides.filter((F.size("rule") > 0) & (F.size("ml") > 0))
     pairs = greedy_pairs(F.col("rule"), F.col("ml"), overlap_ratio, lambda v: v > threshold)
-    return both.select(key, F.inline(pairs).alias("rule_ord", "ml_ord", "overlap"))
+    return sides.withColumn("pairs", pairs)
+
 
+def span_overlap_join(
+    rules: DataFrame, annotations: DataFrame, key: str = "doc_id", threshold: float = 0.3, width: int = 4096
+) -> DataFrame:
+    """Pairs (key, rule_ord, ml_ord, overlap) of rule and annotation spans."""
+    islands = _matched_spans(rules, annotations, key, threshold, width)
+    rows = islands.select(key, F.inline_outer("pairs").alias("rule_ord", "ml_ord", "overlap"))
+    return rows.filter("overlap is not null")
 
-def merge_entities(rules: DataFrame, annotations: DataFrame, key: str = "doc_id") -> DataFrame:
+
+def merge_entities(
+    rules: DataFrame, annotations: DataFrame, key: str = "doc_id", threshold: float = 0.3, width: int = 4096
+) -> DataFrame:
     """Rule and annotation entities of every document, conflicts resolved.
 
     A matched annotation above 0.85 replaces the rule entity with a combined confidence; other
     matches keep the rule entity; unmatched annotations count 0.85 of their confidence.  A document
-    that has only one kind keeps it untouched.
+    without rule entities keeps its annotations untouched.
     """
-    pairs = span_overlap_join(rules, annotations, key)
-    names = list(FIELDS)
-    full = lambda df: df.select(
-        key, F.col("ord").cast("bigint").alias("ord"), *[(F.col(n) if n in df.columns else F.lit(None)).cast(FIELDS[n]).alias(n) for n in names]
-    )
-    r, a = full(rules), full(annotations)
-    ml = a.select(key, F.col("ord").alias("ml_ord"), F.struct(*names).alias("ml"))
-    matched = r.join(pairs.withColumnRenamed("rule_ord", "ord"), [key, "ord"], "left").join(
-        ml, [key, "ml_ord"], "left"
-    )
-    prefer = F.coalesce(F.col("ml.confidence") > 0.85, F.lit(False))
-    combined = C.entity_confidence(F.col("confidence"), F.col("ml.confidence"), F.lit(False))
-    kept = matched.select(
-        key,
-        *[
-            F.when(prefer, combined if n == "confidence" else F.col(f"ml.{n}")).otherwise(F.col(n)).alias(n)
-            for n in names
-        ],
-    )
-    with_rules = rules.select(key).distinct().withColumn("_has", F.lit(True))
-    rest = (
-        a.join(pairs.select(key, F.col("ml_ord").alias("ord")), [key, "ord"], "left_anti")
-        .join(with_rules, key, "left")
-        .withColumn(
-            "confidence", F.when(F.col("_has"), F.col("confidence") * 0.85).otherwise(F.col("confidence"))
+
+    def out(e: Column, confidence: Column, lone_ml: bool) -> Column:
+        values = [(confidence if n == "confidence" else e[n]).cast(t).alias(n) for n, t in FIELDS.items()]
+        return F.struct(*values, F.lit(lone_ml).alias("_lone"))
+
+    def resolve(r: Column) -> Column:
+        pair = F.filter("pairs", lambda p: p["l"] == r["ord"])
+        partner = F.filter("ml", lambda m: F.exists(pair, lambda p: p["r"] == m["ord"]) & (m["confidence"] > 0.85))
+        combined = F.transform(
+            partner, lambda m: out(m, C.entity_confidence(r["confidence"], m["confidence"], F.lit(False)), False)
         )
-        .select(key, *names)
+        return F.coalesce(F.get(combined, F.lit(0)), out(r, r["confidence"], False))
+
+    rest = F.filter("ml", lambda m: ~F.exists("pairs", lambda p: p["r"] == m["ord"]))
+    merged = F.concat(F.transform("rule", resolve), F.transform(rest, lambda m: out(m, m["confidence"], True)))
+    rows = _matched_spans(rules, annotations, key, threshold, width).select(key, F.inline_outer(merged))
+    with_rules = rules.select(key).distinct().withColumn("_has", F.lit(True))
+    lowered = F.col("_lone") & F.col("_has")
+    return (
+        rows.join(with_rules, key, "left")
+        .withColumn("confidence", F.when(lowered, F.col("confidence") * 0.85).otherwise(F.col("confidence")))
+        .drop("_lone", "_has")
     )
-    return kept.unionByName(rest)
 
 
 # --- entities near each other ---------------------------------------------------------------------

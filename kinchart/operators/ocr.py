@@ -32,62 +32,79 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(inter, area(a) + area(b) - inter), F.lit(0.0))
 
 
-def bbox_iou_join(words: DataFrame, threshold: float = 0.3, width: float = 2000.0) -> DataFrame:
-    """Matched words (doc_id, page, second_no, first_no, iou).
+BODY = ["text", "x_min", "y_min", "x_max", "y_max", "confidence"]
+
+
+def _matched_islands(words: DataFrame, threshold: float, width: float) -> DataFrame:
+    """Islands of overlapping boxes of a page: both engines' words as arrays, and their pairs.
 
     Each word of the second engine, in order, takes the free word of the first engine with the
     largest IoU of at least the threshold.  Boxes matter to each other only where they overlap, so
     the pass runs per island: overlapping rows of the page first, overlapping columns inside them.
     """
     page = ["doc_id", "page"]
-    boxes = words.select(*page, "engine", F.col("word_no").cast("bigint").alias("ord"), "x_min", "y_min", "x_max", "y_max")
-    boxes = boxes.filter((F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min")))
+    boxes = words.select(*page, "engine", F.col("word_no").cast("bigint").alias("ord"), *BODY)
     rows = with_islands(boxes, page, "y_min", "y_max", width, "band")
     cells = with_islands(rows, [*page, "band"], "x_min", "x_max", width, "island")
-    item = F.struct("ord", "x_min", "y_min", "x_max", "y_max")
+    item = F.struct("ord", *BODY)
     sides = cells.groupBy(*page, "band", "island").agg(
         F.array_sort(F.collect_list(F.when(F.col("engine") == SECOND, item))).alias("second"),
         F.array_sort(F.collect_list(F.when(F.col("engine") == FIRST, item))).alias("first"),
     )
-    both = sides.filter((F.size("second") > 0) & (F.size("first") > 0))
     pairs = greedy_pairs(F.col("second"), F.col("first"), iou, lambda v: v >= threshold)
-    return both.select(*page, F.inline(pairs).alias("second_no", "first_no", "iou"))
+    return sides.withColumn("pairs", pairs)
 
 
-def merge_ocr_words(words: DataFrame, threshold: float = 0.3) -> DataFrame:
+def bbox_iou_join(words: DataFrame, threshold: float = 0.3, width: float = 2000.0) -> DataFrame:
+    """Matched words (doc_id, page, second_no, first_no, iou)."""
+    islands = _matched_islands(words, threshold, width)
+    rows = islands.select("doc_id", "page", F.inline_outer("pairs").alias("second_no", "first_no", "iou"))
+    return rows.filter("iou is not null")
+
+
+def merge_ocr_words(words: DataFrame, threshold: float = 0.3, width: float = 2000.0) -> DataFrame:
     """One word list out of two: the surer word of each match (ties to the second engine), unmatched
     words of the second engine at 0.85 of their confidence, unmatched words of the first as they are.
     Where only one engine found words on a page they are kept untouched.
+
+    The merge happens inside the islands, which hold both words of every match already.
     """
     page = ["doc_id", "page"]
-    pairs = bbox_iou_join(words, threshold)
-    one = lambda engine: words.filter(F.col("engine") == engine)
-    body = ["text", "x_min", "y_min", "x_max", "y_max", "confidence"]
-    first = one(FIRST).select(*page, F.col("word_no").alias("first_no"), F.struct("word_no", *body).alias("f"))
-    second = one(SECOND).select(*page, F.col("word_no").alias("second_no"), F.struct("word_no", *body).alias("s"))
+
+    def word(w: Column, engine: str, matched: bool) -> Column:
+        return F.struct(
+            w["ord"].alias("word_no"),
+            *[w[n].alias(n) for n in BODY],
+            F.lit(engine).alias("engine"),
+            F.lit(matched).alias("matched"),
+        )
+
+    def second(w: Column) -> Column:
+        pair = F.filter("pairs", lambda p: p["l"] == w["ord"])
+        partner = F.filter("first", lambda f: F.exists(pair, lambda p: p["r"] == f["ord"]))
+        f = F.get(partner, F.lit(0))
+        return (
+            F.when(F.size(partner) == 0, word(w, SECOND, False))
+            .when(w["confidence"] >= f["confidence"], word(w, SECOND, True))
+            .otherwise(word(f, FIRST, True))
+        )
+
+    rest = F.filter("first", lambda f: ~F.exists("pairs", lambda p: p["r"] == f["ord"]))
+    merged = F.concat(F.transform("second", second), F.transform(rest, lambda f: word(f, FIRST, False)))
     sides = words.groupBy(*page).agg(
         F.max(F.col("engine") == FIRST).alias("has_first"), F.max(F.col("engine") == SECOND).alias("has_second")
     )
-    joined = second.join(pairs, [*page, "second_no"], "left").join(first, [*page, "first_no"], "left").join(sides, page)
-    matched = F.col("f").isNotNull()
-    keep_second = ~matched | (F.col("s.confidence") >= F.col("f.confidence"))
-    lowered = ~matched & F.col("has_first")
-    pick = lambda n: F.when(keep_second, F.col(f"s.{n}")).otherwise(F.col(f"f.{n}")).alias(n)
-    out = joined.select(
-        *page,
-        *[pick(n) for n in ["word_no", *body[:-1]]],
-        F.when(lowered, F.col("s.confidence") * 0.85)
-        .when(keep_second, F.col("s.confidence"))
-        .otherwise(F.col("f.confidence"))
-        .alias("confidence"),
-        F.when(lowered, "easyocr_unmatched").when(keep_second, SECOND).otherwise(FIRST).alias("engine"),
-    )
-    rest = (
-        first.join(pairs.select(*page, "first_no"), [*page, "first_no"], "left_anti")
+    both = F.col("has_first") & F.col("has_second")
+    lone = both & ~F.col("matched")
+    lowered = lone & (F.col("engine") == SECOND)
+    return (
+        _matched_islands(words, threshold, width)
+        .select(*page, F.inline_outer(merged))
         .join(sides, page)
-        .select(*page, "f.*", F.when(F.col("has_second"), "tesseract_unmatched").otherwise(FIRST).alias("engine"))
+        .withColumn("confidence", F.when(lowered, F.col("confidence") * 0.85).otherwise(F.col("confidence")))
+        .withColumn("engine", F.when(lone, F.concat("engine", F.lit("_unmatched"))).otherwise(F.col("engine")))
+        .drop("has_first", "has_second", "matched")
     )
-    return out.unionByName(rest)
 
 
 def document_confidence(words: DataFrame, first_scale: float = 1.0) -> DataFrame:

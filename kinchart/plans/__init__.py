@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("record_queries", "family_queries", "insight_queries", "risk_queries", "text_queries")
+MODULES = ("record_queries", "family_queries", "insight_queries", "risk_queries", "text_queries", "maintain_queries")
 
 
 def load():

@@ -529,8 +529,7 @@ query(
 
 
 def near_tables(t):
-    rows = X.explode_entities(extracted(t))
-    return rows.filter("type = 'MEDICINE'"), rows.filter("type = 'DOSAGE'")
+    return rows_of(t, X.find_drugs), rows_of(t, X.find_dosages)
 
 
 relation("or_dose_spans", spans_sql("fx_notes", "text", P["dosage"]))
@@ -674,21 +673,21 @@ query(
        from m i join fx_words s on s.doc_id = i.doc_id and s.word_no = second_no and s.engine = 'easyocr'
        join fx_words f on f.doc_id = i.doc_id and f.word_no = first_no and f.engine = 'tesseract'
        union all
-       select s.doc_id, page, word_no, case when has_f then 'easyocr_unmatched' else 'easyocr' end, x_min,
+       select w.doc_id, w.page, word_no, case when has_f then 'easyocr_unmatched' else 'easyocr' end, x_min,
          case when has_f then confidence * 0.85 else confidence end
-       from fx_words s join sides on sides.doc_id = s.doc_id
-       anti join (select doc_id, second_no as word_no from m) i using (doc_id, word_no) where engine = 'easyocr'
+       from fx_words w join sides on sides.doc_id = w.doc_id left join m on m.doc_id = w.doc_id and second_no = word_no
+       where engine = 'easyocr' and m.doc_id is null
        union all
-       select s.doc_id, page, word_no, case when has_s then 'tesseract_unmatched' else 'tesseract' end, x_min, confidence
-       from fx_words s join sides on sides.doc_id = s.doc_id
-       anti join (select doc_id, first_no as word_no from m) i using (doc_id, word_no) where engine = 'tesseract'""",
+       select w.doc_id, w.page, word_no, case when has_s then 'tesseract_unmatched' else 'tesseract' end, x_min, confidence
+       from fx_words w join sides on sides.doc_id = w.doc_id left join m on m.doc_id = w.doc_id and first_no = word_no
+       where engine = 'tesseract' and m.doc_id is null""",
 )(lambda t: O.merge_ocr_words(t.words))
 query(
     "document_confidence",
     "doc_id bigint, overall_confidence double",
-    """select doc_id, round(coalesce(least(1.0, sum(confidence * confidence) / nullif(sum(confidence), 0)), 0), 6)
-       as overall_confidence from fx_words group by 1""",
-)(lambda t: O.document_confidence(t.words).withColumn("overall_confidence", F.round("overall_confidence", 6)))
+    """select doc_id, round(case when sum(confidence) > 0 then least(1.0, sum(confidence * confidence) / sum(confidence))
+       else 0 end + cast(1e-9 as double), 4) as overall_confidence from fx_words group by 1""",
+)(lambda t: O.document_confidence(t.words).withColumn("overall_confidence", F.round(F.col("overall_confidence") + 1e-9, 4)))
 
 
 def paged(t):
