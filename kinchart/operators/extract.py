@@ -15,6 +15,7 @@ from kinchart.functions import dates as D
 from kinchart.functions.islands import greedy_pairs, with_islands
 from kinchart.functions.spans import hospital_spans, let, regex_spans, vocabulary_spans, without_overlap
 from kinchart.operators import normalize as N
+from kinchart.session import checkpoint_dir
 from kinchart.sources import dimensions as dims
 from kinchart.sources import fixed_values as fixed
 
@@ -295,13 +296,21 @@ def extract_entities(
     text: str = "text",
     min_confidence: float = 0.60,
     fix_text: bool = False,
+    cut_lineage: bool = True,
 ) -> DataFrame:
-    """Entity rows of all documents, optionally merged with imported annotations."""
+    """Entity rows of all documents, optionally merged with imported annotations.
+
+    With annotations the extracted rows are checkpointed first (``cut_lineage``).
+    """
     if annotations is None:
         return explode_entities(extract_documents(docs, text, min_confidence, fix_text), key)
     if fix_text:
         docs = docs.withColumn(text, fix_ocr_text(F.col(text)))
     rules = explode_entities(rule_entities(docs, text), key)
+    if cut_lineage:
+        # the merge reads its input twice; extracting everything twice costs more than storing it
+        checkpoint_dir(docs.sparkSession)
+        rules = rules.checkpoint()
     merged = merge_entities(rules, annotations, key).filter(
         F.coalesce("confidence", F.lit(0.0)) >= min_confidence
     )
@@ -332,9 +341,11 @@ def _matched_spans(
         return df.select(key, F.lit(name).alias("side"), F.col("ord").cast("bigint").alias("ord"), *fields)
 
     spans = side(rules, "rule").unionByName(side(annotations, "ml"))
-    placed = with_islands(spans, [key], "start", "end", width, "island")
+    rule_side = {"has_rules": F.col("side") == "rule"}
+    placed = with_islands(spans, [key], "start", "end", width, "island", rule_side)
     item = F.struct("ord", *FIELDS)
     sides = placed.groupBy(key, "island").agg(
+        F.first("has_rules").alias("has_rules"),
         *[F.array_sort(F.collect_list(F.when(F.col("side") == s, item))).alias(s) for s in ("rule", "ml")]
     )
     pairs = greedy_pairs(F.col("rule"), F.col("ml"), overlap_ratio, lambda v: v > threshold)
@@ -374,14 +385,10 @@ def merge_entities(
 
     rest = F.filter("ml", lambda m: ~F.exists("pairs", lambda p: p["r"] == m["ord"]))
     merged = F.concat(F.transform("rule", resolve), F.transform(rest, lambda m: out(m, m["confidence"], True)))
-    rows = _matched_spans(rules, annotations, key, threshold, width).select(key, F.inline_outer(merged))
-    with_rules = rules.select(key).distinct().withColumn("_has", F.lit(True))
-    lowered = F.col("_lone") & F.col("_has")
-    return (
-        rows.join(with_rules, key, "left")
-        .withColumn("confidence", F.when(lowered, F.col("confidence") * 0.85).otherwise(F.col("confidence")))
-        .drop("_lone", "_has")
-    )
+    islands = _matched_spans(rules, annotations, key, threshold, width)
+    rows = islands.select(key, "has_rules", F.inline_outer(merged))
+    lowered = F.when(F.col("_lone") & F.col("has_rules"), F.col("confidence") * 0.85).otherwise(F.col("confidence"))
+    return rows.withColumn("confidence", lowered).drop("_lone", "has_rules")
 
 
 # --- entities near each other ---------------------------------------------------------------------

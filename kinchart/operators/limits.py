@@ -91,6 +91,8 @@ def anchored_windows(events: DataFrame, seconds: int = 60, slice_seconds: int =
     sliced = events.select("key", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn(
         "slice", F.floor(F.col("us") / length)
     )
+    # a fixed number of partitions: the rows are few and small, but the work per group is Python
+    sliced = sliced.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "slice")
     exits = sliced.select("key", "slice", "us").groupBy("key", "slice").applyInPandas(
         _slice_exits(span, length), f"key {key}, slice bigint, opening bigint, ends bigint"
     )

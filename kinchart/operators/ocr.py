@@ -44,10 +44,13 @@ def _matched_islands(words: DataFrame, threshold: float, width: float) -> DataFr
     """
     page = ["doc_id", "page"]
     boxes = words.select(*page, "engine", F.col("word_no").cast("bigint").alias("ord"), *BODY)
-    rows = with_islands(boxes, page, "y_min", "y_max", width, "band")
+    engines = {"has_first": F.col("engine") == FIRST, "has_second": F.col("engine") == SECOND}
+    rows = with_islands(boxes, page, "y_min", "y_max", width, "band", engines)
     cells = with_islands(rows, [*page, "band"], "x_min", "x_max", width, "island")
     item = F.struct("ord", *BODY)
     sides = cells.groupBy(*page, "band", "island").agg(
+        F.first("has_first").alias("has_first"),
+        F.first("has_second").alias("has_second"),
         F.array_sort(F.collect_list(F.when(F.col("engine") == SECOND, item))).alias("second"),
         F.array_sort(F.collect_list(F.when(F.col("engine") == FIRST, item))).alias("first"),
     )
@@ -91,16 +94,12 @@ def merge_ocr_words(words: DataFrame, threshold: float = 0.3, width: float = 200
 
     rest = F.filter("first", lambda f: ~F.exists("pairs", lambda p: p["r"] == f["ord"]))
     merged = F.concat(F.transform("second", second), F.transform(rest, lambda f: word(f, FIRST, False)))
-    sides = words.groupBy(*page).agg(
-        F.max(F.col("engine") == FIRST).alias("has_first"), F.max(F.col("engine") == SECOND).alias("has_second")
-    )
     both = F.col("has_first") & F.col("has_second")
     lone = both & ~F.col("matched")
     lowered = lone & (F.col("engine") == SECOND)
     return (
         _matched_islands(words, threshold, width)
-        .select(*page, F.inline_outer(merged))
-        .join(sides, page)
+        .select(*page, "has_first", "has_second", F.inline_outer(merged))
         .withColumn("confidence", F.when(lowered, F.col("confidence") * 0.85).otherwise(F.col("confidence")))
         .withColumn("engine", F.when(lone, F.concat("engine", F.lit("_unmatched"))).otherwise(F.col("engine")))
         .drop("has_first", "has_second", "matched")

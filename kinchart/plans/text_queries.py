@@ -8,6 +8,7 @@ from kinchart.operators import normalize as N
 from kinchart.operators import ocr as O
 from kinchart.plans.record_queries import EFF, title_sql
 from kinchart.plans.registry import query, relation
+from kinchart.session import checkpoint_dir
 from kinchart.sources import dimensions as dims
 from kinchart.sources import fixed_values as fixed
 from kinchart.sources.fixtures import AS_OF
@@ -542,6 +543,12 @@ query(
 )(lambda t: X.nearest_following(*near_tables(t), 100))
 
 
+def stored(rows):
+    """Rows as a stored table: the real inputs of these queries are tables, not extractions."""
+    checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def shifted(t):
     """Stand-in for annotation spans: dose, duration and pressure spans moved by up to three characters."""
     docs = t.notes.select(
@@ -550,7 +557,7 @@ def shifted(t):
     )
     by = (F.col("doc_id") % 4).cast("int")
     rows = X.explode_entities(docs)
-    return rows.withColumns(
+    moved = rows.withColumns(
         {
             "start": F.col("start") + by,
             "end": F.col("end") + by,
@@ -558,6 +565,7 @@ def shifted(t):
             "source": F.lit("ml"),
         }
     )
+    return stored(moved)
 
 
 relation("or_rule_spans", f"""select * from ({spans_sql("fx_notes", "text", P["dosage"])}) union all
@@ -570,7 +578,14 @@ def rule_spans(t):
         "doc_id",
         F.concat(X.find_dosages(F.col("text")), X.find_durations(F.col("text")), X.find_blood_pressure(F.col("text"))).alias("entities"),
     )
-    return X.explode_entities(docs)
+    return stored(X.explode_entities(docs))
+
+
+def located_pairs(rules, ml):
+    """Pairs with the start positions of both spans."""
+    place = lambda df, side: df.select("doc_id", F.col("ord").alias(f"{side}_ord"), F.col("start").alias(f"{side}_start"))
+    pairs = X.span_overlap_join(rules, ml)
+    return pairs.join(place(rules, "rule"), ["doc_id", "rule_ord"]).join(place(ml, "ml"), ["doc_id", "ml_ord"])
 
 
 query(
@@ -582,13 +597,9 @@ query(
        from or_rule_spans r join or_rule_spans a on a.doc_id = r.doc_id
        where cast(least(r."end", a."end" + r.doc_id % 4) - greatest(r.start, a.start + r.doc_id % 4) as double)
          / least(r."end" - r.start, a."end" - a.start) > 0.3""",
-)(
-    lambda t: X.span_overlap_join(rule_spans(t), shifted(t))
-    .join(rule_spans(t).select("doc_id", F.col("ord").alias("rule_ord"), F.col("start").alias("rule_start")), ["doc_id", "rule_ord"])
-    .join(shifted(t).select("doc_id", F.col("ord").alias("ml_ord"), F.col("start").alias("ml_start")), ["doc_id", "ml_ord"])
-)
+)(lambda t: located_pairs(rule_spans(t), shifted(t)))
 query("merge_entities", ENTITY + ", source string")(
-    lambda t: X.merge_entities(X.explode_entities(X.rule_entities(t.notes)), shifted(t))
+    lambda t: X.merge_entities(stored(X.explode_entities(X.rule_entities(t.notes))), shifted(t))
 )
 query("extract_merged_entities", ENTITY + ", source string")(
     lambda t: X.extract_entities(t.notes, annotations=shifted(t))
