@@ -27,7 +27,7 @@ def personal_features(users: DataFrame, as_of) -> DataFrame:
     years = F.year(today) - F.year(dob) - (mmdd(today) < mmdd(dob)).cast("int")
     return users.select(
         F.col("id").alias("user_id"),
-        F.coalesce(F.greatest(years, F.lit(0)), F.lit(40)).cast("double").alias("age"),
+        F.when(dob.isNull(), 40).otherwise(F.greatest(years, F.lit(0))).cast("double").alias("age"),
         F.coalesce(F.lower("gender").isin("male", "m").cast("int"), F.lit(0)).alias("gender_male"),
     )
 
