@@ -63,14 +63,17 @@ def canonical_entity_type(t: Column | str) -> Column:
 
 
 def entity_confidence(rule: Column, ml: Column, code_matched: Column) -> Column:
-    """Combine the two signals; a code match adds 0.05."""
+    """Combine the two signals; a code match adds 0.05.  Decimal, so that halves round up exactly."""
+    r, m = rule.cast("decimal(12,6)"), ml.cast("decimal(12,6)")
+    share = lambda text: F.lit(text).cast("decimal(4,2)")
     base = (
-        F.when(rule.isNotNull() & ml.isNotNull(), 0.4 * rule + 0.6 * ml)
-        .when(ml.isNotNull(), ml * 0.95)
-        .when(rule.isNotNull(), rule * 0.85)
-        .otherwise(F.lit(0.5))
+        F.when(r.isNotNull() & m.isNotNull(), share("0.4") * r + share("0.6") * m)
+        .when(m.isNotNull(), m * share("0.95"))
+        .when(r.isNotNull(), r * share("0.85"))
+        .otherwise(share("0.5"))
     )
-    return F.round(F.when(code_matched, F.least(F.lit(1.0), base + 0.05)).otherwise(base), 3)
+    final = F.when(code_matched, F.least(share("1.0"), base + share("0.05"))).otherwise(base)
+    return F.round(final, 3).cast("double")
 
 
 def ensemble(tree_p: Column, net_p: Column, fallback: Column) -> Column:

@@ -88,7 +88,8 @@ relation(
 GONE = {
     "members": (
         "id bigint, user_id bigint, related_user_id bigint",
-        """select id, user_id, case when related_user_id % 10 <> 4 then related_user_id end as related_user_id
+        """select id, user_id, case when related_user_id not in (select id from fx_users where id % 10 = 4)
+           then related_user_id end as related_user_id
            from fx_members where id not in (select id from or_gone_members)""",
     ),
     "records": ("id bigint, owner_id bigint", "select id, owner_id from fx_records where id not in (select id from or_gone_records)"),

@@ -390,13 +390,11 @@ query(
 query(
     "entity_confidence",
     "id bigint, confidence double",
-    d(
-        """select id, round(case when id % 2 = 0 then least(1.0, base + 0.05) else base end, 3) as confidence from (
-           select id, case when rc is not null and mc is not null then 0.4 * rc + 0.6 * mc
-             when mc is not null then mc * 0.95 when rc is not null then rc * 0.85 else 0.5 end as base from (
-             select id, case when id % 3 <> 0 then confidence end as rc,
-               case when id % 5 <> 0 then cast(id % 101 as double) / 100 end as mc from fx_entities))"""
-    ),
+    """select id, round(case when id % 2 = 0 then least(1.0, base + 0.05) else base end, 3) as confidence from (
+       select id, case when rc is not null and mc is not null then 0.4 * rc + 0.6 * mc
+         when mc is not null then mc * 0.95 when rc is not null then rc * 0.85 else 0.5 end as base from (
+         select id, case when id % 3 <> 0 then cast(confidence as decimal(12,6)) end as rc,
+           case when id % 5 <> 0 then cast(cast(id % 101 as double) / 100 as decimal(12,6)) end as mc from fx_entities))""",
 )(
     lambda t: t.entities.select(
         "id",

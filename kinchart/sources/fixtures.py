@@ -1,7 +1,8 @@
 """Health-record views over the driver's TPC-H-like tables.
 
 One text per view serves both engines, so an oracle query starts from exactly the rows the Spark
-query starts from.  ``{customer}`` and the like are the inputs; ``<add d | n>`` adds n days to d.
+query starts from.  ``{customer}`` and the like are the inputs; ``<add d | n>`` adds n days to d and
+``<each rows | name(columns)>`` repeats every row for each entry of a short fixed list.
 """
 
 from __future__ import annotations
@@ -77,9 +78,9 @@ VIEWS = {
           case when (c_custkey * 7919 + pi * 104729) % 1000 >= 600 then 'high'
             when (c_custkey * 7919 + pi * 104729) % 1000 >= 300 then 'moderate' else 'low' end as risk_level,
           (c_custkey + pi) % 7 <> 0 as is_active
-        from {customer} cross join (values (0, 'Type 2 Diabetes', 'E11'), (1, 'Hypertension', 'I10'),
-          (2, 'Thyroid Disorder', 'E03.9'), (3, 'Cardiovascular Disease', 'I25.1'))
-          as pd(pi, disease_name, icd10_code)""",
+        from {customer} <each (0, 'Type 2 Diabetes', 'E11'), (1, 'Hypertension', 'I10'),
+          (2, 'Thyroid Disorder', 'E03.9'), (3, 'Cardiovascular Disease', 'I25.1')
+          | pd(pi, disease_name, icd10_code)>""",
     "fx_access": """
         select s_suppkey * 100000 + c_custkey as id, c_custkey as patient_id, s_suppkey as doctor_id,
           'read' as access_level,
@@ -106,7 +107,7 @@ VIEWS = {
           cast((record_id % 5) * 40 + off as double) as y_min, cast(n * 60 + 50 + off as double) as x_max,
           cast((record_id % 5) * 40 + 18 + off as double) as y_max,
           cast((pk * e.mul) % 101 as double) / 100 as confidence
-        from {fx_lines} cross join (values ('tesseract', 0, 7), ('easyocr', 6, 11)) as e(engine, off, mul)
+        from {fx_lines} <each ('tesseract', 0, 7), ('easyocr', 6, 11) | e(engine, off, mul)>
         where not (e.engine = 'easyocr' and n % 4 = 0)""",
 }
 
@@ -116,12 +117,16 @@ BASE_TABLES = (
 ).split()
 
 _ADD = re.compile(r"<add ([^|>]+) \| ([^>]+)>")
+_EACH = re.compile(r"<each ([^|>]+)\| (\w+)\(([^)]+)\)>")
 
 
 def view_text(name: str, dialect: str) -> str:
     """Text of a view with its inputs still as ``{input}`` place holders."""
     form = r"date_add(\1, cast(\2 as int))" if dialect == "spark" else r"(\1 + cast(\2 as integer))"
-    return _ADD.sub(form, VIEWS[name]).strip()
+    text = _ADD.sub(form, VIEWS[name]).strip()
+    if dialect == "spark":  # every row once per entry of a fixed list: a generator, not a join
+        return _EACH.sub(lambda m: f"lateral view inline(array({m[1].strip()})) {m[2]} as {m[3]}", text)
+    return _EACH.sub(r"cross join (values \1) as \2(\3)", text)
 
 
 def inputs(text: str) -> list[str]:
