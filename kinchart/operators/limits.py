@@ -83,9 +83,14 @@ def _assign(span: int):
     return run
 
 
-def anchored_windows(events: DataFrame, seconds: int = 60, slice_seconds: int = 86_400) -> DataFrame:
-    """Every event with the start of its window (key, id, ts, window_start)."""
-    span, length = seconds * 1_000_000, max(slice_seconds, 2 * seconds) * 1_000_000
+def anchored_windows(events: DataFrame, seconds: int = 60, slice_seconds: int | None = None) -> DataFrame:
+    """Every event with the start of its window (key, id, ts, window_start).
+
+    A slice lasts sixty windows unless told otherwise: short enough to spread a busy key, long
+    enough that the walk between slices sees a sixtieth of the events.
+    """
+    length = max(slice_seconds or 60 * seconds, 2 * seconds) * 1_000_000
+    span = seconds * 1_000_000
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     key, ident = kinds["key"], kinds["id"]
     sliced = events.select("key", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn(
@@ -111,7 +116,7 @@ def anchored_windows(events: DataFrame, seconds: int = 60, slice_seconds: int =
     )
 
 
-def violations(events: DataFrame, limit: int = 100, seconds: int = 60, slice_seconds: int = 864_000) -> DataFrame:
+def violations(events: DataFrame, limit: int = 100, seconds: int = 60, slice_seconds: int | None = None) -> DataFrame:
     """Events beyond the limit of their window, with the seconds to wait for the next one."""
     inside = Window.partitionBy("key", "window_start").orderBy("ts", "id")
     ranked = anchored_windows(events, seconds, slice_seconds).withColumn("position", F.row_number().over(inside))

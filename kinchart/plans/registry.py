@@ -26,7 +26,11 @@ class Query:
     oracle: str | None
 
     def fields(self) -> list[tuple[str, str]]:
-        return [tuple(part.strip().split(" ", 1)) for part in self.schema.split(", ")]
+        """Names and types of the result; dates and times are shown as ISO text, which every client
+        of both engines reads alike.
+        """
+        parts = [part.strip().split(" ", 1) for part in self.schema.split(", ")]
+        return [(name, "string" if kind in ("date", "timestamp") else kind) for name, kind in parts]
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
         df = self.build(Tables(spark, folder))
