@@ -7,9 +7,9 @@ key.  A key with a third of all events must not be one task, so the pass is cut
 1. Every event knows its successor: the first event of the key at or after its own time plus the
    window.  Inside a time slice that is a vectorised search, and following the successors gives,
    for each event that may open the slice's first window, the moment the slice's last window ends.
-2. Only events of the first window length of a slice can do that, so the walk from slice to slice
-   needs just those (window / slice of the data).
-3. With its first opening event known, each slice assigns its windows on its own.
+2. Only events of the first window length of a slice can do that (window / slice of the data), and
+   neighbours that lead to the same end count once; the walk from slice to slice sees just those.
+3. Told from when on a window may open, each slice assigns its windows on its own.
 """
 
 from __future__ import annotations
@@ -44,26 +44,26 @@ def _slice_exits(span: int, length: int):
         # candidates: whatever the last window of earlier slices was, it ends before begin + span
         n = int(np.searchsorted(ts, begin + span, side="left")) + 1
         opening, first = np.unique(ts[:n], return_index=True)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "slice": pdf["slice"].iloc[0], "opening": opening, "ends": ends[first]})
+        ends = ends[first]
+        # neighbours that lead to the same end are one step of the function: its last event will do
+        keep = np.append(ends[1:] != ends[:-1], True)
+        return pd.DataFrame(
+            {"key": pdf["key"].iloc[0], "slice": pdf["slice"].iloc[0], "opening": opening[keep], "ends": ends[keep]}
+        )
 
     return run
 
 
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per slice the event that opens its first window, and the window still open before it."""
-    span = int(pdf["span"].iloc[0])
-    free_from = None
+    """Per slice the moment from which a new window may open."""
+    free_from = np.iinfo(np.int64).min
     rows = []
     for number, part in pdf.sort_values(["slice", "opening"]).groupby("slice", sort=True):
-        opening = part["opening"].to_numpy()
-        at = 0 if free_from is None else int(np.searchsorted(opening, free_from, side="left"))
-        open_since = opening[0] if free_from is None else free_from - span
-        if at < len(opening):
-            rows.append((number, opening[at], open_since))
+        rows.append((number, free_from))
+        at = int(np.searchsorted(part["opening"].to_numpy(), free_from, side="left"))
+        if at < len(part):  # else the open window covers the whole slice
             free_from = int(part["ends"].iloc[at])
-        else:  # the open window covers the whole slice
-            rows.append((number, free_from, open_since))
-    frame = pd.DataFrame(rows, columns=["slice", "opening", "open_since"])
+    frame = pd.DataFrame(rows, columns=["slice", "free_from"])
     frame.insert(0, "key", pdf["key"].iloc[0])
     return frame
 
@@ -73,8 +73,10 @@ def _assign(span: int):
         pdf = pdf.sort_values(["us", "id"])
         ts = pdf["us"].to_numpy()
         after = _successors(ts, span)
-        start = np.full(len(ts), pdf["open_since"].iloc[0], dtype=np.int64)
-        at = int(np.searchsorted(ts, pdf["opening"].iloc[0], side="left"))
+        free_from = int(pdf["free_from"].iloc[0])
+        at = int(np.searchsorted(ts, free_from, side="left"))
+        # events before that moment belong to the window that is still open
+        start = np.full(len(ts), free_from - span if at else 0, dtype=np.int64)
         while at < len(ts):
             start[at : after[at]] = ts[at]
             at = after[at]
@@ -101,11 +103,7 @@ def anchored_windows(events: DataFrame, seconds: int = 60, slice_seconds: int |
     exits = sliced.select("key", "slice", "us").groupBy("key", "slice").applyInPandas(
         _slice_exits(span, length), f"key {key}, slice bigint, opening bigint, ends bigint"
     )
-    openings = (
-        exits.withColumn("span", F.lit(span))
-        .groupBy("key")
-        .applyInPandas(_walk, f"key {key}, slice bigint, opening bigint, open_since bigint")
-    )
+    openings = exits.groupBy("key").applyInPandas(_walk, f"key {key}, slice bigint, free_from bigint")
     placed = (
         sliced.join(openings, ["key", "slice"])
         .groupBy("key", "slice")
