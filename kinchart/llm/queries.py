@@ -5,14 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinchart.llm.repetition import repetition_coverage
+from kinchart.llm.secrets import secret_spans, spans_text
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op9_entropy_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Fixed forms and random-looking strings of every document."""
+    found = secret_spans(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long") for k in range(3)]
+    return found.select(
+        "doc_id",
+        *[c.alias(n) for c, n in zip(counts, ("n_assign", "n_access", "n_hex"))],
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return repetition_coverage(table(spark, folder, "documents").select("doc_id", "text"))
 
