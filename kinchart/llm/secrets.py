@@ -30,10 +30,10 @@ HEX = r"[0-9a-f]{24,}"
 MIN_VALUE = 6
 SCALE = 2**20
 
-# Runs that are no secrets: digits only, words (also joined by signs), universally unique ids,
+# Runs that are no secrets: digits only, words (also joined by signs, with short numbers), universally unique ids,
 # digests of published packages, alphabets written out.
 ALLOWED = (
-    r"^(?:[0-9]+|[A-Za-z]+(?:[-_+/=]+[A-Za-z]+)*[-_+/=]*|[-_+/=]+|[0-9-]+"
+    r"^(?:[0-9]+|[A-Za-z]+(?:[-_+/=]+(?:[A-Za-z]+|[0-9]{1,4}))*[-_+/=]*|[-_+/=]+|[0-9-]+"
     r"|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+"
     r"|(?:0123456789|abcdefghij|ABCDEFGHIJ).*)$"
 )
@@ -57,7 +57,7 @@ class CharacterClass:
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 CLASSES = (
     CharacterClass("entropy_hex", "0-9A-Fa-f", _DIGITS + "abcdefABCDEF", 20, 2.8),
-    CharacterClass("entropy_base64", "A-Za-z0-9+/_=-", _DIGITS + _LOWER + _LOWER.upper() + "+/_=-", 20, 3.6),
+    CharacterClass("entropy_base64", "A-Za-z0-9+/_=-", _DIGITS + _LOWER + _LOWER.upper() + "+/_=-", 20, 3.9),
 )
 KINDS = ("assign", "access", "hex", *[c.kind for c in CLASSES])
 
