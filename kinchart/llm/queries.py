@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinchart.llm import additive, language
 from kinchart.llm.repetition import repetition_coverage
 from kinchart.llm.secrets import secret_spans, spans_text
 
@@ -15,6 +16,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from the labels outside the held-out third."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = additive.train(docs, table(spark, folder, "labels"), _remainder(3) != 1)
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
+    return additive.score(docs.select("doc_id", held_out, "text"), model)
+
+
+def op5_output_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fifth."""
+    docs = table(spark, folder, "documents")
+    model = language.train(docs.select("doc_id", "text", "lang"), _remainder(5) != 0)
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return language.predict(docs.select("doc_id", held_out, "text"), model)
+
+
 def op9_entropy_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Fixed forms and random-looking strings of every document."""
     found = secret_spans(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
