@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinchart.llm import additive, language
+from kinchart.llm import additive, id_store, language
 from kinchart.llm.repetition import repetition_coverage
 from kinchart.llm.secrets import secret_spans, spans_text
 
@@ -29,6 +29,25 @@ def op1_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
     return additive.score(docs.select("doc_id", held_out, "text"), model)
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file: $TOKENIZERS, or the installed package."""
+    import os
+
+    folder = os.environ.get("TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_id_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, written as indexed shards and read back."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    shards = id_store.write(docs, tokenizer_file("word_bpe_49k.json"))
+    return id_store.read(shards).withColumnRenamed("key", "doc_id")
+
+
 def op5_output_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned outside the held-out fifth."""
     docs = table(spark, folder, "documents")
