@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinchart.llm import additive, id_store, language
+from kinchart.llm import additive, id_store, language, pieces
 from kinchart.llm.repetition import repetition_coverage
 from kinchart.llm.secrets import secret_spans, spans_text
 
@@ -41,6 +41,15 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_unigram_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to the text they came from."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = pieces.Vocabulary.load(tokenizer_file("piece_bpe_32k.model"))
+    both = pieces.decode(pieces.encode(docs, model, keep_text=True), model)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return both.select("doc_id", "n_tokens", "n_byte_tokens", "ids", same.alias("round_trip"))
+
+
 def op4_id_store(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document, written as indexed shards and read back."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
