@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from kinchart.llm import additive, id_store, language, pieces
 from kinchart.llm.repetition import repetition_coverage
 from kinchart.llm.secrets import secret_spans, spans_text
+from kinchart.llm.style_tree import main_text
+from kinchart.llm.urls import judge_urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,6 +67,17 @@ def op5_output_codes(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held_out, "text"), model)
 
 
+def op7_style_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+def op8_url_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page address."""
+    judged = judge_urls(table(spark, folder, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op9_entropy_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Fixed forms and random-looking strings of every document."""
     found = secret_spans(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
