@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinchart.llm import additive, id_store, language, pieces
+from kinchart.llm.odd_sketch import near_copies
 from kinchart.llm.repetition import repetition_coverage
 from kinchart.llm.secrets import secret_spans, spans_text
 from kinchart.llm.style_tree import main_text
@@ -67,6 +68,11 @@ def op5_output_codes(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held_out, "text"), model)
 
 
+def op6_odd_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_copies(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op7_style_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
