@@ -12,6 +12,7 @@ from kinchart.llm.odd_sketch import near_copies
 from kinchart.llm.repetition import repetition_coverage
 from kinchart.llm.secrets import secret_spans, spans_text
 from kinchart.llm.style_tree import main_text
+from kinchart.llm.templates import leaks
 from kinchart.llm.urls import judge_urls
 
 
@@ -44,6 +45,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that leak a benchmark item."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return leaks(docs, table(spark, folder, "benchmark")).drop("text_hash")
+
+
 def op3_unigram_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to the text they came from."""
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -132,3 +132,14 @@ def repetition_coverage(
 
 
 _KINDS = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 2 + [pa.bool_()]
+
+
+def passes(docs: DataFrame, text: str = "text", limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
+    """The rows of ``docs`` whose text is kept, with all their columns."""
+    bounds = dict(limits or LIMITS)
+    where = docs.columns.index(text)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([measure(t, bounds, line_limit)[-1] for t in texts_of(batch.column(where))]))
+
+    return map_batches(docs, each, docs.schema)
