@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinchart.llm.common import map_batches, stored
+from kinchart.llm.common import free_name, map_batches, stored
 from kinchart.llm.urls import host_and_path
 
 LEAST_PAGES = 5
@@ -140,11 +140,12 @@ def walk(page: str) -> tuple[list[tuple], dict[int, int]]:
         if tag in _VOID:
             continue
         top = stack[-1]
-        top.children.append(tag)
         path, named = _path(top.path, tag, token[3])
+        if tag in _INLINE:
+            path = top.path  # words in line belong to the block around them
+        else:
+            top.children.append(tag)
         noise = top.noise or (named and tag not in ("body", "html", "article", "main"))
-        if tag in ("header",) and top.article:
-            noise = True
         stack.append(_Open(tag, path, noise, top.article or tag == "article", top.main or tag == "main"))
     close(1)
     return out, {path: _hash(" ".join(tags)) for path, tags in styles.items()}
@@ -205,11 +206,12 @@ def main_text(
     nodes = node_importance(pages, url, page)
     known = nodes.groupBy("host", "path").agg(F.max("importance").alias("importance"), F.min("pages").alias("pages"))
     low = known.where((F.col("pages") >= least_pages) & (F.col("importance") < threshold))
-    lists = stored(low.groupBy("host").agg(F.collect_list("path").alias("_low")).withColumnRenamed("host", "_host"))
     rest = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in rest]
+    name, paths, body = (free_name(pages, n) for n in ("_host", "_low", "_page"))
+    lists = stored(low.groupBy(F.col("host").alias(name)).agg(F.collect_list("path").alias(paths)))
     host, _ = host_and_path(F.col(url))
-    joined = pages.select(*rest, F.col(page).alias("_page"), host.alias("_host")).join(lists, "_host", "left")
+    joined = pages.select(*rest, F.col(page).alias(body), host.alias(name)).join(lists, name, "left")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
@@ -218,4 +220,4 @@ def main_text(
         new = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *new], [*rest, "text", "n_chars"])
 
-    return map_batches(joined.select(*rest, "_page", "_low"), each, ", ".join([*fields, "text string, n_chars long"]))
+    return map_batches(joined.select(*rest, body, paths), each, ", ".join([*fields, "text string, n_chars long"]))
