@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinchart.llm.common import map_batches, map_partitions, mix64, stored, texts_of
+from kinchart.llm.common import free_name, map_batches, map_partitions, mix64, stored, texts_of
 from kinchart.llm.components import components
 
 WORDS = 5
@@ -324,9 +324,9 @@ def near_copies(
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of every component: that of the smallest id, and one of its copies if the row is repeated."""
-    kept = near_copies(docs, key, text).where("kept").groupBy(key).agg(F.count("*").alias("_copies"))
-    kept = stored(kept.withColumnRenamed(key, "_key"))
-    joined = docs.join(kept, docs[key].cast("long").eqNullSafe(kept["_key"]))
-    single = joined.where(F.col("_copies") == 1)
-    again = joined.where(F.col("_copies") > 1).dropDuplicates([key, text])
-    return single.union(again).select(*docs.columns)
+    name, copies = free_name(docs, "_key"), free_name(docs, "_copies")
+    kept = near_copies(docs, key, text).where("kept").groupBy(F.col(key).alias(name)).agg(F.count("*").alias(copies))
+    joined = docs.join(stored(kept), docs[key].cast("long").eqNullSafe(F.col(name)))
+    single = joined.where(F.col(copies) == 1)
+    again = joined.where(F.col(copies) > 1).dropDuplicates([key, text])
+    return single.union(again).select(*[docs[c] for c in docs.columns])

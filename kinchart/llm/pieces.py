@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinchart.llm.common import map_batches, texts_of
+from kinchart.llm.common import free_name, map_batches, texts_of
 
 MARKER = "▁"
 # Runs whose ids a worker remembers; beyond that it starts anew.
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, words: Vocabulary, text: str = "text", keep_text: bo
         new = [ids, pa.array(counts.astype(np.int64)), pa.array(in_bytes.astype(np.int64))]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *new], [*rest, *_NEW[:3]])
 
-    value = docs[text].alias("_text")
+    value = docs[text].alias(free_name(docs, "_text"))
     return map_batches(
         docs.select(*rest, value), each, ", ".join([*fields, "ids array<int>, n_tokens long, n_byte_tokens long"])
     )

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinchart.llm.common import map_batches, mix64, stored, texts_of
+from kinchart.llm.common import free_name, map_batches, mix64, stored, texts_of
 
 WINDOW = 8
 LEAST_TOKENS = 5
@@ -126,7 +126,7 @@ def _rows(df: DataFrame, keys: list[str], text: str, widths: list[int] | None, b
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = np.frombuffer(shared.value, "<u4") if shared is not None else None
-        row, place, code, slots, total = [], [], [], [], []
+        row, place, code, slots, total, wide = [], [], [], [], [], []
         for i, t in enumerate(texts_of(batch.column(len(keys)))):
             words, kind, form = tokens(t)
             own = [min(WINDOW, len(words))] if len(words) >= LEAST_TOKENS else []
@@ -140,12 +140,13 @@ def _rows(df: DataFrame, keys: list[str], text: str, widths: list[int] | None, b
                     place.append(at)
                     code.append(int(found[at]))
                     slots.append(_slots(words, kind, at, width))
+                    wide.append(width)
                 total += [int(good.sum())] * (len(row) - len(total))
-        new = [pa.array(place, pa.int32()), pa.array(code, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(total, pa.int32())]
+        new = [pa.array(place, pa.int32()), pa.array(code, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(total, pa.int32()), pa.array(wide, pa.int32())]
         kept = [batch.column(k).take(pa.array(row, pa.int32())) for k in range(len(keys))]
-        return pa.RecordBatch.from_arrays([*kept, *new], [*keys, "at", "code", "slots", "total"])
+        return pa.RecordBatch.from_arrays([*kept, *new], [*keys, "at", "code", "slots", "total", "width"])
 
-    schema = ", ".join([*fields, "at int, code long, slots array<string>, total int"])
+    schema = ", ".join([*fields, "at int, code long, slots array<string>, total int, width int"])
     return map_batches(df.select(*keys, text), each, schema)
 
 
@@ -168,11 +169,9 @@ def leaks(
     """(key, text_hash, item, n_windows, matched, coverage, same_values) of every document and item that leaks."""
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
     asked = stored(_rows(items, ["item"], "text", None, None))
-    # windows of other lengths than WINDOW belong to short items: at most LEAST_TOKENS..WINDOW in all
-    lengths = items.select(F.size(F.split(F.trim("text"), r"\s+")).alias("n")).agg(F.min("n")).first()[0]
-    widths = [WINDOW] if lengths is None or lengths >= 2 * WINDOW else list(range(LEAST_TOKENS, WINDOW + 1))
+    widths = sorted(r["width"] for r in asked.select("width").distinct().collect())  # LEAST_TOKENS to WINDOW
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    hits = _rows(source, ["key", "th"], "text", widths, _bitmap(asked)).drop("total")
+    hits = _rows(source, ["key", "th"], "text", widths, _bitmap(asked)).drop("total", "width")
     ask = asked.select("item", "total", F.col("at").alias("item_at"), "code", F.col("slots").alias("item_slots"))
     # one row per place of an alignment, also for repeated rows
     met = hits.join(ask, "code").select(
@@ -202,5 +201,6 @@ def leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text leaks no item."""
-    bad = stored(leaks(docs, benchmark, key, text).select(F.col("text_hash").alias("_th")).distinct())
-    return docs.withColumn("_th", F.xxhash64(text)).join(bad, "_th", "left_anti").select(*docs.columns)
+    name = free_name(docs, "_th")
+    bad = stored(leaks(docs, benchmark, key, text).select(F.col("text_hash").alias(name)).distinct())
+    return docs.withColumn(name, F.xxhash64(text)).join(bad, name, "left_anti").select(*docs.columns)
