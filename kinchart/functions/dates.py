@@ -59,15 +59,22 @@ def normalize_date(text: Column) -> Column:
     return F.coalesce(written_date(t), numeric_date(t), compact, hyphened)
 
 
+_LAST_DAY = 2_932_896  # 9999-12-31 in days after 1970-01-01
+
+
 def add_units(as_of: Column, count: Column, unit: Column) -> Column:
     """``as_of`` plus a number of days, weeks, months or years; null past the year 9999."""
-    n = count.try_cast("int")
+    n = count.try_cast("int").cast("long")
     u = F.rtrim(F.lower(unit), F.lit("s"))
-    return (
-        F.when((u == "day") & (n <= 2_900_000), F.date_add(as_of, F.least(n, F.lit(2_900_000))))
-        .when((u == "week") & (n <= 400_000), F.date_add(as_of, F.least(n, F.lit(400_000)) * 7))
-        .when((u == "month") & (n <= 90_000), F.add_months(as_of, F.least(n, F.lit(90_000))))
-        .when((u == "year") & (n <= 7_500), F.add_months(as_of, F.least(n, F.lit(7_500)) * 12))
+    days = n * F.when(u == "week", 7).otherwise(1)
+    last_day = F.lit(_LAST_DAY) - F.unix_date(as_of)
+    months = n * F.when(u == "year", 12).otherwise(1)
+    last_month = F.lit(9999 * 12 + 11) - (F.year(as_of) * 12 + F.month(as_of) - 1)
+    # what is added never leaves the calendar, whatever the branch
+    by_days = F.date_add(as_of, F.least(days, last_day).cast("int"))
+    by_months = F.add_months(as_of, F.least(months, last_month).cast("int"))
+    return F.when(u.isin("day", "week") & (days <= last_day), by_days).when(
+        u.isin("month", "year") & (months <= last_month), by_months
     )
 
 

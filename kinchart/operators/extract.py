@@ -484,8 +484,9 @@ def structured_prescription(docs: DataFrame, as_of, text: str = "text") -> DataF
     ).drop("_dosage", "_frequency", "_duration", "_disease", "_lab")
 
 
-def prescription_rows(structured: DataFrame) -> DataFrame:
-    """Prescription columns of every structured document."""
+def prescription_rows(structured: DataFrame, length: int | None = None) -> DataFrame:
+    """Prescription columns of every structured document; ``length`` cuts the diagnosis."""
+    conditions = F.array_join("conditions", ", ")
     lab = F.transform(
         "lab_values",
         lambda v: F.concat(v["name"], F.lit("="), F.coalesce(v["value"].cast("string"), F.lit("None")), v["unit"]),
@@ -498,7 +499,7 @@ def prescription_rows(structured: DataFrame) -> DataFrame:
     )
     return structured.withColumns(
         {
-            "diagnosis": F.when(F.size("conditions") > 0, F.substring(F.array_join("conditions", ", "), 1, 500)),
+            "diagnosis": F.when(F.size("conditions") > 0, conditions if length is None else F.substring(conditions, 1, length)),
             "prescription_date": F.to_date(F.try_element_at("dates", F.lit(1))),
             "medicines": F.transform(
                 "medications", lambda m: F.struct(m["name"].alias("name"), m["atc_code"].alias("atc_code"))

@@ -289,10 +289,14 @@ INVITE_HOURS = 72
 
 
 def new_invites(members: DataFrame, requests: DataFrame, hours: int = INVITE_HOURS) -> dict[str, DataFrame]:
-    """Invites for the requested members (family_member_id, token, created_at); members turn pending."""
+    """Invites for the requested members (family_member_id, token, created_at); members turn pending.
+
+    A member that is not asked keeps its state; one asked twice gets the latest request.
+    """
     life = F.expr(f"interval {hours} hours")
-    asked = requests.select(
-        F.col("family_member_id").alias("id"), "token", F.col("created_at").alias("invite_sent_at")
+    last = F.max(F.struct("created_at", "token"))
+    asked = requests.groupBy(F.col("family_member_id").alias("id")).agg(last.alias("_r")).select(
+        "id", F.col("_r.token").alias("token"), F.col("_r.created_at").alias("invite_sent_at")
     )
     invites = members.select("id", "user_id", "relationship").join(asked, "id").select(
         F.col("user_id").alias("inviter_id"),
@@ -303,11 +307,20 @@ def new_invites(members: DataFrame, requests: DataFrame, hours: int = INVITE_HOU
         F.col("invite_sent_at").alias("created_at"),
         (F.col("invite_sent_at") + life).alias("expires_at"),
     )
-    marked = members.drop("invite_status", "invite_token", "invite_sent_at").join(
-        asked.select("id", F.col("token").alias("invite_token"), "invite_sent_at"), "id", "left"
+    marked = members.join(asked.toDF("id", "_token", "_sent"), "id", "left")
+    fresh = F.col("_token").isNotNull()
+
+    def old(name: str, missing: Column) -> Column:
+        return F.coalesce(F.col(name), missing) if name in members.columns else missing
+
+    marked = marked.withColumns(
+        {
+            "invite_status": F.when(fresh, "pending").otherwise(old("invite_status", F.lit("not_invited"))),
+            "invite_token": F.when(fresh, F.col("_token")).otherwise(old("invite_token", F.lit(None).cast("string"))),
+            "invite_sent_at": F.when(fresh, F.col("_sent")).otherwise(old("invite_sent_at", F.lit(None).cast("timestamp"))),
+        }
     )
-    status = F.when(F.col("invite_token").isNotNull(), "pending").otherwise("not_invited")
-    return {"invites": invites, "members": marked.withColumn("invite_status", status)}
+    return {"invites": invites, "members": marked.drop("_token", "_sent")}
 
 
 def invite_status(invites: DataFrame, now: Column) -> DataFrame:
@@ -332,20 +345,25 @@ def invite_details(invites: DataFrame, users: DataFrame, now: Column) -> DataFra
 def accept_invites(
     invites: DataFrame, members: DataFrame, acceptances: DataFrame, now: Column
 ) -> dict[str, DataFrame]:
-    """Apply acceptances (token, new_user_id) of valid invites to the invite and member tables."""
+    """Apply acceptances (token, new_user_id) of valid invites to the invite and member tables.
+
+    An invite is accepted once: by the smallest user id if several accept it.  Earlier answers stay.
+    """
+    once = acceptances.groupBy("token").agg(F.min("new_user_id").alias("new_user_id"))
+    answered = F.col("responded_at") if "responded_at" in invites.columns else F.lit(None).cast("timestamp")
     valid = (
         invite_status(invites, now)
         .filter("is_valid")
-        .join(acceptances.select("token", "new_user_id"), "token")
+        .join(once, "token")
         .select("token", "family_member_id", "new_user_id")
     )
-    done = valid.select("token", F.lit(True).alias("_done"))
+    done = valid.select("token", F.lit(True).alias("_done")).distinct()
     new_invites_ = (
         invite_status(invites, now)
         .drop("is_valid")
         .join(done, "token", "left")
         .withColumn("status", F.when(F.col("_done"), "accepted").otherwise(F.col("status")))
-        .withColumn("responded_at", F.when(F.col("_done"), now))
+        .withColumn("responded_at", F.when(F.col("_done"), now).otherwise(answered))
         .drop("_done")
     )
     links = valid.filter("family_member_id is not null").groupBy(F.col("family_member_id").alias("id")).agg(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from kinchart.functions import columns as C
 from kinchart.operators import normalize as N
@@ -70,31 +71,51 @@ def upsert_profile(existing: DataFrame, new: DataFrame, key: str, version: str =
     return both.groupBy(F.col(key).alias("_key")).agg(latest.alias("_row")).select("_row.*")
 
 
-def append_rows(existing: DataFrame, new: DataFrame, key: str, defaults: dict[str, Column] | None = None) -> DataFrame:
-    """Add rows with defaults for missing values; a key that exists already (or twice) is refused."""
+def append_rows(
+    existing: DataFrame, new: DataFrame, key: str, defaults: dict[str, Column] | None = None
+) -> dict[str, DataFrame]:
+    """Add rows with defaults for missing values: ``rows`` with the new ones, and ``rejected``.
+
+    A key that exists already is refused; of several new rows with one key one is added.
+    ``rejected`` tells key, reason (exists, repeated) and the number of rows refused for it.
+    """
     for name, value in (defaults or {}).items():
         new = new.withColumn(name, F.coalesce(name, value) if name in new.columns else value)
     if "name" in new.columns:
         new = new.withColumn("name", F.trim("name"))
-    order = [F.col(c) for c in sorted(new.columns) if c != key]
-    first = F.min(F.struct(*order, *[F.col(key).alias("_k")]))
     names = [c for c in sorted(new.columns) if c != key]
-    single = new.groupBy(key).agg(first.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in names])
-    fresh = single.join(existing.select(key), key, "left_anti")
-    return existing.unionByName(fresh, allowMissingColumns=True)
+    # rows are ordered by their text: maps have no order of their own
+    one = F.min_by(F.struct(*names), F.to_json(F.struct(*names)))
+    single = new.groupBy(key).agg(one.alias("_r"), F.count("*").alias("_n"))
+    known = existing.select(F.col(key).alias("_known")).distinct()
+    marked = single.join(known, single[key].eqNullSafe(F.col("_known")) & F.col("_known").isNotNull(), "left")
+    exists = F.col("_known").isNotNull()
+    fresh = marked.filter(~exists).select(key, *[F.col(f"_r.{c}").alias(c) for c in names])
+    refused = marked.filter(exists | (F.col("_n") > 1)).select(
+        key,
+        F.when(exists, "exists").otherwise("repeated").alias("reason"),
+        F.when(exists, F.col("_n")).otherwise(F.col("_n") - 1).alias("refused"),
+    )
+    return {"rows": existing.unionByName(fresh, allowMissingColumns=True), "rejected": refused}
 
 
-def apply_patches(existing: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
+def apply_patches(existing: DataFrame, patches: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:
     """Partial update: ``patches`` has the key and a map ``changes`` of column name to text value.
 
-    A column that is in the map changes (null included); a column that is not stays.
+    A column that is in the map changes (null included); a column that is not stays.  Arrays, maps
+    and structs come as JSON text.  Of several patches of one key the one of the largest ``version``
+    counts, without a version the one whose JSON text is largest.
     """
-    joined = existing.join(patches.select(key, "changes"), key, "left")
+    last = F.struct(*([version] if version else []), F.to_json("changes"))
+    single = patches.groupBy(key).agg(F.max_by("changes", last).alias("changes"))
+    joined = existing.join(single, key, "left")
     changes = F.col("changes")
     out = []
     for field in existing.schema.fields:
         has = F.coalesce(F.map_contains_key(changes, F.lit(field.name)), F.lit(False))
-        value = F.try_element_at(changes, F.lit(field.name)).try_cast(field.dataType)
+        text = F.try_element_at(changes, F.lit(field.name))
+        nested = isinstance(field.dataType, (ArrayType, MapType, StructType))
+        value = F.from_json(text, field.dataType) if nested else text.try_cast(field.dataType)
         out.append(F.col(field.name) if field.name == key else F.when(has, value).otherwise(F.col(field.name)).alias(field.name))
     return joined.select(*out)
 
@@ -220,9 +241,11 @@ def verify_records(
     entity_value; deletions: entity_id (text; ids that start with "custom_" were never stored), record_id.
     """
     has_data = "structured_data" in verified.columns
-    marks = verified.select(
-        F.col("record_id").alias("id"), F.lit(True).alias("_v"), *([F.col("structured_data").alias("_data")] if has_data else [])
-    )
+    # a record that is listed several times counts once, with its latest data (``verified_at``)
+    last = F.struct(*([F.col("verified_at")] if "verified_at" in verified.columns else []), *([F.to_json("structured_data")] if has_data else [F.lit(1)]))
+    data = F.max_by("structured_data", last) if has_data else F.lit(None)
+    marks = verified.groupBy(F.col("record_id").alias("id")).agg(F.lit(True).alias("_v"), data.alias("_data"))
+    marks = marks if has_data else marks.drop("_data")
     seen = records.join(marks, "id", "left").withColumn(
         "is_verified_by_user", F.col("_v").isNotNull() | F.col("is_verified_by_user")
     )
@@ -235,7 +258,7 @@ def verify_records(
         seen = seen.withColumn(
             "structured_data", F.when(F.size(new) > 0, F.map_concat(old, new)).otherwise(F.col("structured_data"))
         )
-    keys = verified.select("record_id")
+    keys = verified.select("record_id").distinct()
     listed = deletions.filter(~F.col("entity_id").startswith("custom_")).select(
         F.col("entity_id").try_cast(entities.schema["id"].dataType).alias("id"), "record_id"
     )
@@ -265,20 +288,17 @@ def verify_records(
     }
 
 
-def sync_prescription(records: DataFrame, entities: DataFrame, length: int = 500) -> dict[str, DataFrame]:
+def sync_prescription(records: DataFrame, entities: DataFrame, length: int | None = None) -> dict[str, DataFrame]:
     """Diagnosis, code and medicine rows of prescription records from the effective entity values.
 
-    The diagnosis is cut at ``length`` characters, and each value adds a separator of two, so no
-    more than the first length / 2 + 1 diseases of a record can show in it.
+    The diagnosis is one text of all diseases of a record, in the order of their ids; ``length`` cuts it.
     """
     wanted = records.filter(F.col("record_type") == "prescription").select(F.col("id").alias("record_id"), "owner_id")
     ents = entities.withColumn("_value", C.effective_value()).join(wanted, "record_id", "left_semi")
     diseases = ents.filter(F.lower("entity_type") == "disease")
-    head = top_per_key(diseases, ["record_id"], [F.asc("id")], length // 2 + 1)
-    parts = F.array_sort(F.collect_list(F.struct("rank", F.coalesce("_value", F.lit("")).alias("v"))))
-    text = head.groupBy("record_id").agg(parts.alias("_p")).select(
-        "record_id", F.substring(F.array_join(F.transform("_p", lambda p: p["v"]), ", "), 1, length).alias("diagnosis")
-    )
+    parts = F.array_sort(F.collect_list(F.struct("id", F.coalesce("_value", F.lit("")).alias("v"))))
+    whole = F.array_join(F.transform(parts, lambda p: p["v"]), ", ")
+    text = diseases.groupBy("record_id").agg((whole if length is None else F.substring(whole, 1, length)).alias("diagnosis"))
     out = wanted.join(text, "record_id", "left")
     if "icd10_code" in entities.columns:
         code = (

@@ -160,14 +160,16 @@ def merge_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def archive_ocr_result(words: DataFrame, results: DataFrame, block: int = 10_000) -> DataFrame:
-    """Nested archive documents: record fields with a words array.
+def archive_ocr_result(words: DataFrame, results: DataFrame) -> dict[str, DataFrame]:
+    """The archive of recognition results: one head row per record, one row per word.
 
-    A record's words are cut into blocks of ``block`` word numbers per page and engine, one document
-    each, so that no array grows with the size of a record.
+    ``heads`` has the fields of ``results`` (with record_id) and the number of words and pages;
+    ``words`` are keyed by record, page, engine and number, so no row grows with a record.
     """
-    word = F.struct("word_no", "engine", "page", "text", F.array("x_min", "y_min", "x_max", "y_max").alias("bbox"), "confidence")
-    nested = words.groupBy(
-        F.col("doc_id").alias("record_id"), "page", "engine", F.floor(F.col("word_no") / block).alias("block")
-    ).agg(F.array_sort(F.collect_list(word)).alias("words"))
-    return nested.join(results, "record_id", "left")
+    box = F.array("x_min", "y_min", "x_max", "y_max").alias("bbox")
+    rows = words.select(F.col("doc_id").alias("record_id"), "page", "engine", "word_no", "text", box, "confidence")
+    # two plain sums: no set of pages is kept for a record
+    pages = rows.groupBy("record_id", "page").agg(F.count("*").alias("n")).groupBy("record_id")
+    counts = pages.agg(F.sum("n").alias("word_count"), F.count("*").alias("page_count"))
+    heads = results.join(counts, "record_id", "left").fillna(0, ["word_count", "page_count"])
+    return {"heads": heads, "words": rows}

@@ -93,9 +93,13 @@ def with_effective_value(entities: DataFrame) -> DataFrame:
 
 
 def apply_corrections(entities: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Set value and flag of the listed entities; a correction names the record it belongs to."""
-    fixes = corrections.select(
-        F.col("entity_id").alias("id"), "record_id", F.col("corrected_value").alias("_fix")
+    """Set value and flag of the listed entities; a correction names the record it belongs to.
+
+    Of several corrections of one entity the latest counts (``corrected_at``), else the largest value.
+    """
+    latest = F.struct(*[c for c in ("corrected_at", "corrected_value") if c in corrections.columns])
+    fixes = corrections.groupBy(F.col("entity_id").alias("id"), "record_id").agg(
+        F.max_by("corrected_value", latest).alias("_fix")
     )
     hit = F.col("_hit").isNotNull()
     return (
@@ -225,25 +229,25 @@ def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int, r
 
 
 def relevant_records(
-    records: DataFrame, entities: DataFrame, complaints: DataFrame, pool: int = 50, top: int = 10
+    records: DataFrame, entities: DataFrame, complaints: DataFrame, pool: int | None = None, top: int = 10
 ) -> DataFrame:
-    """Best records of each patient for a complaint, out of the patient's latest ``pool`` records.
+    """Best records of each patient for a complaint; with ``pool`` only out of the latest so many.
 
-    ``complaints`` has owner_id and complaint.
+    ``complaints`` has owner_id and complaint.  The entities meet their record's complaints first and
+    only those that name one are counted.
     """
     asked = complaints.withColumn("_needle", F.lower("complaint"))
     wanted = records.join(asked.select("owner_id").distinct(), "owner_id", "left_semi")
-    latest = top_per_key(wanted, ["owner_id"], [F.desc("created_at"), F.desc("id")], pool, "_recent")
-    candidates = latest.withColumnRenamed("id", "record_id").join(asked, "owner_id")
-    needles = candidates.select("record_id", "complaint", "_needle")
+    if pool is not None:
+        wanted = top_per_key(wanted, ["owner_id"], [F.desc("created_at"), F.desc("id")], pool, "_recent").drop("_recent")
+    candidates = wanted.withColumnRenamed("id", "record_id").join(asked, "owner_id")
+    needles = candidates.filter(F.col("_needle") != "").select("record_id", "complaint", "_needle")
     matches = (
         entities.select("record_id", F.lower(C.effective_value()).alias("_value"))
-        .groupBy("record_id", "_value")
-        .agg(F.count("*").alias("_n"))
         .join(needles, "record_id")
-        .filter((F.col("_needle") != "") & F.col("_value").contains(F.col("_needle")))
+        .filter(F.col("_value").contains(F.col("_needle")))
         .groupBy("record_id", "complaint")
-        .agg(F.sum("_n").alias("_matches"))
+        .agg(F.count("*").alias("_matches"))
     )
     score = (
         2.0 * F.coalesce("_matches", F.lit(0))

@@ -223,19 +223,40 @@ query(
     "id bigint, status string, is_valid boolean",
     "select * from or_invites",
 )(lambda t: I.invite_status(t.invites, now()))
+def invited(t):
+    """Every third member was invited before; every fifth is asked now, some of them twice."""
+    before = F.col("id") % 3 == 0
+    members = t.members.withColumns(
+        {
+            "invite_status": F.when(before, "accepted"),
+            "invite_token": F.when(before, F.expr("concat('old', id)")),
+            "invite_sent_at": F.when(before, F.col("created_at")),
+        }
+    )
+    asked = t.members.filter("id % 5 = 0").select(
+        F.col("id").alias("family_member_id"), F.expr("concat('new', id)").alias("token"), "created_at"
+    )
+    earlier = asked.filter("family_member_id % 10 = 0").select(
+        "family_member_id", F.lit("earlier").alias("token"), (F.col("created_at") - F.expr("interval 1 hour")).alias("created_at")
+    )
+    return I.new_invites(members, asked.union(earlier))
+
+
 query(
     "new_invites",
     "inviter_id bigint, family_member_id bigint, token string, status string, expires_at timestamp",
     """select user_id as inviter_id, id as family_member_id, concat('new', cast(id as varchar)) as token,
        'pending' as status, created_at + interval 72 hour as expires_at from fx_members where id % 5 = 0""",
 )(
-    lambda t: I.new_invites(
-        t.members,
-        t.members.filter("id % 5 = 0").select(
-            F.col("id").alias("family_member_id"), F.expr("concat('new', id)").alias("token"), "created_at"
-        ),
-    )["invites"]
+    lambda t: invited(t)["invites"]
 )
+query(
+    "new_invites_members",
+    "id bigint, invite_status string, invite_token string, invite_sent_at timestamp",
+    """select id, case when id % 5 = 0 then 'pending' when id % 3 = 0 then 'accepted' else 'not_invited' end as invite_status,
+       case when id % 5 = 0 then concat('new', cast(id as varchar)) when id % 3 = 0 then concat('old', cast(id as varchar)) end
+       as invite_token, case when id % 5 = 0 or id % 3 = 0 then created_at end as invite_sent_at from fx_members""",
+)(lambda t: invited(t)["members"])
 query(
     "invite_details",
     "token string, inviter_name string, relationship string, expires_at timestamp, family_member_id bigint",
@@ -245,15 +266,22 @@ query(
 
 
 def acceptances(t):
-    return t.invites.filter("id % 6 = 0").select("token", (F.col("id") + 1000000).alias("new_user_id"))
+    """Some tokens are accepted by two users."""
+    users = F.explode(F.array(F.col("id") + 2000000, F.col("id") + 1000000))
+    return t.invites.filter("id % 6 = 0").select("token", users.alias("new_user_id"))
+
+
+def answered(t):
+    """Invites that were declined carry the time of that answer."""
+    return t.invites.withColumn("responded_at", F.when(F.col("status") == "declined", F.col("created_at")))
 
 
 query(
     "accept_invites_invites",
     "id bigint, status string, responded_at timestamp",
     f"""select id, case when is_valid and id % 6 = 0 then 'accepted' else status end as status,
-        case when is_valid and id % 6 = 0 then {NOW} end as responded_at from or_invites""",
-)(lambda t: I.accept_invites(t.invites, t.members, acceptances(t), now())["invites"])
+        case when is_valid and id % 6 = 0 then {NOW} when status = 'declined' then created_at end as responded_at from or_invites""",
+)(lambda t: I.accept_invites(answered(t), t.members, acceptances(t), now())["invites"])
 query(
     "accept_invites_members",
     "id bigint, related_user_id bigint, invite_status string",

@@ -128,20 +128,41 @@ query(
        case when relationship = 'other' then 'relationship_known' end, case when related_user_id is null then 'link_required' end,
        case when id > 12000 then 'id_range' end) as reasons from fx_members""",
 )(lambda t: M.validate_rows(t.members, rules()).select("id", F.array_join("reasons", ",").alias("reasons")))
+def appended(t):
+    token = F.when(F.col("id") % 4 == 2, F.expr("concat('fresh', id)")).otherwise(F.col("token"))
+    new = t.invites.filter("id % 2 = 0").select(token.alias("token"), "relationship")
+    return M.append_rows(t.invites, new, "token", {"status": F.lit("pending")})
+
+
 query(
     "append_rows",
     "token string, status string, relationship string",
     """select token, status, relationship from fx_invites union all select concat('fresh', cast(id as varchar)), 'pending',
        relationship from fx_invites where id % 4 = 2""",
+)(
+    lambda t: appended(t)["rows"]
+)
+query(
+    "append_rows_rejected",
+    "token string, reason string, refused bigint",
+    "select token, 'exists' as reason, 1 as refused from fx_invites where id % 2 = 0 and id % 4 <> 2",
+)(lambda t: appended(t)["rejected"])
+query(
+    "append_rows_records",
+    "id bigint, note string, n bigint",
+    """select id, map_extract_value(d, 'note') as note, cardinality(d) as n from (
+         select id, map(['note'], ['old']) as d from fx_records
+         union all select id + 100000000, case when id % 2 = 0 then map(['kind', 'note'], ['new', 'fresh']) else map(['kind'], ['new']) end
+         from fx_records where id % 4 <> 1) q""",
 )(
     lambda t: M.append_rows(
-        t.invites,
-        t.invites.filter("id % 2 = 0").select(
-            F.when(F.col("id") % 4 == 2, F.expr("concat('fresh', id)")).otherwise(F.col("token")).alias("token"), "relationship"
+        t.records.select("id", F.expr("map('note', 'old')").alias("structured_data")),
+        t.records.filter("id % 4 <> 1").select(
+            (F.col("id") + 100000000).alias("id"),
+            F.expr("if(id % 2 = 0, map('kind', 'new', 'note', 'fresh'), map('kind', 'new'))").alias("structured_data"),
         ),
-        "token",
-        {"status": F.lit("pending")},
-    )
+        "id",
+    )["rows"].select("id", F.try_element_at("structured_data", F.lit("note")).alias("note"), F.size("structured_data").alias("n"))
 )
 query(
     "apply_patches",
@@ -156,6 +177,41 @@ query(
         ),
     )
 )
+query(
+    "apply_patches_records",
+    "id bigint, note string, n int, record_type string",
+    """select id, case when id % 5 = 0 then 'second' else 'old' end as note, case when id % 5 = 0 then 2 else 1 end as n,
+       case when id % 5 = 0 then 'patched' else record_type end as record_type from fx_records""",
+)(
+    lambda t: M.apply_patches(
+        t.records.select("id", "record_type", F.expr("map('note', 'old')").alias("structured_data")),
+        t.records.filter("id % 5 = 0").select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("v")).select(
+            "id",
+            "v",
+            F.expr(
+                "map('record_type', 'patched', 'structured_data', if(v = 1, '{\"note\": \"first\"}', '{\"note\": \"second\", \"more\": \"x\"}'))"
+            ).alias("changes"),
+        ),
+        version="v",
+    ).select("id", "record_type", F.try_element_at("structured_data", F.lit("note")).alias("note"), F.size("structured_data").alias("n"))
+)
+query(
+    "apply_patches_prescriptions",
+    "record_id bigint, first_name string, n int",
+    """select id as record_id, case when id % 3 = 0 then 'aspirin' else 'none' end as first_name,
+       case when id % 3 = 0 then 2 else 1 end as n from fx_records where record_type = 'prescription'""",
+)(
+    lambda t: M.apply_patches(
+        t.records.filter("record_type = 'prescription'").select(
+            F.col("id").alias("record_id"), F.expr("array(named_struct('name', 'none', 'atc_code', cast(null as string)))").alias("medicines")
+        ),
+        t.records.filter("record_type = 'prescription' and id % 3 = 0").select(
+            F.col("id").alias("record_id"),
+            F.expr("map('medicines', '[{\"name\": \"aspirin\", \"atc_code\": \"B01AC06\"}, {\"name\": \"x\"}]')").alias("changes"),
+        ),
+        "record_id",
+    ).select("record_id", F.col("medicines")[0]["name"].alias("first_name"), F.size("medicines").alias("n"))
+)
 query(
     "document_intake",
     "path_key string, source_file_type string, extraction_status string, reject_reason string",
@@ -282,7 +338,7 @@ query(
 query(
     "sync_prescription",
     "record_id bigint, owner_id bigint, diagnosis string",
-    f"""select r.id as record_id, owner_id, substring(d, 1, 500) as diagnosis from fx_records r left join (select record_id,
+    f"""select r.id as record_id, owner_id, d as diagnosis from fx_records r left join (select record_id,
         string_agg(coalesce({EFF}, ''), ', ' order by id) as d from fx_entities where entity_type = 'disease' group by 1) x
         on x.record_id = r.id where record_type = 'prescription'""",
 )(lambda t: M.sync_prescription(t.records, t.entities)["prescriptions"])

@@ -188,13 +188,11 @@ query(
 query("users_page", "id bigint, full_name string", "select * from fx_users order by id limit 20 offset 40")(
     lambda t: R.users_page(t.users, 3, 20)
 )
-query(
-    "relevant_records",
-    "owner_id bigint, complaint string, rank int, record_id bigint, score double",
-    f"""with asked as (select id as owner_id, case id % 3 when 0 then 'Diabetes' when 1 then 'prescription for gout'
+def relevant_sql(pool: str) -> str:
+    return f"""with asked as (select id as owner_id, case id % 3 when 0 then 'Diabetes' when 1 then 'prescription for gout'
           else 'aspirin' end as complaint from fx_users),
         latest as (select * from (select *, row_number() over (partition by owner_id order by created_at desc, id desc)
-          as rn from fx_records) where rn <= 50),
+          as rn from fx_records) {pool}),
         scored as (select r.owner_id, complaint, r.id as record_id, r.created_at,
           2.0 * (select count(*) from fx_entities e where e.record_id = r.id
                  and contains(lower({EFF}), lower(complaint)))
@@ -203,19 +201,19 @@ query(
           + case when is_verified_by_user then 0.5 else 0.0 end as score
           from latest r join asked using (owner_id))
         select * from (select *, row_number() over (partition by owner_id, complaint
-          order by score desc, created_at desc, record_id desc) as rank from scored) where rank <= 10""",
-)(
-    lambda t: R.relevant_records(
-        t.records,
-        t.entities,
-        t.users.select(
-            F.col("id").alias("owner_id"),
-            F.when(F.col("id") % 3 == 0, "Diabetes")
-            .when(F.col("id") % 3 == 1, "prescription for gout")
-            .otherwise("aspirin")
-            .alias("complaint"),
-        ),
-    )
+          order by score desc, created_at desc, record_id desc) as rank from scored) where rank <= 10"""
+
+
+def complaints(t):
+    third = F.col("id") % 3
+    text = F.when(third == 0, "Diabetes").when(third == 1, "prescription for gout").otherwise("aspirin")
+    return t.users.select(F.col("id").alias("owner_id"), text.alias("complaint"))
+
+
+RELEVANT = "owner_id bigint, complaint string, rank int, record_id bigint, score double"
+query("relevant_records", RELEVANT, relevant_sql(""))(lambda t: R.relevant_records(t.records, t.entities, complaints(t)))
+query("relevant_records_latest", RELEVANT, relevant_sql("where rn <= 5"))(
+    lambda t: R.relevant_records(t.records, t.entities, complaints(t), pool=5)
 )
 relation(
     "or_timeline",

@@ -726,21 +726,30 @@ query(
 
 def archived(t):
     heads = t.words.select(F.col("doc_id").alias("record_id")).distinct().withColumn("owner_id", F.col("record_id") % 100)
-    return O.archive_ocr_result(t.words, heads, block=4)
+    return O.archive_ocr_result(t.words.withColumn("page", 1 + F.col("word_no") % 3), heads)
 
 
 query(
     "archive_ocr_result",
-    "record_id bigint, page int, engine string, block bigint, n bigint, words string, owner_id bigint",
-    """select doc_id as record_id, page, engine, floor(word_no / 4) as block, count(*) as n,
-       string_agg(text, ',' order by word_no) as words, doc_id % 100 as owner_id from fx_words group by 1, 2, 3, 4, 7""",
-)(
-    lambda t: archived(t).withColumns(
-        {"n": F.size("words"), "words": F.array_join(F.transform("words", lambda w: w["text"]), ",")}
-    )
-)
+    "record_id bigint, page int, engine string, word_no bigint, text string, x_min double, y_max double, confidence double",
+    """select doc_id as record_id, 1 + word_no % 3 as page, engine, word_no, text, x_min, y_max, confidence from fx_words""",
+)(lambda t: archived(t)["words"].withColumns({"x_min": F.col("bbox")[0], "y_max": F.col("bbox")[3]}))
+query(
+    "archive_ocr_heads",
+    "record_id bigint, owner_id bigint, word_count bigint, page_count bigint",
+    """select doc_id as record_id, doc_id % 100 as owner_id, count(*) as word_count, count(distinct word_no % 3) as page_count
+       from fx_words group by 1""",
+)(lambda t: archived(t)["heads"])
+
+
+def nested_results(t):
+    """Documents of the recognition archive as the original stores them: one words array per record."""
+    word = F.struct("word_no", "engine", "page", "text", F.array("x_min", "y_min", "x_max", "y_max").alias("bbox"), "confidence")
+    return t.words.groupBy(F.col("doc_id").alias("record_id")).agg(F.array_sort(F.collect_list(word)).alias("words"))
+
+
 query(
     "ocr_words",
     "record_id bigint, page int, engine string, text string, x_min double, y_max double, confidence double",
     "select doc_id as record_id, page, engine, text, x_min, y_max, confidence from fx_words",
-)(lambda t: O.ocr_words(archived(t).select("record_id", "words")))
+)(lambda t: O.ocr_words(nested_results(t)))

@@ -214,12 +214,49 @@ def test_validation_splits_rows(spark):
     assert {r["id"]: r["reasons"] for r in bad.collect()} == {2: ["length", "gender", "x"], 3: ["name"]}
 
 
-def test_diagnosis_keeps_500_characters_of_many(spark):
+def test_diagnosis_keeps_all_of_many(spark):
     records = spark.createDataFrame([(1, 7, "prescription")], "id long, owner_id long, record_type string")
     rows = [(i, 1, "disease", "a" if i % 2 else "", False, None) for i in range(600)]
     entities = spark.createDataFrame(rows, "id long, record_id long, entity_type string, entity_value string, user_corrected boolean, corrected_value string")
     text = M.sync_prescription(records, entities)["prescriptions"].first()["diagnosis"]
-    assert text == ", ".join(r[3] for r in rows)[:500]
+    assert text == ", ".join(r[3] for r in rows)
+    assert M.sync_prescription(records, entities, length=500)["prescriptions"].first()["diagnosis"] == text[:500]
+
+
+def test_sixty_matching_records_are_all_scored(spark):
+    _, records, entities = family(spark)
+    made = spark.range(60).select(
+        (F.col("id") + 500).alias("id"), F.lit(77).cast("long").alias("owner_id"), F.lit(None).cast("long").alias("family_member_id"),
+        F.lit("other").alias("record_type"), F.lit("done").alias("extraction_status"), F.lit(False).alias("is_verified_by_user"),
+        (F.lit(T0).cast("timestamp") + F.make_interval(days=F.col("id").cast("int"))).alias("created_at"),
+    )
+    hits = made.select(F.col("id").alias("record_id"), F.lit("gout").alias("entity_value"), F.lit(False).alias("user_corrected"), F.lit(None).cast("string").alias("corrected_value"))
+    asked = spark.createDataFrame([(77, "Gout")], "owner_id long, complaint string")
+    rows = R.relevant_records(made, hits.filter("record_id = 500"), asked, top=1).collect()
+    assert [r["record_id"] for r in rows] == [500]
+    assert R.relevant_records(made, hits, asked, top=100).count() == 60
+    assert R.relevant_records(made, hits, asked, pool=50, top=100).count() == 50
+
+
+def test_repeated_keys_do_not_double_rows(spark):
+    _, records, entities = family(spark)
+    twice = spark.createDataFrame([(110,), (110,)], "record_id long")
+    none = spark.createDataFrame([], "record_id long, entity_type string, entity_value string")
+    gone = spark.createDataFrame([], "entity_id string, record_id long")
+    fixes = spark.createDataFrame([(2, 110, "a"), (2, 110, "b")], "entity_id long, record_id long, corrected_value string")
+    out = M.verify_records(records, entities, twice, fixes, none, gone)
+    assert out["records"].count() == records.count() and out["entities"].count() == entities.count()
+    assert R.apply_corrections(entities, fixes).count() == entities.count()
+    patches = spark.createDataFrame([(1, {"v": "x"}), (1, {"v": "y"})], "id long, changes map<string,string>")
+    assert M.apply_patches(spark.createDataFrame([(1, "a")], "id long, v string"), patches).collect() == [(1, "y")]
+
+
+def test_declared_tables_take_patches_and_new_rows(spark):
+    for name in schemas.SCHEMAS:
+        empty = spark.createDataFrame([], schemas.schema(name))
+        patches = spark.createDataFrame([], "id string, changes map<string,string>")
+        assert M.apply_patches(empty, patches).count() == 0
+        assert M.append_rows(empty, empty, "id")["rows"].count() == 0
 
 
 def test_invites_expire_and_are_accepted_once(spark):

@@ -136,6 +136,8 @@ def test_dates(spark):
 
 def test_relative_dates_do_not_overflow(spark):
     df = spark.createDataFrame([("after 99999999999 days",), ("in 1 months",), ("within 2 years",)], "t string")
+    far = spark.createDataFrame([("after 7900 years",), ("after 7999 years",), ("within 2920000 days",)], "t string")
+    assert [str(r[0]) for r in far.select(D.relative_date(F.col("t"), "2001-08-02")).collect()] == ["9901-08-02", "None", "9996-04-29"]
     got = [str(r[0]) for r in df.select(D.relative_date(F.col("t"), "2024-01-31")).collect()]
     assert got == ["None", "2024-02-29", "2026-01-31"]
 
