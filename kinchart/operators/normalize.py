@@ -1,12 +1,15 @@
 """Mapping of free text to codes: exact, fuzzy and substring steps in one lazy expression.
 
 The steps are alternatives of a ``coalesce``, so a text that is in the dictionary pays for one map
-lookup only; the comparison with all keys (fewer than 200) runs for unknown texts.  There is no join.
+lookup only; the comparison with all keys (fewer than 200) runs for unknown texts.  A table repeats
+its texts, so ``per_distinct`` maps every distinct text once and joins the results back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinchart.functions import columns as C
@@ -47,6 +50,14 @@ def _first(found: Column) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
+def per_distinct(rows: DataFrame, text: str, result: Callable[[Column], Column], name: str = "normal") -> DataFrame:
+    """``rows`` with ``name``, the result of each distinct text; whether they are broadcast is decided at run time."""
+    known = rows.select(F.col(text).alias("_text")).distinct()
+    # a generator, not a projection: the optimizer would repeat the whole expression for each field read
+    known = known.select("_text", F.explode(F.array(result(F.col("_text")))).alias(name))
+    return rows.join(known, rows[text].eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
 def normalize_disease(text: Column) -> Column:
     """Struct (display, icd10_code, confidence, method)."""
     query = F.trim(F.lower(text))

@@ -291,11 +291,11 @@ query("fix_ocr_text", "doc_id bigint, text string", f"select doc_id, {fix_sql('t
 relation(
     "or_disease_texts",
     f"""select id, case id % 4 when 0 then substring({EFF}, 1, 2) || substring({EFF}, 4) when 1 then upper({EFF})
-        when 2 then {EFF} || ' nos' else {EFF} end as text from fx_entities where entity_type <> 'lab_value'""",
+        when 2 then {EFF} || ' nos' else {EFF} end as text from fx_entities""",
 )
 
 
-def texts(t, kinds):
+def texts(t):
     v = F.when(F.col("user_corrected"), F.col("corrected_value")).otherwise(F.col("entity_value"))
     m = F.col("id") % 4
     text = (
@@ -304,7 +304,7 @@ def texts(t, kinds):
         .when(m == 2, F.concat(v, F.lit(" nos")))
         .otherwise(v)
     )
-    return t.entities.filter(F.col("entity_type").isin(kinds)).select("id", text.alias("text"))
+    return t.entities.select("id", text.alias("text"))
 
 
 def cascade_sql(source: str, steps: str) -> str:
@@ -336,7 +336,7 @@ query(
         result as (select text, {title_sql('coalesce(c.name, text)')} as display, coalesce(icd10_code, '') as icd10_code,
           confidence, method from chosen c left join {COND_SQL} on co.name = c.name)""",
     ),
-)(lambda t: texts(t, ["disease", "medicine"]).select("id", F.inline(F.array(N.normalize_disease(F.col("text"))))))
+)(lambda t: N.per_distinct(texts(t), "text", N.normalize_disease).select("id", "normal.*"))
 query(
     "normalize_medicines",
     "id bigint, generic_name string, atc_code string, drug_class string, confidence double, method string",
@@ -352,7 +352,7 @@ query(
           coalesce(atc_code, '') as atc_code, coalesce(drug_class, '') as drug_class, confidence, method
           from chosen c left join {DRUG_SQL} on dr.name = c.name)""",
     ),
-)(lambda t: texts(t, ["disease", "medicine"]).select("id", F.inline(F.array(N.normalize_medicine(F.col("text"))))))
+)(lambda t: N.per_distinct(texts(t), "text", N.normalize_medicine).select("id", "normal.*"))
 query(
     "normalize_frequency",
     "id bigint, phrase string",
@@ -386,9 +386,7 @@ query(
           from fuzzy f join texts t on t.text = f.text where not exists (select 1 from {COND_SQL} where co.name = t.query))""",
     ),
 )(
-    lambda t: texts(t, ["disease", "medicine"])
-    .select("id", F.inline(F.array(N.normalize_disease(F.col("text")))))
-    .filter("method = 'fuzzy'")
+    lambda t: N.per_distinct(texts(t), "text", N.normalize_disease).select("id", "normal.*").filter("method = 'fuzzy'")
 )
 query(
     "substring_code_join",
@@ -397,8 +395,8 @@ query(
         min_by(icd10_code, ord) as icd10_code from fx_entities e join {COND_SQL} on contains(lower(corrected_value), co.name)
         or contains(co.name, lower(corrected_value)) group by 1) x""",
 )(
-    lambda t: t.entities.filter("corrected_value is not null")
-    .select("id", F.inline(F.array(N.normalize_disease(F.col("corrected_value")))))
+    lambda t: N.per_distinct(t.entities.filter("corrected_value is not null"), "corrected_value", N.normalize_disease)
+    .select("id", "normal.*")
     .filter("method = 'prefix'")
 )
 query(
