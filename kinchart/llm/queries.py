@@ -95,10 +95,11 @@ def op9_entropy_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Fixed forms and random-looking strings of every document."""
     found = secret_spans(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("spans", lambda s: s["rank"] < 3)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long") for k in range(3)]
+    ranks = F.transform("spans", lambda s: s["rank"])
+    counts = [F.size(ranks) - F.size(F.array_remove(ranks, k)) for k in range(3)]
     return found.select(
         "doc_id",
-        *[c.alias(n) for c, n in zip(counts, ("n_assign", "n_access", "n_hex"))],
+        *[c.cast("long").alias(n) for c, n in zip(counts, ("n_assign", "n_access", "n_hex"))],
         F.sha2(spans_text(base), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
     )

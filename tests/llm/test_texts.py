@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinchart.llm import additive, id_store, language, pieces, queries, repetition, secrets, templates
-from kinchart.llm.odd_sketch import near_copies, shingles, similarity, sketch, samples, without_near_copies
+from kinchart.llm.odd_sketch import differing, near_copies, shingles, similarity, sketch, samples, without_near_copies
 
 FOLDER = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -148,6 +148,9 @@ def test_secret_spans_equal_brute_force(spark, texts):
     for i, r in found.items():
         base = ",".join(f"{k}:{a}:{b}" for a, _, k, b in plain_spans(texts[i]) if k in ("assign", "access", "hex"))
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        counts = Counter(k for _, _, k, _ in plain_spans(texts[i]))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (counts["assign"], counts["access"], counts["hex"])
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, k, b in plain_spans(texts[i]))
     made = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")
     for r in secrets.secret_spans(made).collect():
         told = [(s["start"], s["rank"], s["kind"], s["end"]) for s in r["spans"]]
@@ -388,8 +391,8 @@ def test_odd_sketches_estimate_high_similarities():
             other[k * 150 + 20] = f"z{k}"
         a, b = shingles(" ".join(words).encode()), shingles(" ".join(other).encode())
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        bits = int(np.bitwise_count(sketch(samples(a)) ^ sketch(samples(b))).sum())
-        assert abs(float(similarity(np.array(bits))) - true) < 0.12
+        bits = differing(sketch(samples(a)), sketch(samples(b)))
+        assert abs(float(similarity(bits)) - true) < 0.12
 
 
 def test_leaks_of_the_documents(spark, docs, texts):
