@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinchart.functions import columns as C
@@ -44,6 +44,12 @@ def top_predictions(predictions: DataFrame, n: int = 3) -> DataFrame:
     return top_per_key(active_predictions(predictions), ["user_id"], order, n)
 
 
+def ranked_predictions(predictions: DataFrame) -> DataFrame:
+    """Active predictions of every user, likeliest first (``rank``): the list that goes with a risk profile."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("probability"), F.asc("id"))
+    return active_predictions(predictions).withColumn("rank", F.row_number().over(order))
+
+
 def risk_profile(users: DataFrame, predictions: DataFrame) -> DataFrame:
     """Counts per level, worst level present and last update of every user."""
     counts = (

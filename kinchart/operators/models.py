@@ -93,6 +93,12 @@ def predict_batch(
     return out.select("user_id", F.lit(model).alias("model_key"), "tree_p", "net_p")
 
 
+def confusion(scored: DataFrame, label: str = "label", cut: float = 0.5) -> DataFrame:
+    """Number of rows per class ``y`` and prediction ``p`` at the cut: four at most."""
+    hit = (F.col("probability") >= cut).cast("int")
+    return scored.groupBy(F.col(label).cast("int").alias("y"), hit.alias("p")).agg(F.count("*").alias("n"))
+
+
 def evaluate(scored: DataFrame, label: str = "label", cut: float = 0.5) -> dict:
     """AUC, F1 at the cut, a per-class report, and whether both gates are met.
 
@@ -101,11 +107,7 @@ def evaluate(scored: DataFrame, label: str = "label", cut: float = 0.5) -> dict:
     auc = BinaryClassificationEvaluator(
         labelCol=label, rawPredictionCol="probability", metricName="areaUnderROC"
     ).evaluate(scored)
-    hit = (F.col("probability") >= cut).cast("int")
-    cells = {
-        (int(r["y"]), int(r["p"])): r["n"]
-        for r in scored.groupBy(F.col(label).cast("int").alias("y"), hit.alias("p")).agg(F.count("*").alias("n")).collect()
-    }
+    cells = {(int(r["y"]), int(r["p"])): r["n"] for r in confusion(scored, label, cut).collect()}
     report = {}
     for c in (0, 1):
         tp = cells.get((c, c), 0)

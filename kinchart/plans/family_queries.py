@@ -301,15 +301,26 @@ query(
     f"""select user_id, {GRAPH_SQL} as generation, lower(condition) as condition, sum(entries) as occurrences
         from or_entries join fx_members m on m.id = member_id group by 1, 2, 3""",
 )(lambda t: K.prevalence_by_generation(t.members, entries(t)))
-query(
-    "family_tree",
+TREE = (
     "user_id bigint, member_id bigint, relationship string, generation int, is_linked boolean, condition string, "
-    "total_members bigint",
+    "total_members bigint"
+)
+relation(
+    "or_tree",
     f"""select m.user_id, m.id as member_id, relationship, {GEN_SQL} as generation,
         related_user_id is not null as is_linked, condition, total_members from fx_members m
         join (select user_id, count(*) as total_members from fx_members group by 1) n on n.user_id = m.user_id
         left join or_conditions c on c.member_id = m.id""",
-)(lambda t: K.family_tree(t.members, conditions(t)))
+)
+query("family_tree", TREE, "select * from or_tree")(lambda t: K.family_tree(t.members, conditions(t)))
+query("family_risk_map_nodes", TREE, "select * from or_tree")(
+    lambda t: K.family_risk_map(t.members, conditions(t), t.predictions)["nodes"]
+)
+query(
+    "family_risk_map_predictions",
+    "id bigint, user_id bigint, disease_name string, probability double",
+    "select id, user_id, disease_name, probability from fx_predictions where is_active",
+)(lambda t: K.family_risk_map(t.members, conditions(t), t.predictions)["predictions"])
 query(
     "family_risk_map",
     "user_id bigint, condition string",

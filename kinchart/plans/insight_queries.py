@@ -72,6 +72,12 @@ query(
     "user_id bigint, rank int, disease_name string, probability double",
     "select * from or_top where rank <= 3",
 )(lambda t: I.top_predictions(t.predictions, 3))
+query(
+    "risk_profile_predictions",
+    "user_id bigint, rank int, id bigint, disease_name string, probability double",
+    """select user_id, row_number() over (partition by user_id order by probability desc, id) as rank, id, disease_name,
+       probability from fx_predictions where is_active""",
+)(lambda t: I.ranked_predictions(t.predictions))
 query(
     "risk_profile",
     "user_id bigint, overall_risk_level string, total_predictions bigint, high_risk_count bigint, "

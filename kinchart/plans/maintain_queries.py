@@ -76,6 +76,7 @@ def cascaded(t):
         "predictions": t.predictions,
         "invites": t.invites,
         "access": t.access,
+        "prescriptions": t.records.filter("record_type = 'prescription'").select(F.col("id").alias("record_id"), "owner_id"),
     }
     return M.cascade_delete(tables, users=t.users.filter("id % 10 = 4"), members=t.members.filter("id % 7 = 2"))
 
@@ -106,6 +107,13 @@ GONE = {
         "id bigint, patient_id bigint, doctor_id bigint",
         "select id, patient_id, doctor_id from fx_access where patient_id % 10 <> 4 and not (doctor_id % 10 = 4 and doctor_id in (select id from fx_users))",
     ),
+    "users": ("id bigint", "select id from fx_users where id % 10 <> 4"),
+    "predictions": ("id bigint, user_id bigint", "select id, user_id from fx_predictions where user_id % 10 <> 4"),
+    "prescriptions": (
+        "record_id bigint, owner_id bigint",
+        """select id as record_id, owner_id from fx_records where record_type = 'prescription'
+           and id not in (select id from or_gone_records)""",
+    ),
     "purge": ("record_id bigint", "select id as record_id from or_gone_records"),
 }
 for table, (schema, sql) in GONE.items():

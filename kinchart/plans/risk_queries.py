@@ -1,9 +1,14 @@
 """Queries over features, disease scores and risk profiles."""
 
+from functools import reduce
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinchart.functions import columns as C
 from kinchart.operators import family as K
+from kinchart.operators import models as L
 from kinchart.operators import risk as S
 from kinchart.plans.family_queries import patterns
 from kinchart.plans.registry import query, relation
@@ -405,3 +410,67 @@ query(
         ).alias("confidence"),
     )
 )
+
+# --- model inputs, evaluation, catalog ----------------------------------------------------------------
+
+VECTORS = " union all ".join(
+    f"select user_id, '{m}' as model, unnest(range(0, {len(names)})) as place, "
+    f"unnest([{', '.join(f'cast({n} as double)' for n in names)}]) as value from or_features"
+    for m, names in L.INPUTS.items()
+)
+
+
+def vectors(t):
+    """The input vectors of all models, one row per place."""
+    parts = [
+        L.feature_vector(features(t), m).select("user_id", F.lit(m).alias("model"), F.posexplode(vector_to_array("x")).alias("place", "value"))
+        for m in L.INPUTS
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+query("feature_vector", "user_id bigint, model string, place int, value double", VECTORS)(vectors)
+query(
+    "evaluate_confusion",
+    "y int, p int, n bigint",
+    """select case when (user_id * 31 + id) % 100 < 100 * probability then 1 else 0 end as y,
+       case when probability >= 0.5 then 1 else 0 end as p, count(*) as n from fx_predictions group by 1, 2""",
+)(
+    lambda t: L.confusion(
+        t.predictions.withColumn("label", F.expr("case when (user_id * 31 + id) % 100 < 100 * probability then 1 else 0 end"))
+    )
+)
+MODEL_NAMES = list(L.INPUTS)
+relation(
+    "or_catalog",
+    f"""select [{', '.join(f"'{m}'" for m in MODEL_NAMES)}][1 + user_id % {len(MODEL_NAMES)}] as name,
+        case when id % 2 = 0 then 'trees' else 'net' end as type, concat('v', cast(id as varchar)) as path,
+        timestamp '2024-01-01 00:00:00' + to_minutes(cast(id * 7 % 5003 as int)) as saved_at
+        from fx_predictions where not (id % 2 = 1 and user_id % {len(MODEL_NAMES)} = 1)""",
+)
+
+
+def catalog(t):
+    """Catalog entries made from the predictions; one model has no net."""
+    names = F.array(*[F.lit(m) for m in MODEL_NAMES])
+    return t.predictions.filter(f"not (id % 2 = 1 and user_id % {len(MODEL_NAMES)} = 1)").select(
+        F.get(names, (F.col("user_id") % len(MODEL_NAMES)).cast("int")).alias("name"),
+        F.when(F.col("id") % 2 == 0, "trees").otherwise("net").alias("type"),
+        F.expr("concat('v', id)").alias("path"),
+        F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id * 7 % 5003 as int))").alias("saved_at"),
+    )
+
+
+query(
+    "model_catalog",
+    "name string, type string, path string, saved_at timestamp",
+    """select name, type, path, saved_at from (select *, row_number() over (partition by name, type
+       order by saved_at desc, path desc) as rn from or_catalog) where rn = 1""",
+)(lambda t: L.model_catalog(catalog(t)))
+query(
+    "model_readiness",
+    "name string, trees_exist boolean, net_exists boolean, fully_trained boolean",
+    f"""select n.name, coalesce(bool_or(type = 'trees'), false) as trees_exist, coalesce(bool_or(type = 'net'), false) as net_exists,
+        coalesce(bool_or(type = 'trees') and bool_or(type = 'net'), false) as fully_trained
+        from (values {', '.join(f"('{m}')" for m in MODEL_NAMES)}) as n(name) left join or_catalog c on c.name = n.name group by 1""",
+)(lambda t: L.model_readiness(catalog(t)))

@@ -54,36 +54,48 @@ def rows_of(t, extractor, docs=None):
     return X.explode_entities(df)
 
 
-for name, (pattern, extractor, norm, conf) in PATTERN_QUERIES.items():
+def finder_queries(suffix: str, source: str, docs) -> None:
+    """The pattern finders over one table of texts, each against its span relation."""
+    for name, (pattern, extractor, norm, conf) in PATTERN_QUERIES.items():
+        query(
+            name + suffix,
+            SPAN,
+            f'select doc_id, m as text, start, "end", {norm} as normalized, {conf} as confidence from '
+            f'({spans_sql(source, "text", P[pattern])})',
+        )(lambda t, extractor=extractor: rows_of(t, extractor, docs(t)))
     query(
-        name,
+        "find_lab_values" + suffix,
+        "doc_id bigint, text string, start int, lab_name string, lab_value double, lab_unit string",
+        f"""select doc_id, m as text, start, regexp_extract(m, {q('(?i)' + P['lab_value'])}, 1) as lab_name,
+            cast(regexp_extract(m, {q('(?i)' + P['lab_value'])}, 2) as double) as lab_value,
+            regexp_extract(m, {q('(?i)' + P['lab_value'])}, 3) as lab_unit
+            from ({spans_sql(source, "text", P["lab_value"])})""",
+    )(lambda t: rows_of(t, X.find_lab_values, docs(t)))
+    query(
+        "find_blood_pressure" + suffix,
+        "doc_id bigint, text string, start int, systolic int, diastolic int, normalized string",
+        f"""select *, concat(systolic, '/', diastolic, ' mmHg') as normalized from (select doc_id, m as text, start,
+            regexp_extract(m, {q('(?i)' + P['blood_pressure'])}, 1) as systolic,
+            regexp_extract(m, {q('(?i)' + P['blood_pressure'])}, 2) as diastolic
+            from ({spans_sql(source, "text", P["blood_pressure"])}))""",
+    )(lambda t: rows_of(t, X.find_blood_pressure, docs(t)))
+    query(
+        "find_doctors" + suffix,
         SPAN,
-        f'select doc_id, m as text, start, "end", {norm} as normalized, {conf} as confidence from '
-        f'({spans_sql("fx_notes", "text", P[pattern])})',
-    )(lambda t, extractor=extractor: rows_of(t, extractor))
+        f"""select doc_id, m as text, start, "end", trim(m) as normalized, 0.85 as confidence from
+            ({spans_sql(source, "text", "|".join(r[0] for r in dims.rows("DOCTOR_FORMS", 1)))})""",
+    )(lambda t: rows_of(t, X.find_doctors, docs(t)))
 
-query(
-    "find_lab_values",
-    "doc_id bigint, text string, start int, lab_name string, lab_value double, lab_unit string",
-    f"""select doc_id, m as text, start, regexp_extract(m, {q('(?i)' + P['lab_value'])}, 1) as lab_name,
-        cast(regexp_extract(m, {q('(?i)' + P['lab_value'])}, 2) as double) as lab_value,
-        regexp_extract(m, {q('(?i)' + P['lab_value'])}, 3) as lab_unit
-        from ({spans_sql("fx_notes", "text", P["lab_value"])})""",
-)(lambda t: rows_of(t, X.find_lab_values))
-query(
-    "find_blood_pressure",
-    "doc_id bigint, text string, start int, systolic int, diastolic int, normalized string",
-    f"""select *, concat(systolic, '/', diastolic, ' mmHg') as normalized from (select doc_id, m as text, start,
-        regexp_extract(m, {q('(?i)' + P['blood_pressure'])}, 1) as systolic,
-        regexp_extract(m, {q('(?i)' + P['blood_pressure'])}, 2) as diastolic
-        from ({spans_sql("fx_notes", "text", P["blood_pressure"])}))""",
-)(lambda t: rows_of(t, X.find_blood_pressure))
-query(
-    "find_doctors",
-    SPAN,
-    f"""select doc_id, m as text, start, "end", trim(m) as normalized, 0.85 as confidence from
-        ({spans_sql("fx_notes", "text", "|".join(r[0] for r in dims.rows("DOCTOR_FORMS", 1)))})""",
-)(lambda t: rows_of(t, X.find_doctors))
+
+finder_queries("", "fx_notes", lambda t: t.notes)
+# The whole documents, each twice, with lines of a prescription between and behind them.
+DOC_NOTE = (
+    "concat(text, ' Dr. Asha Rao. Tab metformin ', cast(doc_id % 900 as string), 'mg BD for ', cast(1 + doc_id % 14 as string), "
+    "' days. BP: ', cast(100 + doc_id % 80 as string), '/', cast(60 + doc_id % 40 as string), ' mmHg. ', text, "
+    "' FBS: ', cast(70 + doc_id % 120 as string), ' mg/dL. Syp paracetamol ', cast(1 + doc_id % 9 as string), ' ml thrice daily')"
+)
+relation("or_doc_notes", f"select doc_id, {DOC_NOTE} as text from documents")
+finder_queries("_documents", "or_doc_notes", lambda t: t.spread(t.documents).select("doc_id", F.expr(DOC_NOTE).alias("text")))
 
 # Notes that also carry allergies and more date forms.
 relation(
@@ -541,6 +553,22 @@ query(
 )(lambda t: X.nearest_following(*near_tables(t), 100))
 
 
+relation("or_frequency_spans", spans_sql("fx_notes", "text", P["frequency"]))
+relation("or_duration_spans", spans_sql("fx_notes", "text", P["duration"]))
+for kind, reach, extractor in (("frequency", 150, X.find_frequencies), ("duration", 200, X.find_durations)):
+    query(
+        f"nearest_following_{kind}",
+        "doc_id bigint, start int, target_start int, target_text string",
+        f"""select h.doc_id, h.start, min(d.start) as target_start, arg_min(d.m, d.start) as target_text
+            from ({vocabulary_sql(X.DRUG_NAMES)}) h left join or_{kind}_spans d on d.doc_id = h.doc_id
+            and d.start >= h."end" and d.start - h."end" <= {reach} group by 1, 2""",
+    )(
+        lambda t, extractor=extractor, reach=reach: X.nearest_following(
+            rows_of(t, X.find_drugs), rows_of(t, extractor), reach
+        )
+    )
+
+
 def stored(rows):
     """Rows as a stored table: the real inputs of these queries are tables, not extractions."""
     checkpoint_dir(rows.sparkSession)

@@ -151,14 +151,16 @@ class Tables:
                 text = view_text(f"fx_{name}", "spark")
                 sources = {i: getattr(self, i.removeprefix("fx_")) for i in inputs(text)}
                 made = self.spark.sql(text, **sources)
-                self._made[name] = self.spread(made) if name == "notes" else made
+                self._made[name] = self.spread(made, self.lineitem) if name == "notes" else made
             else:
                 raise AttributeError(name)
         return self._made[name]
 
-    def spread(self, docs: DataFrame) -> DataFrame:
-        """Documents over all cores: a small test file is one row group, hence one task otherwise."""
-        return docs.repartition(self.spark.sparkContext.defaultParallelism)
+    def spread(self, docs: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+        """Documents over all cores where the scan has fewer splits than cores (a small test file); else unmoved."""
+        cores = self.spark.sparkContext.defaultParallelism
+        splits = (docs if scanned is None else scanned).rdd.getNumPartitions()
+        return docs.repartition(cores) if splits < cores else docs
 
     @cached_property
     def own_records(self) -> DataFrame:
