@@ -6,6 +6,7 @@ is idempotent (a batch that runs again overwrites what it wrote before).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,29 +33,33 @@ def _start(stream: DataFrame, batch, checkpoint: str, once: bool):
 def stream_extract(notes: DataFrame, out: str, checkpoint: str, buckets: int = 64, once: bool = True):
     """New notes (record_id, text) become entity rows and a status row per record.
 
-    Batches are written to a folder of their own, so a repeated batch replaces itself.  Readers
-    take the latest batch per record (``current_entities``), which is what makes re-extraction of a
-    record replace its earlier entities.
+    Batches are written to a folder of their own, named by the stream's id (which its checkpoint
+    keeps) and the batch, so a repeated batch replaces itself and another stream replaces nothing.
+    Readers take the batch written last per record (``current_entities``), which is what makes
+    re-extraction of a record replace its earlier entities.
     """
 
     def batch(docs: DataFrame, number: int) -> None:
-        docs = docs.withColumn("bucket", F.pmod(F.xxhash64("record_id"), F.lit(buckets)))
+        stream = docs.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        written = F.lit(time.time()).alias("written")
+        docs = docs.withColumn("bucket", F.pmod(F.xxhash64("record_id"), F.lit(buckets))).persist()  # read twice
         found = X.extract_documents(docs.filter(F.length(F.trim("text")) > 0))
         rows = found.select("record_id", "bucket", F.posexplode_outer("entities").alias("ord", "e"))
-        rows = rows.filter("ord is not null").select("record_id", "bucket", "ord", "e.*", F.lit(number).alias("batch"))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/entities/run={number}")
+        rows = rows.filter("ord is not null").select("record_id", "bucket", "ord", "e.*", F.lit(number).alias("batch"), F.lit(stream).alias("origin"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/entities/stream={stream}/run={number}")
         status = F.when(F.col("text").isNull(), "failed").otherwise("done")
-        docs.select("record_id", status.alias("extraction_status"), F.lit(number).alias("batch")).write.mode(
-            "overwrite"
-        ).parquet(f"{out}/status/run={number}")
+        told = docs.select("record_id", status.alias("extraction_status"), F.lit(number).alias("batch"), F.lit(stream).alias("origin"), written)
+        told.write.mode("overwrite").parquet(f"{out}/status/stream={stream}/run={number}")
+        docs.unpersist()
 
     return _start(notes, batch, checkpoint, once)
 
 
 def current_entities(entities: DataFrame, status: DataFrame) -> DataFrame:
     """Entities of the latest extraction of each record."""
-    latest = status.groupBy("record_id").agg(F.max("batch").alias("batch"))
-    return entities.join(latest, ["record_id", "batch"], "left_semi")
+    last = F.max(F.struct("written", "origin", "batch"))
+    latest = status.groupBy("record_id").agg(last.alias("_l")).select("record_id", "_l.origin", "_l.batch")
+    return entities.join(latest, ["record_id", "origin", "batch"], "left_semi")
 
 
 def refresh_risks(touched: DataFrame, tables: dict[str, DataFrame], as_of) -> DataFrame:
@@ -137,32 +142,40 @@ def stream_violations(events: DataFrame, limit: int = 100, seconds: int = 60, la
     )
 
 
+NEVER_MS = -(2**62)
+
+
 def stream_invite_expiry(changes: DataFrame, hours: int = 72, lateness: str = "1 hour") -> DataFrame:
-    """Invites (token, status, at) that ran out: pending for ``hours`` and neither accepted nor declined."""
+    """Invites (token, status, at) that ran out: pending for ``hours`` and neither accepted nor declined.
+
+    Times of events decide, not their arrival: an answer closes the invite sent before it, also if
+    it arrives first (it is kept until no earlier invite can come), and a later invite opens anew.
+    """
     life_ms = hours * 3_600_000
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            (expires_ms, closed) = state.get
+            sent_ms, answered_ms = state.get
             state.remove()
-            if not closed:
-                yield pd.DataFrame({"token": [key[0]], "expired_at": [pd.Timestamp(expires_ms, unit="ms")]})
+            if sent_ms > answered_ms:
+                yield pd.DataFrame({"token": [key[0]], "expired_at": [pd.Timestamp(sent_ms + life_ms, unit="ms")]})
             return
-        expires_ms, closed = state.get if state.exists else (0, False)
-        for row in pd.concat(list(parts)).sort_values("at").itertuples():
-            at = int(row.at.value // 1_000_000)
-            if row.status == "pending":
-                expires_ms = at + life_ms
-            else:
-                closed = True
-        state.update((expires_ms, closed))
-        state.setTimeoutTimestamp(max(expires_ms, state.getCurrentWatermarkMs() + 1))
+        sent_ms, answered_ms = state.get if state.exists else (NEVER_MS, NEVER_MS)
+        for part in parts:
+            pending = part["status"] == "pending"
+            if pending.any():
+                sent_ms = max(sent_ms, int(part.loc[pending, "at"].max().value // 1_000_000))
+            if not pending.all():
+                answered_ms = max(answered_ms, int(part.loc[~pending, "at"].max().value // 1_000_000))
+        state.update((sent_ms, answered_ms))
+        until = sent_ms + life_ms if sent_ms > answered_ms else answered_ms + 1
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
 
     marked = changes.select("token", "status", "at").withWatermark("at", lateness)
     return marked.groupBy("token").applyInPandasWithState(
         step,
         "token string, expired_at timestamp",
-        "expires_ms bigint, closed boolean",
+        "sent_ms bigint, answered_ms bigint",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ T0 = dt.datetime(2024, 1, 1)
 
 def write_lines(folder, name, rows):
     folder.mkdir(exist_ok=True)
+    time.sleep(0.05)  # a stream takes files in the order of their times
     (folder / name).write_text("\n".join(json.dumps(r, default=str) for r in rows))
 
 
@@ -34,7 +36,7 @@ def test_stream_extract_replaces_earlier_entities(spark, tmp_path):
     J.stream_extract(J.read_files(spark, str(source)), out, checkpoint).awaitTermination(120)
     write_lines(source, "2.json", [{"record_id": "a", "text": "gout"}])
     J.stream_extract(J.read_files(spark, str(source)), out, checkpoint).awaitTermination(120)
-    read = lambda p: spark.read.option("basePath", f"{out}/{p}").parquet(f"{out}/{p}/run=*")
+    read = lambda p: spark.read.option("basePath", f"{out}/{p}").parquet(f"{out}/{p}/stream=*/run=*")
     entities, status = read("entities"), read("status")
     assert entities.filter("batch = 0").count() == 3
     current = J.current_entities(entities, status)
@@ -84,6 +86,19 @@ def test_invites_time_out_unless_answered(spark, tmp_path):
     assert [(r["token"], r["expired_at"]) for r in rows] == [("a", T0 + dt.timedelta(hours=72))]
 
 
+def test_answers_close_earlier_invites_whatever_comes_first(spark, tmp_path):
+    source = tmp_path / "in"
+    at = lambda h: (T0 + dt.timedelta(hours=h)).isoformat()
+    schema = "token string, status string, at timestamp"
+    write_lines(source, "1.json", [{"token": "early", "status": "accepted", "at": at(2)}, {"token": "again", "status": "pending", "at": at(0)}])
+    write_lines(source, "2.json", [{"token": "early", "status": "pending", "at": at(1.5)}, {"token": "again", "status": "declined", "at": at(3)}])
+    write_lines(source, "3.json", [{"token": "again", "status": "pending", "at": at(4)}])
+    write_lines(source, "4.json", [{"token": "z", "status": "pending", "at": at(300)}])
+    changes = J.read_files(spark, str(source), schema, per_trigger=1)
+    rows = drain(J.stream_invite_expiry(changes), tmp_path).collect()
+    assert [(r["token"], r["expired_at"]) for r in rows] == [("again", T0 + dt.timedelta(hours=76))]
+
+
 def test_heatmap_stream_equals_batch(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     records = Tables(spark, folder).records.select("owner_id", "created_at")
