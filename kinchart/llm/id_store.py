@@ -1,9 +1,10 @@
 """Token ids as binary shards with a minimal perfect hash index.
 
 A shard is two files.  ``.ids`` holds the ids of its documents one after another, nothing else
-(little-endian unsigned 32-bit).  ``.idx`` holds, as arrays behind a header of whole numbers:
+(little-endian; two bytes each where the vocabulary allows, else four).  ``.idx`` holds, as arrays
+behind a header of whole numbers:
 
-    magic, documents, distinct keys, hash levels | bits of each level | bit words | ranks before each word |
+    magic, documents, distinct keys, hash levels, bytes of an id | bits of each level | bit words | ranks before each word |
     fingerprint and first document of each slot | offset of each document (one more than documents) |
     key of each document | whether the document has a key
 
@@ -23,7 +24,9 @@ slot names the first; an empty table gives no shard.  Extra columns are not stor
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +43,9 @@ END_ID = 1
 ROWS_A_SHARD = 10_000
 MAGIC = 0x4B43494458
 # Words whose ids a worker remembers; beyond that it starts anew.
-MEMORY = 300_000
+MEMORY = 800_000
+# New words are encoded in runs of this many.
+RUN = 4096
 _MANIFEST = "shard int, path string, n_docs long, n_ids long, min_key long, max_key long"
 
 
@@ -52,22 +57,80 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 2**16 else "<u4"
         self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(1 + max(pieces.values()), bool)
+        self.ends[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """Runs of letters as one text: each ends with the one piece of it that ends a word."""
+        text = b" ".join(words).decode("utf-8")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._one_by_one(words)
+        raw, edges = ids.tobytes(), (cuts * ids.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *edges], edges)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Letters in lower case stand for all their forms, and closing signs are words of their own:
+        the tokenizer lowers letters and cuts between letters and signs anyway.
+        """
+        made, parts = [], set()
+        for word in new:
+            core = word.lower().rstrip(_CLOSING)
+            if core == word:
+                parts.add(word)
+            elif core and core[-1] in _LETTERS and b"<|" not in word:  # not in a special token
+                made.append((word, core, word[len(core) :]))
+                parts.add(core)
+            else:
+                parts.add(word)
+        parts.update(tail for _, _, tail in made)
+        parts.difference_update(self.known)
+        tokenize, kind = self.model.tokenize, "H" if self.kind == "<u2" else "I"
+        plain = [w for w in parts if w.isalpha() and w.islower()]  # ASCII letters: the merges are all that is left to do
+        self.known.update((w, array(kind, [t.id for t in tokenize(w.decode())]).tobytes()) for w in plain)
+        parts.difference_update(plain)
+        letters = [w for w in parts if _letters_only(w)]
+        others = list(parts.difference(letters))
+        self.known.update(zip(others, self._one_by_one(others)))
+        for at in range(0, len(letters), RUN):
+            part = letters[at : at + RUN]
+            self.known.update(zip(part, self._together(part)))
+        known = self.known
+        for word, core, tail in made:
+            known[word] = known[core] + known[tail] if tail else known[core]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
+        words = set().union(*split)
+        new = words.difference(self.known)
         if len(self.known) + len(new) > MEMORY:
             self.known = {}
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+            new = words
+        self._learn(new)
         of = self.known.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        return [b"".join(map(of, w)) for w in split]
 
 
+def _letters_only(word: bytes) -> bool:
+    """Whether the word is one run of letters for the tokenizer, also after lowering."""
+    try:
+        text = word.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text)
+
+
+_CLOSING = b".,;:!?%$#*&|\"()[]{}"
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -88,9 +151,14 @@ class Index:
     offsets: np.ndarray
     keys: np.ndarray
     keyed: np.ndarray
+    width: int
+
+    @property
+    def kind(self) -> str:
+        return f"<u{self.width}"
 
     @staticmethod
-    def build(keys: np.ndarray, keyed: np.ndarray, counts: np.ndarray) -> Index:
+    def build(keys: np.ndarray, keyed: np.ndarray, counts: np.ndarray, width: int) -> Index:
         """``keys`` ascending (those without a key first), ``counts`` ids of each document."""
         mine, first = np.unique(keys[keyed], return_index=True)
         first = first + np.flatnonzero(keyed)[:1].sum()
@@ -107,7 +175,7 @@ class Index:
         index = Index(
             np.array(sizes, "<i8"), bits.astype("<u8"), ranks.astype("<u4"), np.zeros(len(mine), "<u4"),
             np.zeros(len(mine), "<u4"), np.concatenate(([0], np.cumsum(counts))).astype("<i8"),
-            keys.astype("<i8"), keyed.astype("u1"),
+            keys.astype("<i8"), keyed.astype("u1"), width,
         )
         slot = index._slots(mine)
         index.prints[slot] = _fingerprint(mine)
@@ -137,16 +205,16 @@ class Index:
         return np.where(known, self.first[slot].astype(np.int64), -1)
 
     def tobytes(self) -> bytes:
-        head = np.array([MAGIC, len(self.keys), len(self.prints), len(self.sizes)], "<i8")
+        head = np.array([MAGIC, len(self.keys), len(self.prints), len(self.sizes), self.width], "<i8")
         parts = (head, self.sizes, self.words, self.ranks, self.prints, self.first, self.offsets, self.keys, self.keyed)
         return b"".join(p.tobytes() for p in parts)
 
     @staticmethod
     def frombytes(raw: bytes) -> Index:
-        magic, docs, slots, levels = np.frombuffer(raw, "<i8", 4).tolist()
+        magic, docs, slots, levels, width = np.frombuffer(raw, "<i8", 5).tolist()
         if magic != MAGIC:
             raise ValueError("not an index of token ids")
-        at = 32
+        at = 40
         out = []
 
         def take(kind: str, n: int) -> None:
@@ -158,7 +226,7 @@ class Index:
         n_words = int(out[0].sum()) // 64
         for kind, n in (("<u8", n_words), ("<u4", n_words), ("<u4", slots), ("<u4", slots), ("<i8", docs + 1), ("<i8", docs), ("u1", docs)):
             take(kind, n)
-        return Index(*out)
+        return Index(*out, width)
 
 
 def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -170,6 +238,11 @@ def _fingerprint(keys: np.ndarray) -> np.ndarray:
     return (mix64(keys.astype(np.int64).view(np.uint64) + np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype("<u4")
 
 
+def _crc32(ids: bytes, kind: str) -> int:
+    """Of the ids as little-endian unsigned 32-bit numbers."""
+    return zlib.crc32(np.frombuffer(ids, kind).astype("<u4").tobytes())
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
@@ -188,7 +261,6 @@ def write(
         shards, F.asc_nulls_first("key"), F.asc("row")
     )
     ordered = dealt.sortWithinPartitions(F.asc_nulls_first("key"), "row").select("key", "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _open(folder)
@@ -202,15 +274,17 @@ def write(
             of = batch.column(0)
             keys.append(of.fill_null(0).to_numpy(zero_copy_only=False))
             keyed.append(of.is_valid().to_numpy(zero_copy_only=False))
-            for ids in encoder(tokenizer_file).encode(texts_of(batch.column(1))):
+            words = encoder(tokenizer_file)
+            end = np.array([end_id], words.kind).tobytes()
+            for ids in words.encode(texts_of(batch.column(1))):
                 out.write(ids + end)
-                counts.append(len(ids) // 4 + 1)
+                counts.append(len(ids) // len(end) + 1)
         if out is None:
             return
         out.close()
         key_of, has = np.concatenate(keys), np.concatenate(keyed)
         with store.open_output_stream(f"{trial}.idx") as file:
-            file.write(Index.build(key_of, has, np.array(counts, np.int64)).tobytes())
+            file.write(Index.build(key_of, has, np.array(counts, np.int64), len(end)).tobytes())
         for kind in ("ids", "idx"):
             store.move(f"{trial}.{kind}", f"{name}.{kind}")
         known = key_of[has]
@@ -244,7 +318,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{uri}: the index does not fit its documents")
                 counts = np.diff(index.offsets)
                 with store.open_input_stream(f"{path}.ids", buffer_size=2**20) as file:
-                    crc = [zlib.crc32(file.read(4 * n)) for n in counts.tolist()]
+                    crc = [_crc32(file.read(index.width * n), index.kind) for n in counts.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(index.keys, pa.int64(), mask=~keyed),
@@ -269,6 +343,6 @@ def fetch(uri: str, keys: list[int]) -> dict[int, list[np.ndarray]]:
         for key, doc in zip(keys, index.find(np.array(keys)).tolist()):
             while 0 <= doc < len(index.keys) and index.keys[doc] == key:
                 begin, end = index.offsets[doc : doc + 2].tolist()
-                out.setdefault(key, []).append(np.frombuffer(file.read_at(4 * (end - begin), 4 * begin), "<u4"))
+                out.setdefault(key, []).append(np.frombuffer(file.read_at(index.width * (end - begin), index.width * begin), index.kind))
                 doc += 1
     return out
