@@ -209,7 +209,8 @@ def train(
     wanted = int(_HASH_RANGE * min(1.0, max_rows / max(1, known.count())))
     sample = known.where(F.pmod(F.xxhash64(key), F.lit(_HASH_RANGE)) < wanted).limit(2 * max_rows)
     found = docs.select(key, text).join(F.broadcast(sample), key)
-    rows = _features_of(found.limit(2 * max_rows), ["_label"], text).toPandas()
+    # texts stay where they are; what comes to the driver is a bounded number of feature rows
+    rows = _features_of(found, ["_label"], text).limit(2 * max_rows).toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit(x, rows["_label"].to_numpy(np.float64))
 

@@ -6,8 +6,8 @@ those whose bit is not, over hashed byte trigrams.  A text is given the language
 loses least: the logistic loss of every bit is weighted by how reliably that bit is predicted for
 that language.  Where the runner-up is close, the row is flagged as ambiguous.
 
-The frequencies come from a bounded sample of labelled rows (``max_rows``, taken by a hash of the
-text), summed in every task and then by key; the model is a table of n-grams by bits.
+The frequencies come from a sample of about ``max_rows`` labelled rows (drawn by a hash of text and row,
+so copies are drawn one by one), summed in every task and then by key; the model is a table of n-grams by bits.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0; rows without a
 language teach nothing; with one language learned every text with a letter gets it; without any,
@@ -113,7 +113,8 @@ def train(
     """The model of a bounded sample of the rows that ``learn`` admits."""
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
     wanted = int(_HASH_RANGE * min(1.0, max_rows / max(1, docs.where(learn & F.col(lang).isNotNull()).count())))
-    sample = stored(known.where(F.pmod(F.xxhash64(text), F.lit(_HASH_RANGE)) < wanted).limit(2 * max_rows))
+    drawn = F.pmod(F.xxhash64(F.col(text), F.monotonically_increasing_id()), F.lit(_HASH_RANGE))
+    sample = stored(known.where(drawn < wanted))
     sums = _sums(sample, text, lang).toPandas()
     languages = sorted(sums["lang"].unique())
     n = len(languages)
