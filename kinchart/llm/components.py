@@ -31,6 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours is split by the skew join.
     """
     pairs = edges.where("a <> b").select("a", "b")
+    if pairs.isEmpty():
+        return pairs.toDF("node", "comp")
     before = None
     while True:
         pairs = stored(_small_star(_large_star(pairs).where("a <> b").distinct()).where("a <> b").distinct())

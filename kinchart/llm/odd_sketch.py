@@ -4,8 +4,10 @@ A document is the set of its shingles of five words (A-Z in lower case).  Docume
 are one class, so exact copies cost one row however many there are.  Each class has 144 MinHash
 samples: 24 bands of six make its bucket keys, and all samples are folded into an odd sketch, a
 bitmap of parities.  The exclusive or of two sketches counts the samples that differ, which tells
-high similarities apart well; only pairs that the sketches do not rule out are checked on full sets.
-A pair at the threshold of 0.85 misses all bands with a chance of 1e-5, less above it.
+high similarities apart well.  A second bitmap holds the parities of the full set: two of them never
+differ in more bits than the sets have shingles apart, so too many bits rule a pair out for certain.
+Only pairs that neither rules out are checked on full sets.  A pair at the threshold of 0.85 misses
+all bands with a chance of 1e-5, less above it.
 
 Links are what the components need, so pairs already in one component are not compared again:
 
@@ -41,6 +43,8 @@ PERCENT = 85
 BANDS, ROWS = 24, 6
 SAMPLES = BANDS * ROWS
 BITS = 512
+# Bits of the parities of the full set.
+SET_BITS = 2048
 # The sketches rule a pair out below this similarity: four and a half deviations under the threshold.
 RULED_OUT = 0.72
 BLOCK = 2048
@@ -108,12 +112,24 @@ def sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Parity bitmap of the whole set."""
+    odd = np.bincount((found % np.uint64(SET_BITS)).astype(np.int64), minlength=SET_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def similarity(differing: np.ndarray) -> np.ndarray:
     """Similarity that the number of differing bits of two sketches stands for."""
     inside = np.maximum(1 - 2 * np.asarray(differing, float) / BITS, 1e-9)
     return 1 + (BITS / 2) * np.log(inside) / (2 * SAMPLES)
 
 
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which sketches differ; unsigned, for numpy counts the bits of absolute values."""
+    both = np.ascontiguousarray(x ^ y).view(np.uint64)
+    return sum(np.bitwise_count(both[..., i]).astype(np.int16) for i in range(both.shape[-1]))
+
+
 #: Most differing bits of a pair that is not ruled out.
 MOST_BITS = int(np.flatnonzero(similarity(np.arange(BITS // 2)) >= RULED_OUT).max())
 
@@ -128,7 +144,7 @@ def _described(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             n.append(len(found))
             names.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             least = samples(found) if len(found) else None
-            sketches.append(None if least is None else sketch(least))
+            sketches.append(None if least is None else np.concatenate((sketch(least), parity(found))))
             keys.append(None if least is None else bands(least))
         long_list = pa.list_(pa.int64())
         new = [pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(sketches, long_list), pa.array(keys, long_list)]
@@ -191,16 +207,19 @@ def _differing(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
 
 
-def _starred(live: DataFrame, classes: DataFrame) -> DataFrame:
+def _starred(live: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket's members with its first one that the sketches do not rule out."""
     first = live.groupBy("bucket").agg(F.min("cid").alias("a"))
     pairs = live.join(first, "bucket").where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
-    of = classes.select("cid", "sketch")
-    both = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
-    return both.where(_differing(F.col("x"), F.col("y")) <= MOST_BITS).select("a", "b")
+    of = classes.select("cid", "sketch", "n")
+    both = pairs.join(of.toDF("a", "x", "n"), "a").join(of.toDF("b", "y", "m"), "b")
+    words = BITS // 64
+    near = _differing(F.slice("x", 1, words), F.slice("y", 1, words)) <= MOST_BITS
+    apart = _differing(F.slice("x", words + 1, SET_BITS // 64), F.slice("y", words + 1, SET_BITS // 64))
+    return both.where(near & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))).select("a", "b")
 
 
-def _across(live: DataFrame, classes: DataFrame, comps: DataFrame, forest: bool) -> DataFrame:
+def _across(live: DataFrame, classes: DataFrame, comps: DataFrame, forest: bool, percent: int) -> DataFrame:
     """Pairs across components of one bucket that the sketches do not rule out; the best ones if ``forest``."""
     named = live.join(comps.toDF("cid", "comp"), "cid", "left")
     named = named.select("bucket", "cid", F.coalesce("comp", "cid").alias("comp"))
@@ -209,11 +228,11 @@ def _across(live: DataFrame, classes: DataFrame, comps: DataFrame, forest: bool)
         F.min(F.struct("cid", "comp"))["comp"].alias("first"),
     )
     open_ones = facts.where("least <> most").select("bucket", "first", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members = named.join(open_ones, "bucket").join(classes.select("cid", "sketch"), "cid")
+    members = named.join(open_ones, "bucket").join(classes.select("cid", "sketch", "bands", "n"), "cid")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     outside = F.col("comp") != F.col("first")
     blocks = F.when(outside, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    placed = members.select("bucket", F.explode(blocks).alias("block"), own.alias("own"), outside.alias("outside"), "cid", "comp", "sketch")
+    placed = members.select("bucket", F.explode(blocks).alias("block"), own.alias("own"), outside.alias("outside"), "cid", "comp", "sketch", "bands", "n")
     dealt = placed.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,14 +244,14 @@ def _across(live: DataFrame, classes: DataFrame, comps: DataFrame, forest: bool)
             cut = len(rest)
             while cut and rest[cut - 1][:2] == last:
                 cut -= 1
-            yield from _pairs(rest[:cut], forest)
+            yield from _pairs(rest[:cut], forest, percent)
             rest = rest[cut:]
-        yield from _pairs(rest, forest)
+        yield from _pairs(rest, forest, percent)
 
     return map_partitions(dealt, run, "a binary, b binary").distinct()
 
 
-def _pairs(rows: list[tuple], forest: bool) -> Iterator[pa.RecordBatch]:
+def _pairs(rows: list[tuple], forest: bool, percent: int) -> Iterator[pa.RecordBatch]:
     """Of whole groups of (bucket, block), side by side: pairs of outsiders with the block's own members."""
     out: list[tuple[bytes, bytes]] = []
     at = 0
@@ -246,16 +265,25 @@ def _pairs(rows: list[tuple], forest: bool) -> Iterator[pa.RecordBatch]:
         if not home or not guests:
             continue
         code = {c: i for i, c in enumerate(dict.fromkeys(r[5] for r in group))}
-        right = np.array([r[6] for r in home], np.int64)
+        words = BITS // 64
+        right, right_bands, right_n = (np.array([r[i] for r in home], np.int64) for i in (6, 7, 8))
         right_comp = np.array([code[r[5]] for r in home])
         found: list[tuple[int, int, int]] = []
         for start in range(0, len(guests), 128):
             part = guests[start : start + 128]
-            left = np.array([r[6] for r in part], np.int64)
-            bits = sum(np.bitwise_count(left[:, None, i] ^ right[None, :, i]).astype(np.int16) for i in range(right.shape[1]))
+            left, left_bands, left_n = (np.array([r[i] for r in part], np.int64) for i in (6, 7, 8))
+            bits = differing(left[:, None, :words], right[None, :, :words])
             other = np.array([code[r[5]] for r in part])[:, None] != right_comp
-            for g, h in zip(*np.nonzero(other & (bits <= MOST_BITS))):
-                found.append((int(bits[g, h]), start + int(g), int(h)))
+            g, h = np.nonzero(other & (bits <= MOST_BITS))
+            apart = differing(left[g, words:], right[h, words:]).astype(np.int64)
+            near = apart * (100 + percent) <= (left_n[g] + right_n[h]) * (100 - percent)
+            g, h = g[near], h[near]
+            if not forest and len(g):
+                # a pair that shares several buckets is told in the first of them only
+                shared = (left_bands[g] == right_bands[h]).argmax(1)
+                first = left_bands[g, shared] == group[0][0]
+                g, h = g[first], h[first]
+            found += zip(bits[g, h].tolist(), (start + g).tolist(), h.tolist())
         if forest:
             parent = list(range(len(code)))
 
@@ -295,7 +323,7 @@ def near_copies(
     classes = stored(
         rows.where("n > 0").groupBy("cid").agg(
             F.min("key").alias("key"), F.count("*").alias("copies"), F.min("th").alias("th"),
-            F.first("sketch").alias("sketch"), F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("n").alias("n"),
         )
     )
     keyed = classes.select("cid", F.explode("bands").alias("bucket"))
@@ -303,11 +331,16 @@ def near_copies(
     live = stored(keyed.join(shared, "bucket").select("bucket", "cid"))
     sets = _sets(docs, classes.join(live.select("cid").distinct(), "cid", "left_semi").select("cid", "th"), text, words)
 
-    tested = stored(_starred(live, classes))
+    tested = stored(_starred(live, classes, percent))
     comps = components(stored(_confirmed(tested, sets, percent)))
     for forest in (True, True, False):
-        pairs = stored(_across(live, classes, comps, forest).join(tested, ["a", "b"], "left_anti"))
-        comps = _merged(comps, stored(_confirmed(pairs, sets, percent)))
+        found = stored(_across(live, classes, comps, forest, percent))
+        if found.isEmpty():  # no bucket has a pair left across components
+            break
+        pairs = stored(found.join(tested, ["a", "b"], "left_anti"))
+        links = stored(_confirmed(pairs, sets, percent))
+        if not links.isEmpty():
+            comps = _merged(comps, links)
         tested = tested.union(pairs)
 
     linked = classes.select("cid", "key", "copies").join(comps.toDF("cid", "comp"), "cid", "left")
