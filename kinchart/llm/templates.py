@@ -42,6 +42,7 @@ UNITS = frozenset(
     "grams kilogram kilograms liter liters litre litres second seconds minute minutes hour hours day days week weeks "
     "month months year years stunde stunden tag tage jahr jahre heure heures jour jours an ans hora horas dia dias".split()
 )
+_UNIT_WORDS = frozenset(u.encode() for u in UNITS)
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’–—…¿¡•"
 _NUMBER = re.compile(r"^\d[\d.,:/ -]*(?:[^\W\d_]{0,4})$")
 _ENDS = re.compile(r"[.!?:…][\"'”’»)\]]*$")
@@ -56,6 +57,13 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMORY:
             self.clear()
+        bare = word[:-1] if word[-1:] in (b".", b",") else word
+        if bare.isalpha():  # ASCII letters, perhaps with a stop or comma: most words
+            plain = bare.lower()
+            kind = _UNIT if plain in _UNIT_WORDS else _CAPITAL if bare[0] < 97 else _PLAIN
+            ends = bare is not word and word[-1] == 46
+            value = self[word] = (xxhash.xxh3_64_intdigest(plain) & ~15) | kind << 1 | ends
+            return value
         text = word.decode("utf-8", "replace")
         core = text.strip(_SIGNS)
         plain = core.lower()
