@@ -81,13 +81,14 @@ VIEWS = {
         from {customer} <each (0, 'Type 2 Diabetes', 'E11'), (1, 'Hypertension', 'I10'),
           (2, 'Thyroid Disorder', 'E03.9'), (3, 'Cardiovascular Disease', 'I25.1')
           | pd(pi, disease_name, icd10_code)>""",
+    # four grants a patient, eighty patients a doctor, whatever the number of customers
     "fx_access": """
-        select s_suppkey * 100000 + c_custkey as id, c_custkey as patient_id, s_suppkey as doctor_id,
+        select c_custkey * 4 + ki as id, c_custkey as patient_id, cast((c_custkey - c_custkey % 20) / 20 as bigint) + off as doctor_id,
           'read' as access_level,
           case when c_custkey % 3 <> 0
-            then <add date '2001-01-01' | (c_custkey * 13 + s_suppkey) % 400> end as expires_at,
-          (c_custkey + s_suppkey) % 4 <> 0 as is_active
-        from {supplier} join {customer} on c_custkey % 50 = s_suppkey % 50""",
+            then <add date '2001-01-01' | (c_custkey * 13 + ki * 97) % 400> end as expires_at,
+          (c_custkey + ki) % 4 <> 0 as is_active
+        from {customer} <each (0, 0), (1, 7), (2, 14), (3, 21) | dk(ki, off)>""",
     "fx_invites": """
         select id, user_id as inviter_id, id as family_member_id, relationship,
           concat('tok', cast(id as string)) as token,
