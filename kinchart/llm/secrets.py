@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinchart.functions.spans import let
+from kinchart.llm.common import free_name
 
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 ASSIGN = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -216,11 +217,14 @@ def secret_spans(
 
     A random-looking part inside a span of a fixed form, or inside one of an earlier class, is not told twice.
     """
-    value = docs[text]
-    spans = let(fixed_spans(value), lambda s: s)
+    return docs.withColumn("spans", all_spans(docs[text], classes, allowed))
+
+
+def all_spans(text: Column, classes: tuple[CharacterClass, ...] = CLASSES, allowed: str = ALLOWED) -> Column:
+    spans = let(fixed_spans(text), lambda s: s)
     for kind in classes:
-        spans = _with_new(spans, entropy_spans(value, kind, allowed))
-    return docs.withColumn("spans", F.coalesce(F.array_sort(spans), F.array()).cast(SPANS))
+        spans = _with_new(spans, entropy_spans(text, kind, allowed))
+    return F.coalesce(F.array_sort(spans), F.array()).cast(SPANS)
 
 
 def _with_new(spans: Column, more: Column) -> Column:
@@ -241,7 +245,8 @@ def spans_text(spans: Column) -> Column:
 
 def without_secrets(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mask``; overlapping spans become one."""
-    scanned = secret_spans(docs, text)
+    name = free_name(docs, "_spans")
+    scanned = docs.withColumn(name, all_spans(docs[text]))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -253,9 +258,9 @@ def without_secrets(docs: DataFrame, text: str = "text", mask: str = "[SECRET]")
         )
 
     masked = F.aggregate(
-        F.col("spans"),
+        F.col(name),
         start,
         step,
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(docs[text], acc["at"] + 1, F.length(docs[text]))),
     )
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, masked).otherwise(docs[text])).drop("spans")
+    return scanned.withColumn(text, F.when(F.size(name) > 0, masked).otherwise(docs[text])).drop(name)
