@@ -57,6 +57,8 @@ def trigram_shares(text: bytes) -> np.ndarray:
 
 def code_words(n: int, seed: int = 7) -> np.ndarray:
     """Code words of n languages as rows of -1 and 1: all splits up to six, chosen random ones beyond."""
+    if n < 2:  # nothing to tell apart
+        return np.zeros((n, 0), np.float32)
     if n <= 6:
         splits = [[1 if (s >> i) & 1 else -1 for i in range(n)] for s in range(1, 2 ** max(n - 1, 0))]
         return np.array(splits, np.float32).reshape(-1, n).T
@@ -119,7 +121,8 @@ def train(
     languages = sorted(sums["lang"].unique())
     n = len(languages)
     share = np.zeros((n, BUCKETS))
-    share[sums["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy(), sums["bucket"].to_numpy()] = sums["w"]
+    row = sums["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy(np.int64)
+    share[row, sums["bucket"].to_numpy(np.int64)] = sums["w"].to_numpy(float)
     share /= np.maximum(share.sum(1, keepdims=True), 1e-9)
     code = code_words(n)
     on, off = (code.T == 1).astype(float), (code.T == -1).astype(float)
