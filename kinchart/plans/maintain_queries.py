@@ -50,7 +50,7 @@ query(
 
 
 def profiles(t, shift):
-    return t.records.filter("owner_id % 3 <> 1").select(
+    return t.records.select(
         F.col("owner_id").alias("user_id"),
         (F.col("confidence_score") + shift).alias("score"),
         F.struct("created_at", "id").alias("updated_at"),
@@ -61,9 +61,8 @@ query(
     "upsert_profile",
     "user_id bigint, score double",
     """select user_id, arg_max(s, v) as score from (
-         select owner_id as user_id, confidence_score as s, row(created_at, id, 0) as v from fx_records where owner_id % 3 <> 1
-         union all select owner_id, confidence_score + 1, row(created_at, id, 1) from fx_records
-         where owner_id % 3 <> 1 and id % 2 = 0) group by 1""",
+         select owner_id as user_id, confidence_score as s, row(created_at, id, 0) as v from fx_records
+         union all select owner_id, confidence_score + 1, row(created_at, id, 1) from fx_records where id % 2 = 0) group by 1""",
 )(lambda t: M.upsert_profile(profiles(t, 0), profiles(t, 1).filter("updated_at.id % 2 = 0"), "user_id"))
 
 
