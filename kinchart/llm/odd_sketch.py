@@ -318,7 +318,7 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
 def near_copies(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """Per row of ``docs``: its id, ``n_shingles``, ``component_id`` and ``kept``."""
+    """Per row of ``docs``: its id, ``n_shingles``, ``component_id``, ``kept`` and ``text_hash``."""
     rows = stored(_described(docs, key, text, words))
     classes = stored(
         rows.where("n > 0").groupBy("cid").agg(
@@ -347,19 +347,26 @@ def near_copies(
     grouped = linked.where("comp is not null or copies > 1").withColumn("comp", F.coalesce("comp", "cid"))
     least = grouped.groupBy("comp").agg(F.min("key").alias("component_id"))
     answer = grouped.join(least, "comp").select("cid", "component_id")
-    joined = rows.select("key", "n", "cid").join(answer, "cid", "left")
+    joined = rows.select("key", "n", "cid", "th").join(answer, "cid", "left")
     name = F.coalesce("component_id", "key")
     return joined.select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), name.alias("component_id"),
-        F.coalesce(F.col("key") == name, name.isNull()).alias("kept"),
+        F.coalesce(F.col("key") == name, name.isNull()).alias("kept"), F.col("th").alias("text_hash"),
     )
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of every component: that of the smallest id, and one of its copies if the row is repeated."""
-    name, copies = free_name(docs, "_key"), free_name(docs, "_copies")
-    kept = near_copies(docs, key, text).where("kept").groupBy(F.col(key).alias(name)).agg(F.count("*").alias(copies))
-    joined = docs.join(stored(kept), docs[key].cast("long").eqNullSafe(F.col(name)))
-    single = joined.where(F.col(copies) == 1)
-    again = joined.where(F.col(copies) > 1).dropDuplicates([key, text])
-    return single.union(again).select(*[docs[c] for c in docs.columns])
+    name, there = free_name(docs, "_key"), free_name(docs, "_th")
+    marks = stored(near_copies(docs, key, text).select(F.col(key).alias(name), "kept", F.col("text_hash").alias(there)))
+    known = F.col(name).isNotNull()
+    # fewer rows go than stay: the short lists meet the documents, and small ones are broadcast by their size
+    gone = stored(marks.where(~F.col("kept") & known).select(name).distinct())
+    unnamed = stored(marks.where(~F.col("kept") & ~known).select(there).distinct())
+    again = stored(marks.where(F.col("kept") & known).groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name))
+    keyed = docs.withColumns({name: F.col(key).cast("long"), there: F.when(F.col(key).isNull(), F.xxhash64(text))})
+    left = keyed.join(gone, name, "left_anti").join(unnamed, there, "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    repeated = left.join(again, name, "left_semi").dropDuplicates([key, text])
+    return left.join(again, name, "left_anti").select(*docs.columns).union(repeated.select(*docs.columns))

@@ -77,7 +77,7 @@ def op5_output_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_odd_sketches(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_copies(table(spark, folder, "documents").select("doc_id", "text"))
+    return near_copies(table(spark, folder, "documents").select("doc_id", "text")).drop("text_hash")
 
 
 def op7_style_tree(spark: SparkSession, folder: str) -> DataFrame:
