@@ -50,7 +50,7 @@ RULED_OUT = 0.72
 BLOCK = 2048
 BITMAP_BITS = 2**24
 # Words whose hash a worker remembers.
-MEMORY = 400_000
+MEMORY = 150_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _POWER = np.uint64(0x9E3779B97F4A7C15)

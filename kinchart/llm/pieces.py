@@ -30,7 +30,7 @@ from kinchart.llm.common import free_name, map_batches, texts_of
 
 MARKER = "▁"
 # Runs whose ids a worker remembers; beyond that it starts anew.
-MEMORY = 300_000
+MEMORY = 150_000
 # Longer runs are solved one at a time.
 WIDE = 64
 # What a character without a piece scores below the worst piece.

@@ -33,7 +33,7 @@ LEAST_PLAIN = 4
 COVERAGE = 0.5
 CONSISTENT = 0.8
 BITMAP_BITS = 2**24
-MEMORY = 400_000
+MEMORY = 200_000
 
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t oz lb ml l gal s sec min h hr hrs ms d w kb mb gb tb hz khz mhz ghz v a w kw kwh j "
