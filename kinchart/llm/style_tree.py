@@ -5,17 +5,20 @@ down).  Each path has two nodes: its presentation (the run of child tags) and it
 text).  The importance of a node is the entropy of what it shows over the pages of the host, from 0
 (the same on every page) to 1 (different on each).  A branch of a page goes if neither node of its
 path matters.  What a path is named for (menus, headers, footers, side bars, notices, adverts,
-forms, comments) sets its importance to 0, and articles set it to 1, on hosts of any size.
+forms, comments) sets its importance to 0 on hosts of any size, articles included; ``article`` and
+``main`` elements that lie in no such branch raise it by ``RAISED``, no more.
 
 Merging counts (host, node, value) rows, so a host with a third of all pages is summed in parts; the
-pages then meet the short list of unimportant nodes of their host (a skew join splits a hot host).
+pages then meet the short lists of their host (a skew join splits a hot host): its unimportant
+paths, and its important ones beside articles.
 
 The text keeps its page order; character references are decoded; blanks inside a block become one;
-blocks are joined by one blank.  A page with ``article`` (else ``main``) elements is read inside them.
+blocks are joined by one blank.  On a page with words in ``article`` (else ``main``) elements, what
+lies beside them stays if the tree finds it important, and goes where the tree does not know it.
 
-Defined cases: null and empty pages give an empty text; pages without a host form no tree; hosts
-below ``least_pages`` pages have no unimportant node but the named ones; unclosed and stray tags are
-tolerated; repeated rows count as pages.  Columns named like a result are replaced.
+Defined cases: null and empty pages give an empty text; pages without a host form no tree; paths on
+fewer than ``least_pages`` pages of a host are not known to the tree; unclosed and stray tags are
+tolerated; equal pages of a host count once.  Columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from kinchart.llm.urls import host_and_path
 
 LEAST_PAGES = 5
 THRESHOLD = 0.2
+RAISED = 0.1
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
@@ -145,79 +149,102 @@ def walk(page: str) -> tuple[list[tuple], dict[int, int]]:
             path = top.path  # words in line belong to the block around them
         else:
             top.children.append(tag)
-        noise = top.noise or (named and tag not in ("body", "html", "article", "main"))
-        stack.append(_Open(tag, path, noise, top.article or tag == "article", top.main or tag == "main"))
+        noise = top.noise or (named and tag not in ("body", "html", "main"))
+        stack.append(_Open(tag, path, noise, not noise and (top.article or tag == "article"), not noise and (top.main or tag == "main")))
     close(1)
     return out, {path: _hash(" ".join(tags)) for path, tags in styles.items()}
 
 
-def page_text(page: str | None, unimportant: frozenset[int] = frozenset()) -> str:
-    """The text of one page without named noise and without the given paths."""
+def _inside(pieces: list[tuple]) -> list[bool]:
+    """Whether each piece lies in the page's articles, else in its main elements; true where it has words in neither."""
+    for kind in (2, 3):
+        if any(p[kind] and p[4] is not None and not p[4].isspace() for p in pieces):
+            return [p[kind] for p in pieces]
+    return [True] * len(pieces)
+
+
+def page_text(page: str | None, unimportant: frozenset[int] = frozenset(), important: frozenset[int] = frozenset()) -> str:
+    """The text of one page without named noise and unimportant paths; beside articles, important paths only."""
     if not page:
         return ""
     pieces, _ = walk(page)
-    article = any(p[2] for p in pieces if p[4] is not None)
-    main = not article and any(p[3] for p in pieces if p[4] is not None)
     blocks = []
-    for path, noise, in_article, in_main, text in pieces:
+    for (path, noise, _, _, text), inside in zip(pieces, _inside(pieces)):
         if text is None:
             blocks.append(" ")
-        elif not noise and (in_article or not article) and (in_main or not main):
-            if in_article or in_main or path not in unimportant:
-                blocks.append(text)
+        elif not noise and path not in unimportant and (inside or path in important):
+            blocks.append(text)
     return " ".join(html.unescape("".join(blocks)).split())
 
 
 def _nodes(pages: DataFrame, url: str, page: str) -> DataFrame:
-    """One row per page and node: host, path, kind of node, what it shows."""
+    """One row per page and node: host, path, kind of node, what it shows, whether it is in an article or main
+    element, whether it lies beside those of its page, and the page's hash.
+    """
     host, _ = host_and_path(F.col(url))
+    names = ["host", "path", "kind", "value", "raised", "beside", "page"]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: tuple[list, list, list, list] = ([], [], [], [])
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        rows: list[list] = [[] for _ in names]
+        for name, text, of in zip(*(c.to_pylist() for c in batch.columns)):
             pieces, styles = walk(text)
             content: dict[int, list[str]] = {}
-            for path, noise, _, _, piece in pieces:
+            raised, beside = set(), set()
+            for (path, noise, in_article, in_main, piece), inside in zip(pieces, _inside(pieces)):
                 if piece is not None and not noise and not piece.isspace():
                     content.setdefault(path, []).append(piece)
+                    if in_article or in_main:
+                        raised.add(path)
+                    if not inside:
+                        beside.add(path)
             for kind, values in ((0, {p: _hash(*v) for p, v in content.items()}), (1, {p: styles.get(p, 0) for p in content})):
                 for path, value in values.items():
-                    for column, v in zip(rows, (name, path, kind, value)):
+                    for column, v in zip(rows, (name, path, kind, value, path in raised, path in beside, of)):
                         column.append(v)
-        kinds = (pa.string(), pa.int64(), pa.int8(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["host", "path", "kind", "value"])
+        kinds = (pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
 
-    useful = pages.select(host.alias("host"), F.col(page).alias("page")).where("host <> '' and page <> ''")
-    return map_batches(useful, each, "host string, path long, kind byte, value long")
+    useful = pages.select(host.alias("host"), F.col(page).alias("page"), F.xxhash64(page).alias("of")).where("host <> '' and page <> ''")
+    return map_batches(useful, each, "host string, path long, kind byte, value long, raised boolean, beside boolean, page long")
 
 
 def node_importance(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host, path, kind (0 content, 1 presentation), pages, importance: entropy over the pages, from 0 to 1."""
-    shown = _nodes(pages, url, page).groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
-    merged = shown.groupBy("host", "path", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+    """host, path, kind (0 content, 1 presentation), pages, importance: entropy over the different pages, from 0 to 1;
+    ``raised`` in articles and main elements, ``beside`` where a page has them elsewhere.
+    """
+    flags = [F.max(c).alias(c) for c in ("raised", "beside")]
+    once = _nodes(pages, url, page).groupBy("host", "path", "kind", "value", "page").agg(*flags)
+    shown = once.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"), *flags)
+    merged = shown.groupBy("host", "path", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"), *flags)
     entropy = (F.log("pages") - F.col("clogc") / F.col("pages")) / F.log("pages")
-    return merged.select("host", "path", "kind", "pages", F.when(F.col("pages") > 1, entropy).otherwise(1.0).alias("importance"))
+    return merged.select(
+        "host", "path", "kind", "pages", F.when(F.col("pages") > 1, entropy).otherwise(1.0).alias("importance"), "raised", "beside"
+    )
 
 
 def main_text(
     pages: DataFrame, url: str = "url", page: str = "html", least_pages: int = LEAST_PAGES, threshold: float = THRESHOLD
 ) -> DataFrame:
     """``pages`` without the markup, with ``text`` and ``n_chars``."""
-    nodes = node_importance(pages, url, page)
-    known = nodes.groupBy("host", "path").agg(F.max("importance").alias("importance"), F.min("pages").alias("pages"))
-    low = known.where((F.col("pages") >= least_pages) & (F.col("importance") < threshold))
+    raised = F.when(F.max("raised"), RAISED).otherwise(0.0)
+    known = node_importance(pages, url, page).groupBy("host", "path").agg(
+        (F.max("importance") + raised).alias("importance"), F.min("pages").alias("pages"), F.max("beside").alias("beside")
+    )
+    low = F.col("importance") < threshold
+    told = known.where((F.col("pages") >= least_pages) & (low | F.col("beside")))
     rest = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in rest]
-    name, paths, body = (free_name(pages, n) for n in ("_host", "_low", "_page"))
-    lists = stored(low.groupBy(F.col("host").alias(name)).agg(F.collect_list("path").alias(paths)))
+    name, lows, highs, body = (free_name(pages, n) for n in ("_host", "_low", "_high", "_page"))
+    found = [F.collect_list(F.when(test, F.col("path"))).alias(n) for n, test in ((lows, low), (highs, ~low))]
+    lists = stored(told.groupBy(F.col("host").alias(name)).agg(*found))
     host, _ = host_and_path(F.col(url))
     joined = pages.select(*rest, F.col(page).alias(body), host.alias(name)).join(lists, name, "left")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for raw, low_paths in zip(batch.column(len(rest)).to_pylist(), batch.column(len(rest) + 1).to_pylist()):
-            texts.append(page_text(raw, frozenset(low_paths or ())))
+        for raw, *paths in zip(*(c.to_pylist() for c in batch.columns[len(rest) :])):
+            texts.append(page_text(raw, *(frozenset(p or ()) for p in paths)))
         new = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *new], [*rest, "text", "n_chars"])
 
-    return map_batches(joined.select(*rest, body, paths), each, ", ".join([*fields, "text string, n_chars long"]))
+    return map_batches(joined.select(*rest, body, lows, highs), each, ", ".join([*fields, "text string, n_chars long"]))

@@ -61,6 +61,23 @@ def test_style_tree_defined_cases(spark):
     assert style_tree.main_text(pages.limit(0)).count() == 0
 
 
+ARTICLE = """<html><body><article><h1>Head {n}</h1><p>Story {n}</p><div class="box"><p>Same words on every page</p></div></article>
+<article class="comment"><p>Reader {n}</p></article><div class="extra"><p>Appendix {n}</p></div><div class="end"><p>All rights</p></div></body></html>"""
+CARDS = """<body><div class="text"><p>Story {n}</p></div><aside><article><p>Card {n}</p></article></aside></body>"""
+
+
+def test_style_tree_decides_inside_and_beside_articles(spark):
+    rows = [(n, f"https://one.example/{n}", ARTICLE.format(n=n)) for n in range(8)]
+    rows += [(n, f"https://cards.example/{n}", CARDS.format(n=n)) for n in range(10, 18)]
+    rows += [(n, "https://copies.example/", ARTICLE.format(n=20)) for n in range(20, 28)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in style_tree.main_text(pages).collect()}
+    for n in range(8):
+        assert got[n] == f"Head {n} Story {n} Appendix {n}"
+        assert got[n + 10] == f"Story {n + 10}"
+        assert got[n + 20] == "Head 20 Story 20 Same words on every page"  # one page: no tree
+
+
 def plain_rule(url):
     if url is None or "://" not in url:
         host = path = ""
