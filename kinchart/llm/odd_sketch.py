@@ -1,13 +1,13 @@
 """Near-duplicates by MinHash bands, odd sketches and an exact check.
 
 A document is the set of its shingles of five words (A-Z in lower case).  Documents with equal sets
-are one class, so exact copies cost one row however many there are.  Each class has 144 MinHash
-samples: 24 bands of six make its bucket keys, and all samples are folded into an odd sketch, a
-bitmap of parities.  The exclusive or of two sketches counts the samples that differ, which tells
+are one class, so exact copies cost one row however many there are.  Each class has MinHash samples
+in bands that make its bucket keys (144 in 24 bands of six at the threshold of 0.85, 145 in 29 bands
+of five at 0.80: see ``shape``), and all samples are folded into an odd sketch, a bitmap of parities.  The exclusive or of two sketches counts the samples that differ, which tells
 high similarities apart well.  A second bitmap holds the parities of the full set: two of them never
 differ in more bits than the sets have shingles apart, so too many bits rule a pair out for certain.
-Only pairs that neither rules out are checked on full sets.  A pair at the threshold of 0.85 misses
-all bands with a chance of 1e-5, less above it.
+Only pairs that neither rules out are checked on full sets.  A pair at the threshold misses all bands
+with a chance of 1e-5, less above it.
 
 Links are what the components need, so pairs already in one component are not compared again:
 
@@ -27,6 +27,7 @@ its component has no id at all; repeated rows are copies.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +46,11 @@ SAMPLES = BANDS * ROWS
 BITS = 512
 # Bits of the parities of the full set.
 SET_BITS = 2048
-# The sketches rule a pair out below this similarity: four and a half deviations under the threshold.
-RULED_OUT = 0.72
+# A pair at the threshold may miss all bands with this chance.
+MISSED = 1.2e-5
+MOST_SAMPLES = 150
+# The sketches rule a pair out this many deviations under the threshold.
+DEVIATIONS = 4.5
 BLOCK = 2048
 BITMAP_BITS = 2**24
 # Words whose hash a worker remembers.
@@ -57,7 +61,20 @@ _POWER = np.uint64(0x9E3779B97F4A7C15)
 _draw = np.random.default_rng(20_240_607)
 _MASKS = _draw.integers(0, 2**32, SAMPLES, np.uint32)
 _FACTORS = _draw.integers(0, 2**32, SAMPLES, np.uint32) | np.uint32(1)
-_PLACE = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
+# What thresholds other than 0.85 need beyond these.
+_MASKS = np.append(_MASKS, _draw.integers(0, 2**32, MOST_SAMPLES - SAMPLES, np.uint32))
+_FACTORS = np.append(_FACTORS, _draw.integers(0, 2**32, MOST_SAMPLES - SAMPLES, np.uint32) | np.uint32(1))
+_PLACE = np.arange(MOST_SAMPLES, dtype=np.uint64) << np.uint64(32)
+
+
+def shape(percent: int) -> tuple[int, int]:
+    """Bands and their rows at a threshold: as many rows as the samples allow if a pair may hardly miss all bands."""
+    for rows in range(ROWS, 0, -1):
+        alike = min(percent / 100, 0.999) ** rows
+        count = max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-alike)))
+        if count * rows <= MOST_SAMPLES:
+            return count, rows
+    raise ValueError(f"no bands for a threshold of {percent} per cent")
 
 
 class _Words(dict):
@@ -86,28 +103,28 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(mix64(run + np.uint64(width)))
 
 
-def samples(found: np.ndarray) -> np.ndarray:
+def samples(found: np.ndarray, count: int = SAMPLES) -> np.ndarray:
     """MinHash samples of a set of hashes."""
     x = (found >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SAMPLES, 2**32 - 1, np.uint32)
+    least = np.full(count, 2**32 - 1, np.uint32)
     for at in range(0, len(x), 256):
-        block = x[at : at + 256, None] ^ _MASKS
-        block *= _FACTORS
+        block = x[at : at + 256, None] ^ _MASKS[:count]
+        block *= _FACTORS[:count]
         np.minimum(least, block.min(0), out=least)
     return least
 
 
-def bands(least: np.ndarray) -> np.ndarray:
-    keys = least.reshape(BANDS, ROWS).astype(np.uint64)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
+def bands(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    keys = least.reshape(-1, rows).astype(np.uint64)
+    out = np.arange(1, len(keys) + 1, dtype=np.uint64)
+    for i in range(rows):
         out = mix64(out * _POWER + keys[:, i])
     return out.view(np.int64)
 
 
 def sketch(least: np.ndarray) -> np.ndarray:
     """Parity bitmap of the samples as whole numbers of 64 bits."""
-    bit = mix64(_PLACE | least.astype(np.uint64)) % np.uint64(BITS)
+    bit = mix64(_PLACE[: len(least)] | least.astype(np.uint64)) % np.uint64(BITS)
     odd = np.bincount(bit.astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -118,10 +135,10 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def similarity(differing: np.ndarray) -> np.ndarray:
+def similarity(differing: np.ndarray, count: int = SAMPLES) -> np.ndarray:
     """Similarity that the number of differing bits of two sketches stands for."""
     inside = np.maximum(1 - 2 * np.asarray(differing, float) / BITS, 1e-9)
-    return 1 + (BITS / 2) * np.log(inside) / (2 * SAMPLES)
+    return 1 + (BITS / 2) * np.log(inside) / (2 * count)
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -130,12 +147,16 @@ def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(both[..., i]).astype(np.int16) for i in range(both.shape[-1]))
 
 
-#: Most differing bits of a pair that is not ruled out.
-MOST_BITS = int(np.flatnonzero(similarity(np.arange(BITS // 2)) >= RULED_OUT).max())
+def most_bits(percent: int) -> int:
+    """Most differing bits of a pair that is not ruled out."""
+    count, alike = math.prod(shape(percent)), percent / 100
+    ruled_out = alike - DEVIATIONS * math.sqrt(alike * (1 - alike) / count)
+    return int(np.flatnonzero(similarity(np.arange(BITS // 2), count) >= ruled_out).max())
 
 
-def _described(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+def _described(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """Per row: id, hash of the text, number of shingles, class, sketch, bands."""
+    count, in_band = shape(percent)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, names, sketches, keys = [], [], [], []
@@ -143,9 +164,9 @@ def _described(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             found = shingles(t, words)
             n.append(len(found))
             names.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            least = samples(found) if len(found) else None
+            least = samples(found, count * in_band) if len(found) else None
             sketches.append(None if least is None else np.concatenate((sketch(least), parity(found))))
-            keys.append(None if least is None else bands(least))
+            keys.append(None if least is None else bands(least, in_band))
         long_list = pa.list_(pa.int64())
         new = [pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(sketches, long_list), pa.array(keys, long_list)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], ["key", "th", "n", "cid", "sketch", "bands"])
@@ -214,7 +235,7 @@ def _starred(live: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     of = classes.select("cid", "sketch", "n")
     both = pairs.join(of.toDF("a", "x", "n"), "a").join(of.toDF("b", "y", "m"), "b")
     words = BITS // 64
-    near = _differing(F.slice("x", 1, words), F.slice("y", 1, words)) <= MOST_BITS
+    near = _differing(F.slice("x", 1, words), F.slice("y", 1, words)) <= most_bits(percent)
     apart = _differing(F.slice("x", words + 1, SET_BITS // 64), F.slice("y", words + 1, SET_BITS // 64))
     return both.where(near & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))).select("a", "b")
 
@@ -254,6 +275,7 @@ def _across(live: DataFrame, classes: DataFrame, comps: DataFrame, forest: bool,
 def _pairs(rows: list[tuple], forest: bool, percent: int) -> Iterator[pa.RecordBatch]:
     """Of whole groups of (bucket, block), side by side: pairs of outsiders with the block's own members."""
     out: list[tuple[bytes, bytes]] = []
+    most = most_bits(percent)
     at = 0
     while at < len(rows):
         end = at
@@ -274,7 +296,7 @@ def _pairs(rows: list[tuple], forest: bool, percent: int) -> Iterator[pa.RecordB
             left, left_bands, left_n = (np.array([r[i] for r in part], np.int64) for i in (6, 7, 8))
             bits = differing(left[:, None, :words], right[None, :, :words])
             other = np.array([code[r[5]] for r in part])[:, None] != right_comp
-            g, h = np.nonzero(other & (bits <= MOST_BITS))
+            g, h = np.nonzero(other & (bits <= most))
             apart = differing(left[g, words:], right[h, words:]).astype(np.int64)
             near = apart * (100 + percent) <= (left_n[g] + right_n[h]) * (100 - percent)
             g, h = g[near], h[near]
@@ -319,7 +341,7 @@ def near_copies(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
     """Per row of ``docs``: its id, ``n_shingles``, ``component_id``, ``kept`` and ``text_hash``."""
-    rows = stored(_described(docs, key, text, words))
+    rows = stored(_described(docs, key, text, words, percent))
     classes = stored(
         rows.where("n > 0").groupBy("cid").agg(
             F.min("key").alias("key"), F.count("*").alias("copies"), F.min("th").alias("th"),
@@ -355,10 +377,10 @@ def near_copies(
     )
 
 
-def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row of every component: that of the smallest id, and one of its copies if the row is repeated."""
     name, there = free_name(docs, "_key"), free_name(docs, "_th")
-    marks = stored(near_copies(docs, key, text).select(F.col(key).alias(name), "kept", F.col("text_hash").alias(there)))
+    marks = stored(near_copies(docs, key, text, percent=percent).select(F.col(key).alias(name), "kept", F.col("text_hash").alias(there)))
     known = F.col(name).isNotNull()
     # fewer rows go than stay: the short lists meet the documents, and small ones are broadcast by their size
     gone = stored(marks.where(~F.col("kept") & known).select(name).distinct())

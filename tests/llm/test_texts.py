@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinchart.llm import additive, id_store, language, pieces, queries, repetition, secrets, templates
+import corpus_pipeline
+from kinchart.llm import additive, id_store, language, odd_sketch, pieces, queries, repetition, secrets, templates
 from kinchart.llm.odd_sketch import differing, near_copies, shingles, similarity, sketch, samples, without_near_copies
 
 FOLDER = "/root/testdata/sf0.01"
@@ -383,6 +384,27 @@ def test_near_copies_defined_cases(odd, empty):
     assert near_copies(empty).count() == 0 and without_near_copies(empty).count() == 0
 
 
+def test_thresholds_shape_the_bands():
+    assert odd_sketch.shape(85) == (24, 6) and odd_sketch.most_bits(85) == 69
+    for percent in (95, 85, 80, 70, 50):
+        count, rows = odd_sketch.shape(percent)
+        assert (1 - (percent / 100) ** rows) ** count <= 1.2e-5 and count * rows <= 150
+    assert odd_sketch.most_bits(80) > odd_sketch.most_bits(85)
+
+
+def test_pipeline_drops_pairs_from_eighty_per_cent(spark):
+    made = []
+    for n in range(60):
+        words = [f"d{n}x{i}" for i in range(204)]
+        other = list(words)
+        for place in (20, 70, 120, 170):
+            other[place] = "new"  # twenty of 200 shingles: 180 of 220 shared
+        made += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 60
+    assert without_near_copies(docs).count() == 120
+
+
 def test_odd_sketches_estimate_high_similarities():
     words = [f"w{i}" for i in range(2000)]
     for changed in (0, 5, 12):
