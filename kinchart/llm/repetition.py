@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from kinchart.llm.common import map_batches, mix64, texts_of, word_ids
 
 # Largest share of characters inside repeated n-grams of n words (all their places count), and
-# inside lines that repeat an earlier line.
-LIMITS = {5: 0.55, 6: 0.53, 7: 0.51, 8: 0.49, 9: 0.47, 10: 0.45}
-LINE_LIMIT = 0.30
+# inside lines that repeat an earlier line.  One line of up to nine words may stand twice in a text of
+# fifty; longer windows are passages pasted again.
+LIMITS = {5: 0.44, 6: 0.43, 7: 0.42, 8: 0.41, 9: 0.40, 10: 0.30}
+LINE_LIMIT = 0.22
 MIN_WORDS = 50
 # Per cent of the words that may stand in repeated windows of three words.
 MAX_REPEAT_PERCENT = 50

@@ -106,6 +106,16 @@ def test_repetition_rejects_loops_and_keeps_one_repeated_line():
     assert not repetition.measure(half.encode(), repetition.LIMITS, 0.3)[-1]
 
 
+def test_repetition_rejects_what_the_base_rule_passes():
+    part = " ".join(f"p{i}" for i in range(100, 140))
+    pasted = f"{part} {' '.join(f'q{i}' for i in range(100, 220))} {part}"
+    found = repetition.measure(pasted.encode(), repetition.LIMITS, repetition.LINE_LIMIT)
+    assert not found[5] and found[6] == pytest.approx(0.4) and not found[-1]
+    short = "\n".join(["thank you"] * 9 + [" ".join(f"v{i}" for i in range(10, 70))])
+    found = repetition.measure(short.encode(), {10: 0.3}, repetition.LINE_LIMIT)
+    assert not found[5] and 0.22 < found[7] < 0.30 and not found[-1]
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
