@@ -31,10 +31,13 @@ HEX = r"[0-9a-f]{24,}"
 MIN_VALUE = 6
 SCALE = 2**20
 
-# Runs that are no secrets: digits only, words (also joined by signs, with short numbers), universally unique ids,
-# digests of published packages, alphabets written out.
+# Runs that are no secrets: digits only, words (also joined by signs, with short numbers), words of one case with a
+# short number behind them and numbers (joined by signs), universally unique ids, digests of published packages,
+# alphabets written out.
+_WORD = r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]{1,10})"
 ALLOWED = (
     r"^(?:[0-9]+|[A-Za-z]+(?:[-_+/=]+(?:[A-Za-z]+|[0-9]{1,4}))*[-_+/=]*|[-_+/=]+|[0-9-]+"
+    rf"|[-_+/=]*{_WORD}(?:[-_+/=]+{_WORD}){{0,60}}[-_+/=]*"
     r"|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+"
     r"|(?:0123456789|abcdefghij|ABCDEFGHIJ).*)$"
 )
@@ -55,10 +58,12 @@ class CharacterClass:
         return math.floor((math.log2(self.window) - self.bits) * self.window * SCALE)
 
 
+# The limit of the widest class suits keys of fewer signs, too (lower case or capitals with digits, base 32): their
+# windows are windows of this class.  The allow-list holds down false alarms.
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 CLASSES = (
     CharacterClass("entropy_hex", "0-9A-Fa-f", _DIGITS + "abcdefABCDEF", 20, 2.8),
-    CharacterClass("entropy_base64", "A-Za-z0-9+/_=-", _DIGITS + _LOWER + _LOWER.upper() + "+/_=-", 20, 3.9),
+    CharacterClass("entropy_base64", "A-Za-z0-9+/_=-", _DIGITS + _LOWER + _LOWER.upper() + "+/_=-", 20, 3.4),
 )
 KINDS = ("assign", "access", "hex", *[c.kind for c in CLASSES])
 

@@ -168,6 +168,27 @@ def test_secret_spans_equal_brute_force(spark, texts):
         assert told == plain_spans(r["text"]), r["text"][:80]
 
 
+KEYS = {
+    "abcdefghijklmnopqrstuvwxyz0123456789": 0.96, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": 0.96, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567": 0.93,
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": 0.97,
+}
+PLAIN_RUNS = [
+    "/en/articles/2024/05/12/title-of-some-article", "blog/2024/posts/98765432/another-title_v2", "internationalization2024",
+    "release-notes-version2-build10", "order_1234567890_invoice_77", "=====CHAPTER-12-SECTION-4=====",
+]
+
+
+def test_random_keys_of_every_alphabet_are_found_and_plain_runs_are_not(spark):
+    draw = np.random.default_rng(11)
+    made = [(k, size, f"key {''.join(draw.choice(list(signs), size))} end") for k, signs in enumerate(KEYS) for size in (20, 32) for _ in range(150)]
+    made += [(9, 0, f"see {run} there") for run in PLAIN_RUNS]
+    told = secrets.secret_spans(spark.createDataFrame(made, "k int, size int, text string"))
+    found = {(r["k"], r["size"]): r["share"] for r in told.groupBy("k", "size").agg(F.avg((F.size("spans") > 0).cast("int")).alias("share")).collect()}
+    assert found.pop((9, 0)) == 0
+    for (k, size), share in found.items():
+        assert share >= list(KEYS.values())[k], (k, size, share)
+
+
 def test_secret_masks_and_defined_cases(spark, odd, empty):
     masked = {r["doc_id"]: r["text"] for r in secrets.without_secrets(odd.where("doc_id <> 6")).collect()}
     assert masked[7].endswith("\U0001f600 [SECRET]\"") and masked[2] is None and masked[3] == "" and masked[5] == LONG
