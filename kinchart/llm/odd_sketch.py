@@ -382,12 +382,13 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
     name, there = free_name(docs, "_key"), free_name(docs, "_th")
     marks = stored(near_copies(docs, key, text, percent=percent).select(F.col(key).alias(name), "kept", F.col("text_hash").alias(there)))
     known = F.col(name).isNotNull()
-    # fewer rows go than stay: the short lists meet the documents, and small ones are broadcast by their size
-    gone = stored(marks.where(~F.col("kept") & known).select(name).distinct())
-    unnamed = stored(marks.where(~F.col("kept") & ~known).select(there).distinct())
+    # fewer rows go than stay: the short list meets the documents, and a small one is broadcast by its size;
+    # an id may come with several texts, of which some go
+    gone = stored(marks.where(~F.col("kept")).select(name, there).distinct())
     again = stored(marks.where(F.col("kept") & known).groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name))
-    keyed = docs.withColumns({name: F.col(key).cast("long"), there: F.when(F.col(key).isNull(), F.xxhash64(text))})
-    left = keyed.join(gone, name, "left_anti").join(unnamed, there, "left_anti")
+    keyed = docs.withColumns({name: F.col(key).cast("long"), there: F.xxhash64(text)})
+    same = keyed[name].eqNullSafe(gone[name]) & (keyed[there] == gone[there])
+    left = keyed.join(gone, same, "left_anti")
     if again.isEmpty():
         return left.select(*docs.columns)
     repeated = left.join(again, name, "left_semi").dropDuplicates([key, text])

@@ -415,6 +415,14 @@ def test_near_copies_defined_cases(odd, empty):
     assert near_copies(empty).count() == 0 and without_near_copies(empty).count() == 0
 
 
+def test_near_copies_of_one_text_of_an_id_leave_its_other_text(spark):
+    one, other = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(1, one), (2, other), (2, one), (None, other), (3, None), (None, None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r["doc_id"], r["text"]) for r in without_near_copies(made).collect()]
+    assert sorted(left, key=str) == sorted([(1, one), (2, other), (3, None), (None, None)], key=str)
+
+
 def test_thresholds_shape_the_bands():
     assert odd_sketch.shape(85) == (24, 6) and odd_sketch.most_bits(85) == 69
     for percent in (95, 85, 80, 70, 50):
