@@ -16,9 +16,9 @@ Links are what the components need, so pairs already in one component are not co
    forest by sketch similarity);
 3. in buckets that still have more than one component, every pair across components.
 
-In 2 and 3 only members outside the first one's component meet all others.  A bucket of more than
-``BLOCK`` members is cut in blocks, and those outsiders go to each block: rows grow with the
-outsiders, not with the square of the bucket.  Full sets are read for classes in shared buckets only.
+In 2 and 3 only members outside the bucket's largest component meet all others.  Members and outsiders
+are cut in blocks of about ``BLOCK``, and each pair of blocks is a group of its own: what a task holds
+has a bound, and rows grow with outsiders times members over ``BLOCK``.  Full sets are read for classes in shared buckets only.
 
 Defined cases: null and blank texts have no shingles, are linked with nothing and kept; fewer than
 five words are one shingle; a null id is never a component's name, and such a row is kept only where
@@ -240,30 +240,52 @@ def _starred(live: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(near & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))).select("a", "b")
 
 
+def _dealt(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (bucket, cid, comp) of buckets with more than one component, once per pair of blocks they are in: all in
+    a home block that meets each block of guests, those outside the largest component as guests of each home block, too.
+    """
+    sizes = named.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    facts = sizes.groupBy("bucket").agg(
+        F.sum("c").alias("size"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("largest")
+    )
+    blocks, guest_blocks = (F.ceil(n / BLOCK).cast("int") for n in (F.col("size"), F.col("size") - F.col("largest.c")))
+    open_ones = facts.where("comps > 1").select(
+        "bucket", F.col("largest.comp").alias("most"), blocks.alias("blocks"), guest_blocks.alias("guest_blocks")
+    )
+    members = named.join(open_ones, "bucket").join(classes.select("cid", "sketch", "bands", "n"), "cid")
+    own, own_guest = (F.pmod(F.xxhash64("cid"), F.col(n)).cast("int") for n in ("blocks", "guest_blocks"))
+    outside = F.col("comp") != F.col("most")
+
+    def place(home: Column, guest: Column) -> Column:
+        return F.struct(home.alias("home"), guest.alias("guest"))
+
+    as_home = F.transform(F.sequence(F.lit(0), F.col("guest_blocks") - 1), lambda g: place(own, g))
+    as_guest = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda h: place(h, own_guest))
+    placed = members.select(
+        "bucket", F.explode(F.when(outside, F.array_union(as_home, as_guest)).otherwise(as_home)).alias("at"),
+        own.alias("own"), own_guest.alias("own_guest"), outside.alias("outside"), "cid", "comp", "sketch", "bands", "n",
+    )
+    is_home = F.col("at.home") == F.col("own")
+    is_guest = F.col("outside") & (F.col("at.guest") == F.col("own_guest"))
+    return placed.select(
+        "bucket", "at.home", "at.guest", is_home.alias("is_home"), is_guest.alias("is_guest"), "cid", "comp", "sketch", "bands", "n"
+    )
+
+
 def _across(live: DataFrame, classes: DataFrame, comps: DataFrame, forest: bool, percent: int) -> DataFrame:
     """Pairs across components of one bucket that the sketches do not rule out; the best ones if ``forest``."""
     named = live.join(comps.toDF("cid", "comp"), "cid", "left")
     named = named.select("bucket", "cid", F.coalesce("comp", "cid").alias("comp"))
-    facts = named.groupBy("bucket").agg(
-        F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most"),
-        F.min(F.struct("cid", "comp"))["comp"].alias("first"),
-    )
-    open_ones = facts.where("least <> most").select("bucket", "first", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members = named.join(open_ones, "bucket").join(classes.select("cid", "sketch", "bands", "n"), "cid")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    outside = F.col("comp") != F.col("first")
-    blocks = F.when(outside, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    placed = members.select("bucket", F.explode(blocks).alias("block"), own.alias("own"), outside.alias("outside"), "cid", "comp", "sketch", "bands", "n")
-    dealt = placed.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    dealt = _dealt(named, classes).repartition("bucket", "home", "guest").sortWithinPartitions("bucket", "home", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[tuple] = []
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             rest += rows
-            last = rest[-1][:2]
+            last = rest[-1][:3]
             cut = len(rest)
-            while cut and rest[cut - 1][:2] == last:
+            while cut and rest[cut - 1][:3] == last:
                 cut -= 1
             yield from _pairs(rest[:cut], forest, percent)
             rest = rest[cut:]
@@ -273,29 +295,28 @@ def _across(live: DataFrame, classes: DataFrame, comps: DataFrame, forest: bool,
 
 
 def _pairs(rows: list[tuple], forest: bool, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of whole groups of (bucket, block), side by side: pairs of outsiders with the block's own members."""
-    out: list[tuple[bytes, bytes]] = []
+    """Of whole groups of (bucket, home block, guest block), side by side: pairs of guests with the home members."""
     most = most_bits(percent)
     at = 0
     while at < len(rows):
         end = at
-        while end < len(rows) and rows[end][:2] == rows[at][:2]:
+        while end < len(rows) and rows[end][:3] == rows[at][:3]:
             end += 1
         group, at = rows[at:end], end
-        home = [r for r in group if r[1] == r[2]]
-        guests = [r for r in group if r[3]]
+        home = [r for r in group if r[3]]
+        guests = [r for r in group if r[4]]
         if not home or not guests:
             continue
-        code = {c: i for i, c in enumerate(dict.fromkeys(r[5] for r in group))}
+        code = {c: i for i, c in enumerate(dict.fromkeys(r[6] for r in group))}
         words = BITS // 64
-        right, right_bands, right_n = (np.array([r[i] for r in home], np.int64) for i in (6, 7, 8))
-        right_comp = np.array([code[r[5]] for r in home])
-        found: list[tuple[int, int, int]] = []
+        right, right_bands, right_n = (np.array([r[i] for r in home], np.int64) for i in (7, 8, 9))
+        right_comp = np.array([code[r[6]] for r in home])
+        chosen: list[tuple[int, int, int]] = []
         for start in range(0, len(guests), 128):
             part = guests[start : start + 128]
-            left, left_bands, left_n = (np.array([r[i] for r in part], np.int64) for i in (6, 7, 8))
+            left, left_bands, left_n = (np.array([r[i] for r in part], np.int64) for i in (7, 8, 9))
             bits = differing(left[:, None, :words], right[None, :, :words])
-            other = np.array([code[r[5]] for r in part])[:, None] != right_comp
+            other = np.array([code[r[6]] for r in part])[:, None] != right_comp
             g, h = np.nonzero(other & (bits <= most))
             apart = differing(left[g, words:], right[h, words:]).astype(np.int64)
             near = apart * (100 + percent) <= (left_n[g] + right_n[h]) * (100 - percent)
@@ -305,26 +326,37 @@ def _pairs(rows: list[tuple], forest: bool, percent: int) -> Iterator[pa.RecordB
                 shared = (left_bands[g] == right_bands[h]).argmax(1)
                 first = left_bands[g, shared] == group[0][0]
                 g, h = g[first], h[first]
-            found += zip(bits[g, h].tolist(), (start + g).tolist(), h.tolist())
-        if forest:
-            parent = list(range(len(code)))
-
-            def root(i: int) -> int:
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
-
-            chosen = []
-            for item in sorted(found):
-                i, j = root(code[guests[item[1]][5]]), root(code[home[item[2]][5]])
-                if i != j:
-                    parent[i] = j
-                    chosen.append(item)
-            found = chosen
-        out += {tuple(sorted((guests[g][4], home[h][4]))) for _, g, h in found}
+            found = list(zip(bits[g, h].tolist(), (start + g).tolist(), h.tolist()))
+            if forest:  # the best links so far and the new ones: no more is held than a forest and one part
+                chosen = _forest(chosen + found, [code[r[6]] for r in guests], right_comp.tolist(), len(code))
+            else:
+                yield from _named(found, guests, home)
+        yield from _named(chosen, guests, home)
+
+
+def _forest(found: list[tuple[int, int, int]], left: list[int], right: list[int], n: int) -> list[tuple[int, int, int]]:
+    """The best links (bits, guest, home) that span what all links join, among ``n`` components."""
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    chosen = []
+    for item in sorted(found):
+        i, j = root(left[item[1]]), root(right[item[2]])
+        if i != j:
+            parent[i] = j
+            chosen.append(item)
+    return chosen
+
+
+def _named(found: list[tuple[int, int, int]], guests: list[tuple], home: list[tuple]) -> Iterator[pa.RecordBatch]:
+    out = {tuple(sorted((guests[g][5], home[h][5]))) for _, g, h in found}
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], ["a", "b"])
 
 
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:

@@ -423,6 +423,36 @@ def test_near_copies_of_one_text_of_an_id_leave_its_other_text(spark):
     assert sorted(left, key=str) == sorted([(1, one), (2, other), (3, None), (None, None)], key=str)
 
 
+def test_blocks_of_a_hot_bucket_are_bounded_and_meet_all(spark, monkeypatch):
+    """Two hundred loners and a large component whose ids come last."""
+    monkeypatch.setattr(odd_sketch, "BLOCK", 32)
+    rows = [(7, f"a{i:03}".encode(), f"a{i:03}".encode()) for i in range(200)] + [(7, f"b{i:03}".encode(), b"b000") for i in range(100)]
+    named = spark.createDataFrame(rows, "bucket long, cid binary, comp binary")
+    classes = named.selectExpr("cid", "array(1L) as sketch", "array(7L) as bands", "5L as n")
+    groups, met = defaultdict(list), set()
+    for r in odd_sketch._dealt(named, classes).collect():
+        groups[r["home"], r["guest"]].append(r)
+    for members in groups.values():
+        assert len(members) <= 4 * 32
+        met |= {frozenset((bytes(x["cid"]), bytes(y["cid"]))) for x in members if x["is_home"] for y in members if y["is_guest"]}
+    assert all(bytes(r["comp"]) != b"b000" for m in groups.values() for r in m if r["is_guest"])
+    assert {p for p in met if len(p) == 2} >= {frozenset((x[1], y[1])) for x in rows for y in rows if x[2] != y[2]}
+
+
+def test_near_copies_do_not_depend_on_the_block(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    base = [f"t{i}" for i in range(120)]
+    made = {}
+    for n in range(90):
+        words = list(base)
+        for place in draw.integers(0, 120, 6):
+            words[place] = f"n{n}x{place}"
+        made[n] = " ".join(words)
+    monkeypatch.setattr(odd_sketch, "BLOCK", 8)
+    got = near_copies(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(made)
+
+
 def test_thresholds_shape_the_bands():
     assert odd_sketch.shape(85) == (24, 6) and odd_sketch.most_bits(85) == 69
     for percent in (95, 85, 80, 70, 50):
