@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinchart.llm import additive, id_store, language, pieces
+from kinchart.llm import additive, id_store, language, middles, pieces
 from kinchart.llm.odd_sketch import near_copies
+from kinchart.llm.repeats import without_repeats
 from kinchart.llm.repetition import repetition_coverage
 from kinchart.llm.secrets import secret_spans, spans_text
 from kinchart.llm.style_tree import main_text
 from kinchart.llm.templates import leaks
 from kinchart.llm.urls import judge_urls
+from kinchart.llm.vector_codes import vector_codes
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -109,5 +111,31 @@ def op10_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return repetition_coverage(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all vectors."""
+    return vector_codes(table(spark, folder, "embeddings")).drop("label")
+
+
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in fill-in-middle form, and the text made whole again."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = middles.fill_in_middle(docs, keep_text=False)
+    return cut.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middles.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_sampled_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that occur twice in the corpus."""
+    cut = without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    sizes = F.transform("spans", lambda s: s["end"] - s["start"])
+    return cut.select(
+        "doc_id", "n_bytes", F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
