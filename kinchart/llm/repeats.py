@@ -47,6 +47,7 @@ GRAM = 8
 # Places of a text that are looked at together.
 BLOCK = 1 << 20
 BITMAP_BITS = 2**26
+PAGE = 512  # words of a bitmap's page
 # Kinds of runs of starts.
 CONTEXT, ALONE, START = range(3)
 
@@ -89,10 +90,22 @@ def bitmap(hashes: DataFrame) -> bytes:
     words = hashes.groupBy(F.expr(f"cast({bit} div 64 as int)").alias("w")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast({bit} % 64 as int))")).alias("v")
     )
-    found = words.toPandas()
-    out = np.zeros(BITMAP_BITS // 64, "<i8")
-    out[found["w"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64)
-    return out.tobytes()
+    # pages of the map are put together where the words are: the driver gets a few thousand rows of bytes
+    of = F.struct((F.col("w") % PAGE).alias("at"), "v")
+    lists = words.groupBy(F.expr(f"w div {PAGE}").alias("page")).agg(F.collect_list(of).alias("words"))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pages = []
+        for row in batch.column(1):
+            page = np.zeros(PAGE, "<i8")
+            page[row.values.field(0).to_numpy()] = row.values.field(1).to_numpy()
+            pages.append(page.tobytes())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.binary())], ["page", "bits"])
+
+    out = bytearray(BITMAP_BITS // 8)
+    for r in map_batches(lists.select(F.col("page").cast("int").alias("page"), "words"), each, "page int, bits binary").toLocalIterator():
+        out[r["page"] * PAGE * 8 : (r["page"] + 1) * PAGE * 8] = r["bits"]
+    return bytes(out)
 
 
 def _in(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -200,12 +213,11 @@ def _edges(keyed: DataFrame, wanted: DataFrame, length: int, window: int) -> Dat
     return map_batches(exact.select(*fields), named, "k long, th long, start long, x long, y long")
 
 
-def marks(keyed: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """(k, th, runs): per document with shared cores, runs (first, last, kind) of starts.
+SPANS = "array<struct<start:bigint,end:bigint>>"
 
-    Starts of a run of kind ``CONTEXT`` are repeated unless the same run is there as ``ALONE``; those
-    of kind ``START`` are repeated.
-    """
+
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """(k, th, spans): the stretches that go, of the documents that have some."""
     if window + GRAM - 1 > length or window > 255:
         raise ValueError("the window of samples is too wide")
     contexts = stored(_contexts(keyed, stored(_shared_cores(keyed, length, window)), length, window))
@@ -224,11 +236,26 @@ def marks(keyed: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataF
         .union(named.where("n = 1").select("one.*", F.lit(ALONE).alias("kind")))
         .union(again.withColumn("kind", F.lit(START)))
     )
-    return runs.groupBy("k", "th").agg(F.collect_list(F.struct("first", "last", "kind")).alias("runs"))
+    lists = runs.groupBy("k", "th").agg(F.collect_list(F.struct("first", "last", "kind")).alias("runs"))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for row in batch.column(2):
+            cut = covered(list(zip(*[row.values.field(i).to_pylist() for i in range(3)])), length)
+            found.append([{"start": a, "end": b} for a, b in cut])
+        kept = pa.array([bool(f) for f in found])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, kind)], ["k", "th", "spans"]).filter(kept)
+
+    return map_batches(lists, each, f"k long, th long, spans {SPANS}")
 
 
 def covered(runs: list[tuple[int, int, int]], length: int) -> list[tuple[int, int]]:
-    """Maximal stretches (start, end) of the repeated strings that start in the runs."""
+    """Maximal stretches (start, end) of the repeated strings that start in the runs.
+
+    Starts of a run of kind ``CONTEXT`` are repeated unless the same run is there as ``ALONE``; those
+    of kind ``START`` are repeated.
+    """
     alone = {(a, b) for a, b, kind in runs if kind == ALONE}
     out: list[list[int]] = []
     for a, b, kind in sorted(runs):
@@ -245,29 +272,41 @@ def without_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW
 ) -> DataFrame:
     """``docs`` with ``n_bytes``, ``spans`` (start and end of each removed stretch, in bytes) and ``kept_bytes``."""
-    added = {"n_bytes": "bigint", "spans": "array<struct<start:bigint,end:bigint>>", "kept_bytes": "binary"}
+    added = {"n_bytes": "bigint", "spans": SPANS, "kept_bytes": "binary"}
     kept = [c for c in docs.columns if c.lower() not in added]
-    k, th, runs, of = (free_name(docs, n) for n in ("_k", "_th", "_runs", "_text"))
-    found = marks(_keyed(docs, key, text), length, window).toDF(k, th, runs)
-    hashed = docs.select(*kept, F.col(text).alias(of), *[_keys(key, text)[i].alias(n) for i, n in enumerate((k, th))])
-    joined = hashed.join(found, [k, th], "left").select(*kept, of, runs)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, spans, rest = [], [], []
-        lists = batch.column(batch.num_columns - 1)
-        for row, t in enumerate(texts_of(batch.column(batch.num_columns - 2))):
-            marked = lists[row].values
-            cut = []
-            if marked is not None and len(marked):
-                cut = covered(list(zip(*[marked.field(i).to_pylist() for i in range(3)])), length)
-            ends = [0, *[e for _, e in cut]]
-            starts = [*[s for s, _ in cut], len(t)]
-            sizes.append(len(t))
-            spans.append([{"start": s, "end": e} for s, e in cut])
-            rest.append(b"".join(t[e:s] for e, s in zip(ends, starts)))
-        columns = [pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(rest, pa.binary())]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], [*kept, *added])
+    k, th, of = (free_name(docs, n) for n in ("_k", "_th", "_text"))
+    found = stored(repeated_spans(_keyed(docs, key, text), length, window))
+    # most documents have no repeat and stay where they are; only the others are dealt to meet their spans
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(found.select(F.expr("k ^ th").alias("h"))))
+    first, second = _keys(key, text)
+    hashed = docs.select(*kept, first.alias(k), second.alias(th), F.col(text).alias(of))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def touched(batch: pa.RecordBatch) -> np.ndarray:
+        both = [batch.column(batch.num_columns - i).to_numpy() for i in (3, 2)]
+        return _in(np.frombuffer(shared.value, "<u8"), both[0] ^ both[1])
+
+    def to_meet(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(touched(batch)))
+
+    def cut(columns: list[pa.Array], texts: list[bytes], spans: list[list[dict]]) -> pa.RecordBatch:
+        rest = []
+        for t, found in zip(texts, spans):
+            ends, starts = [0, *[s["end"] for s in found]], [*[s["start"] for s in found], len(t)]
+            rest.append(b"".join(t[e:s] for e, s in zip(ends, starts)) if found else t)
+        new = [pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, kind), pa.array(rest, pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, *new], [*kept, *added])
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(~touched(batch)))
+        texts = texts_of(batch.column(batch.num_columns - 1))
+        return cut(batch.columns[:-3], texts, [[] for _ in texts])
+
+    def met(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [s or [] for s in batch.column(batch.num_columns - 1).to_pylist()]
+        return cut(batch.columns[:-2], texts_of(batch.column(batch.num_columns - 2)), spans)
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept]
-    return map_batches(joined, each, ", ".join(kinds + [f"{n} {t}" for n, t in added.items()]))
+    schema = ", ".join(kinds + [f"{n} {t}" for n, t in added.items()])
+    meeting = map_batches(hashed, to_meet, hashed.schema).join(found.toDF(k, th, "spans"), [k, th], "left")
+    return map_batches(hashed, whole, schema).unionByName(map_batches(meeting.select(*kept, of, "spans"), met, schema))
