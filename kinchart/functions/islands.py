@@ -55,24 +55,3 @@ def with_islands(
     return joined.withColumn(name, F.when(merged, F.col("_open")).otherwise(F.col("_local"))).drop(
         "_bucket", "_opens", "_local", "_reach", "_open"
     )
-
-
-def greedy_pairs(left: Column, right: Column, affinity, threshold: Column) -> Column:
-    """Pairs (left ord, right ord, affinity): each left in order takes its best free right.
-
-    Ties go to the right item that comes first.  ``left`` and ``right`` are arrays of structs with
-    an ``ord`` field, sorted by it; ``threshold`` maps a column to a boolean.
-    """
-    kind = "array<struct<l:bigint,r:bigint,affinity:double>>"
-
-    def step(acc: Column, item: Column) -> Column:
-        free = F.filter(right, lambda r: ~F.exists(acc, lambda p: p["r"] == r["ord"]))
-        best = F.array_max(
-            F.transform(free, lambda r: F.struct(affinity(item, r).alias("v"), (-r["ord"]).alias("neg")))
-        )
-        pair = F.struct(
-            item["ord"].cast("bigint").alias("l"), (-best["neg"]).cast("bigint").alias("r"), best["v"].alias("affinity")
-        )
-        return F.when(F.coalesce(threshold(best["v"]), F.lit(False)), F.concat(acc, F.array(pair))).otherwise(acc)
-
-    return F.aggregate(left, F.array().cast(kind), step)

@@ -21,20 +21,64 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _place(gaps: Column, matches: Column, zero_width: bool) -> Column:
-    """Running positions of matches from the text pieces before them (one pass)."""
-    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("text"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["text"])
-        span = F.struct(begin.alias("start"), end.alias("end"), pair["text"].alias("text"))
+BLOCK = 128
+
+
+def running(values: Column, combine) -> Column:
+    """The values combined up to each place (sums, maxima): folded in blocks, then over the blocks.
+
+    An array grows by copying, so one fold over all would take the square of its length.
+    """
+
+    def joined(before: Column, x: Column) -> Column:
+        return F.coalesce(combine(before, x), x)
+
+    def inner(block: Column) -> Column:
+        grow = lambda acc, x: F.concat(acc, F.array(joined(F.try_element_at(acc, F.lit(-1)), x)))
+        return F.aggregate(block, F.array().cast("array<int>"), grow)
+
+    def blocks(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / BLOCK), F.lit(0)).cast("int"))
+        return F.transform(numbers, lambda b: inner(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def outer(acc: Column, block: Column) -> Column:
+        last = F.try_element_at(block, F.lit(-1))
+        lifted = F.transform(block, lambda x: joined(acc["last"], x))
+        return F.struct(joined(acc["last"], last).alias("last"), F.concat(acc["out"], F.array(lifted)).alias("out"))
+
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<array<int>>").alias("out"))
+    return F.flatten(F.aggregate(let(values, blocks), start, outer, lambda acc: acc["out"]))
+
+
+def first_from(values: Column, at: Column) -> Column:
+    """Index of the first of sorted values that is not below ``at``, by bisection; their number if there is none."""
+    rounds = F.ceil(F.log2(F.size(values) + 1)).cast("int")
+    start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        # an empty range stays: its middle is its end
+        later = (acc["low"] < acc["high"]) & (F.get(values, middle) < at)
         return F.struct(
-            (begin if zero_width else end).alias("at"), F.concat(acc["out"], F.array(span)).alias("out")
+            F.when(later, middle + 1).otherwise(acc["low"]).alias("low"), F.when(later, acc["high"]).otherwise(middle).alias("high")
         )
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(F.lit(0), rounds), start, halve, lambda acc: acc["low"])
+
+
+def _place(gaps: Column, matches: Column, zero_width: bool) -> Column:
+    """Running positions of matches from the text pieces before them."""
+    sizes = F.zip_with(gaps, matches, lambda g, m: F.length(g) if zero_width else F.length(g) + F.length(m))
+
+    def spans(ends: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            at = F.get(ends, i)
+            begin, end = (at, at + F.length(m)) if zero_width else (at - F.length(m), at)
+            return F.struct(begin.alias("start"), end.alias("end"), m.alias("text"))
+
+        return F.transform(matches, span)
+
+    return let(running(sizes, lambda before, x: before + x), spans)
 
 
 MARK = "\uE000"
@@ -101,25 +145,59 @@ def vocabulary_spans(text: Column, names: tuple[str, ...]) -> Column:
     right; a hit that overlaps an accepted one is dropped.
     """
     found = F.concat(*[_all_spans(text, p, 1, True) for p in vocabulary_patterns(names)])
-    keyed = F.array_sort(
-        F.transform(
-            found,
-            lambda s: F.struct(
-                (-F.length(s["text"])).alias("k"), F.lower(s["text"]).alias("name"), s["start"].alias("at"), s.alias("s")
-            ),
-        )
+    # by length, name and place: the order in which hits are accepted
+    rank = lambda s: F.struct(
+        (-F.length(s["text"])).alias("k"), F.lower(s["text"]).alias("name"), s["start"].alias("at"), s.alias("s")
     )
+    ranked = lambda hits: F.array_sort(F.transform(hits, rank))
+
+    def accepted(cluster: Column) -> Column:
+        def accept(acc: Column, x: Column) -> Column:
+            taken = F.exists(acc, lambda other: overlaps(x["s"], other))
+            return F.when(taken, acc).otherwise(F.concat(acc, F.array(x["s"])))
 
-    def accept(acc: Column, x: Column) -> Column:
-        span = x["s"]
-        taken = F.exists(acc, lambda other: overlaps(span, other))
-        return F.when(taken, acc).otherwise(F.concat(acc, F.array(span)))
+        return F.when(F.size(cluster) == 1, cluster).otherwise(F.aggregate(ranked(cluster), F.array().cast(SPAN), accept))
 
-    return F.aggregate(keyed, F.array().cast(SPAN), accept)
+    def clustered(hits: Column) -> Column:
+        """Hits decide on each other only inside a cluster of overlaps, and clusters are short."""
+
+        def cut(reach: Column) -> Column:
+            opens = F.filter(
+                F.sequence(F.lit(0), F.size(hits) - 1),
+                lambda i: (i == 0) | (F.get(hits, i)["start"] >= F.get(reach, i - 1)),
+            )
+            return let(
+                opens,
+                lambda o: F.flatten(
+                    F.transform(
+                        o,
+                        lambda at, k: let(F.slice(hits, at + 1, F.coalesce(F.get(o, k + 1), F.size(hits)) - at), accepted),
+                    )
+                ),
+            )
+
+        return let(running(F.transform(hits, lambda s: s["end"]), F.greatest), cut)
+
+    def resolved(hits: Column) -> Column:
+        told = F.transform(ranked(let(F.array_sort(hits), clustered)), lambda x: x["s"])
+        return F.when(F.size(hits) > 0, told).otherwise(F.array().cast(SPAN))
+
+    return let(found, resolved)
 
 
 def without_overlap(spans: Column, taken: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(taken, lambda o: overlaps(s, o)))
+    """Spans clear of the taken ones, which are sorted and clear of each other."""
+
+    def clear(of: Column) -> Column:
+        def free(s: Column) -> Column:
+            # the first taken span that ends behind the start
+            next_one = F.get(of["starts"], first_from(of["ends"], s["start"] + 1))
+            return F.coalesce(next_one >= s["end"], F.lit(True))
+
+        return F.filter(spans, free)
+
+    ends = F.struct(*[F.transform(taken, lambda t: t[n]).alias(f"{n}s") for n in ("start", "end")])
+    return let(ends, clear)
 
 
 def hospital_spans(text: Column, words: list[str]) -> Column:

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from kinchart.functions import columns as C
 from kinchart.functions import dates as D
-from kinchart.functions.islands import greedy_pairs, with_islands
-from kinchart.functions.spans import hospital_spans, let, regex_spans, vocabulary_spans, without_overlap
+from kinchart.functions.spans import first_from, hospital_spans, let, regex_spans, vocabulary_spans, without_overlap
+from kinchart.functions.sweep import matched
 from kinchart.operators import normalize as N
-from kinchart.session import checkpoint_dir
 from kinchart.sources import dimensions as dims
 from kinchart.sources import fixed_values as fixed
 
@@ -296,99 +295,89 @@ def extract_entities(
     text: str = "text",
     min_confidence: float = 0.60,
     fix_text: bool = False,
-    cut_lineage: bool = True,
 ) -> DataFrame:
     """Entity rows of all documents, optionally merged with imported annotations.
 
-    With annotations the extracted rows are checkpointed first (``cut_lineage``).
+    Annotations are grouped by document and meet the document's entities in one row; the texts stay where they are.
     """
     if annotations is None:
         return explode_entities(extract_documents(docs, text, min_confidence, fix_text), key)
     if fix_text:
         docs = docs.withColumn(text, fix_ocr_text(F.col(text)))
-    rules = explode_entities(rule_entities(docs, text), key)
-    if cut_lineage:
-        # the merge reads its input twice; extracting everything twice costs more than storing it
-        checkpoint_dir(docs.sparkSession)
-        rules = rules.checkpoint()
-    merged = merge_entities(rules, annotations, key).filter(
-        F.coalesce("confidence", F.lit(0.0)) >= min_confidence
-    )
+    rules = rule_entities(docs, text).select(key, F.transform("entities", _item).alias("rule"))
+    sides = rules.join(_listed(annotations, key).withColumnRenamed("items", "ml"), key, "full")
+    merged = _merged_rows(_matched(sides, 0.3), key).filter(F.coalesce("confidence", F.lit(0.0)) >= min_confidence)
     return normalize_rows(merged, [key])
 
 
 # --- rule spans against annotation spans ----------------------------------------------------------
 
 
-def overlap_ratio(a: Column, b: Column) -> Column:
-    shared = F.greatest(F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"]), F.lit(0))
-    shorter = F.least(a["end"] - a["start"], b["end"] - b["start"])
-    return F.coalesce(F.try_divide(shared, shorter), F.lit(0.0)).cast("double")
+ITEM = "array<struct<ord:bigint," + ",".join(f"{n}:{t}" for n, t in FIELDS.items()) + ">>"
 
 
-def _matched_spans(
-    rules: DataFrame, annotations: DataFrame, key: str, threshold: float, width: int
-) -> DataFrame:
-    """Islands of overlapping spans of a document: rule and annotation entities, and their pairs.
+def _item(e: Column, ord_: Column) -> Column:
+    return F.struct(ord_.cast("bigint").alias("ord"), *[e[n].cast(t).alias(n) for n, t in FIELDS.items()])
 
-    Every rule span, in order, takes its best free annotation.  Spans affect each other only through
-    overlaps, so the greedy pass runs per island; a document with very many spans is spread over
-    its islands.
-    """
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        fields = [(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in FIELDS.items()]
-        return df.select(key, F.lit(name).alias("side"), F.col("ord").cast("bigint").alias("ord"), *fields)
-
-    spans = side(rules, "rule").unionByName(side(annotations, "ml"))
-    rule_side = {"has_rules": F.col("side") == "rule"}
-    placed = with_islands(spans, [key], "start", "end", width, "island", rule_side)
-    item = F.struct("ord", *FIELDS)
-    sides = placed.groupBy(key, "island").agg(
-        F.first("has_rules").alias("has_rules"),
-        *[F.array_sort(F.collect_list(F.when(F.col("side") == s, item))).alias(s) for s in ("rule", "ml")]
-    )
-    pairs = greedy_pairs(F.col("rule"), F.col("ml"), overlap_ratio, lambda v: v > threshold)
-    return sides.withColumn("pairs", pairs)
+def _listed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, items): the entity rows (ord, ...) of every document as one sorted array."""
+    fields = [(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in FIELDS.items()]
+    item = F.struct(F.col("ord").cast("bigint").alias("ord"), *fields)
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
-def span_overlap_join(
-    rules: DataFrame, annotations: DataFrame, key: str = "doc_id", threshold: float = 0.3, width: int = 4096
-) -> DataFrame:
+def _sides(rules: DataFrame, annotations: DataFrame, key: str) -> DataFrame:
+    """(key, rule, ml): both entity lists of every document in one row."""
+    return (
+        _listed(rules, key).withColumnRenamed("items", "rule")
+        .join(_listed(annotations, key).withColumnRenamed("items", "ml"), key, "full")
+    )
+
+
+def _matched(sides: DataFrame, threshold: float) -> DataFrame:
+    """Both lists of a document and, in ``m``, the annotation each rule entity takes.
+
+    Every rule entity, in order, takes the free annotation it overlaps most.
+    """
+    none = F.array().cast(ITEM)
+    both = sides.withColumns({n: F.coalesce(n, none) for n in ("rule", "ml")})
+    return both.withColumn("m", matched(F.col("rule"), F.col("ml"), threshold))
+
+
+def span_overlap_join(rules: DataFrame, annotations: DataFrame, key: str = "doc_id", threshold: float = 0.3) -> DataFrame:
     """Pairs (key, rule_ord, ml_ord, overlap) of rule and annotation spans."""
-    islands = _matched_spans(rules, annotations, key, threshold, width)
-    rows = islands.select(key, F.inline_outer("pairs").alias("rule_ord", "ml_ord", "overlap"))
-    return rows.filter("overlap is not null")
+    pair = F.zip_with("rule", "m.partner", lambda r, p: F.struct(r["ord"].alias("rule_ord"), F.get("ml", p)["ord"].alias("ml_ord")))
+    told = F.zip_with(pair, "m.affinity", lambda p, v: F.struct(p["rule_ord"], p["ml_ord"], v.alias("overlap")))
+    rows = _matched(_sides(rules, annotations, key), threshold)
+    return rows.select(key, F.inline(F.filter(told, lambda p: p["ml_ord"].isNotNull())))
 
 
-def merge_entities(
-    rules: DataFrame, annotations: DataFrame, key: str = "doc_id", threshold: float = 0.3, width: int = 4096
-) -> DataFrame:
-    """Rule and annotation entities of every document, conflicts resolved.
+def _merged_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Entities of matched documents, conflicts resolved.
 
     A matched annotation above 0.85 replaces the rule entity with a combined confidence; other
-    matches keep the rule entity; unmatched annotations count 0.85 of their confidence.  A document
+    matches keep the rule entity; unmatched annotations count 0.85 of their confidence, but a document
     without rule entities keeps its annotations untouched.
     """
 
-    def out(e: Column, confidence: Column, lone_ml: bool) -> Column:
-        values = [(confidence if n == "confidence" else e[n]).cast(t).alias(n) for n, t in FIELDS.items()]
-        return F.struct(*values, F.lit(lone_ml).alias("_lone"))
+    def out(e: Column, confidence: Column) -> Column:
+        return F.struct(*[(confidence if n == "confidence" else e[n]).cast(t).alias(n) for n, t in FIELDS.items()])
 
-    def resolve(r: Column) -> Column:
-        pair = F.filter("pairs", lambda p: p["l"] == r["ord"])
-        partner = F.filter("ml", lambda m: F.exists(pair, lambda p: p["r"] == m["ord"]) & (m["confidence"] > 0.85))
-        combined = F.transform(
-            partner, lambda m: out(m, C.entity_confidence(r["confidence"], m["confidence"], F.lit(False)), False)
-        )
-        return F.coalesce(F.get(combined, F.lit(0)), out(r, r["confidence"], False))
+    def resolve(r: Column, i: Column) -> Column:
+        partner = F.get("ml", F.get("m.partner", i))
+        combined = C.entity_confidence(r["confidence"], partner["confidence"], F.lit(False))
+        return F.when(partner["confidence"] > 0.85, out(partner, combined)).otherwise(out(r, r["confidence"]))
+
+    weight = F.when(F.size("rule") > 0, 0.85).otherwise(1.0)
+    rest = F.filter("ml", lambda _, i: ~F.get("m.taken", i))
+    merged = F.concat(F.transform("rule", resolve), F.transform(rest, lambda m: out(m, m["confidence"] * weight)))
+    return rows.select(key, F.inline(merged))
 
-    rest = F.filter("ml", lambda m: ~F.exists("pairs", lambda p: p["r"] == m["ord"]))
-    merged = F.concat(F.transform("rule", resolve), F.transform(rest, lambda m: out(m, m["confidence"], True)))
-    islands = _matched_spans(rules, annotations, key, threshold, width)
-    rows = islands.select(key, "has_rules", F.inline_outer(merged))
-    lowered = F.when(F.col("_lone") & F.col("has_rules"), F.col("confidence") * 0.85).otherwise(F.col("confidence"))
-    return rows.withColumn("confidence", lowered).drop("_lone", "has_rules")
+
+def merge_entities(rules: DataFrame, annotations: DataFrame, key: str = "doc_id", threshold: float = 0.3) -> DataFrame:
+    """Rule and annotation entities of every document, conflicts resolved (see ``_merged_rows``)."""
+    return _merged_rows(_matched(_sides(rules, annotations, key), threshold), key)
 
 
 # --- entities near each other ---------------------------------------------------------------------
@@ -422,10 +411,10 @@ def _of(kind: str) -> Column:
     return F.filter("entities", lambda e: e["type"] == kind)
 
 
-def _next(found: Column, after: Column, window: int) -> Column:
-    """First of an array of entities starting within ``window`` after a position."""
-    near = F.filter(found, lambda e: (e["start"] >= after) & (e["start"] - after <= window))
-    return F.array_min(F.transform(near, lambda e: F.struct(e["start"].alias("at"), e["text"].alias("text"), e["normalized"].alias("normalized"))))
+def _next(kind: str, after: Column, window: int) -> Column:
+    """First entity of a kind (``_kind`` and ``_kind_at``, in order) that starts within ``window`` after a position."""
+    found = F.get(f"_{kind}", first_from(F.col(f"_{kind}_at"), after))
+    return F.when(found["start"] - after <= window, found)
 
 
 def structured_prescription(docs: DataFrame, as_of, text: str = "text") -> DataFrame:
@@ -433,27 +422,24 @@ def structured_prescription(docs: DataFrame, as_of, text: str = "text") -> DataF
 
     The follow-up phrase is looked for in the document text.
     """
+    in_order = ("dosage", "frequency", "duration")
+    by_place = lambda a, b: a["start"] - b["start"]
     docs = docs.withColumns(
-        {
-            "_dosage": _of("DOSAGE"),
-            "_frequency": _of("FREQUENCY"),
-            "_duration": _of("DURATION"),
-            "_disease": _of("DISEASE"),
-            "_lab": _of("LAB_VALUE"),
-        }
-    )
+        {f"_{n}": F.array_sort(_of(n.upper()), by_place) for n in in_order}
+        | {"_disease": _of("DISEASE"), "_lab": _of("LAB_VALUE")}
+    ).withColumns({f"_{n}_at": F.transform(f"_{n}", lambda e: e["start"]) for n in in_order})
 
     def medication(m: Column) -> Column:
         blank = F.lit("")
-        frequency = _next(F.col("_frequency"), m["end"], 150)
+        frequency = _next("frequency", m["end"], 150)
         return F.struct(
             m["normalized"].alias("name"),
             m["text"].alias("brand"),
             m["atc_code"].alias("atc_code"),
             m["drug_class"].alias("drug_class"),
-            F.coalesce(_next(F.col("_dosage"), m["end"], 100)["text"], blank).alias("dosage"),
+            F.coalesce(_next("dosage", m["end"], 100)["text"], blank).alias("dosage"),
             F.coalesce(frequency["normalized"], frequency["text"], blank).alias("frequency"),
-            F.coalesce(_next(F.col("_duration"), m["end"], 200)["text"], blank).alias("duration"),
+            F.coalesce(_next("duration", m["end"], 200)["text"], blank).alias("duration"),
             m["confidence"].alias("confidence"),
         )
 
@@ -481,7 +467,7 @@ def structured_prescription(docs: DataFrame, as_of, text: str = "text") -> DataF
             "allergies": normalized("ALLERGY"),
             "follow_up": D.follow_up_date(F.col(text), as_of),
         }
-    ).drop("_dosage", "_frequency", "_duration", "_disease", "_lab")
+    ).drop("_disease", "_lab", *[f"_{n}{end}" for n in in_order for end in ("", "_at")])
 
 
 def prescription_rows(structured: DataFrame, length: int | None = None) -> DataFrame:

@@ -338,6 +338,18 @@ def invite_status(invites: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def expired_invites(changes: DataFrame, until: Column, hours: int = INVITE_HOURS) -> DataFrame:
+    """Tokens (token, expired_at) whose last invite ran out up to ``until``: nothing answered it or came after it.
+
+    ``changes`` are the events (token, status, at) that the stream of invites reads.
+    """
+    pending = F.col("status") == "pending"
+    last = changes.groupBy("token").agg(F.max(F.when(pending, F.col("at"))).alias("sent"), F.max(F.when(~pending, F.col("at"))).alias("answered"))
+    ends = F.col("sent") + F.expr(f"interval {hours} hours")
+    open_ones = last.filter(F.col("sent").isNotNull() & (F.col("answered").isNull() | (F.col("sent") > F.col("answered"))))
+    return open_ones.select("token", ends.alias("expired_at")).filter(F.col("expired_at") <= until)
+
+
 def invite_details(invites: DataFrame, users: DataFrame, now: Column) -> DataFrame:
     inviters = users.select(F.col("id").alias("inviter_id"), F.col("full_name").alias("inviter_name"))
     return (

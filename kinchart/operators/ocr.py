@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinchart.functions.islands import greedy_pairs, with_islands
+from kinchart.functions.islands import with_islands
+from kinchart.functions.sweep import matched_boxes
 
 FIRST, SECOND = "tesseract", "easyocr"
 
@@ -20,23 +21,11 @@ def ocr_words(results: DataFrame) -> DataFrame:
     )
 
 
-def iou(a: Column, b: Column) -> Column:
-    """Intersection over union of two boxes."""
-    side = lambda lo, hi: F.greatest(
-        F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]), F.lit(0.0)
-    )
-    area = lambda c: F.greatest(c["x_max"] - c["x_min"], F.lit(0.0)) * F.greatest(
-        c["y_max"] - c["y_min"], F.lit(0.0)
-    )
-    inter = side("x_min", "x_max") * side("y_min", "y_max")
-    return F.coalesce(F.try_divide(inter, area(a) + area(b) - inter), F.lit(0.0))
-
-
 BODY = ["text", "x_min", "y_min", "x_max", "y_max", "confidence"]
 
 
 def _matched_islands(words: DataFrame, threshold: float, width: float) -> DataFrame:
-    """Islands of overlapping boxes of a page: both engines' words as arrays, and their pairs.
+    """Islands of overlapping boxes of a page: both engines' words as arrays, and in ``m`` the word each second one takes.
 
     Each word of the second engine, in order, takes the free word of the first engine with the
     largest IoU of at least the threshold.  Boxes matter to each other only where they overlap, so
@@ -54,15 +43,15 @@ def _matched_islands(words: DataFrame, threshold: float, width: float) -> DataFr
         F.array_sort(F.collect_list(F.when(F.col("engine") == SECOND, item))).alias("second"),
         F.array_sort(F.collect_list(F.when(F.col("engine") == FIRST, item))).alias("first"),
     )
-    pairs = greedy_pairs(F.col("second"), F.col("first"), iou, lambda v: v >= threshold)
-    return sides.withColumn("pairs", pairs)
+    return sides.withColumn("m", matched_boxes(F.col("second"), F.col("first"), threshold))
 
 
 def bbox_iou_join(words: DataFrame, threshold: float = 0.3, width: float = 2000.0) -> DataFrame:
     """Matched words (doc_id, page, second_no, first_no, iou)."""
+    pair = F.zip_with("second", "m.partner", lambda s, p: F.struct(s["ord"].alias("second_no"), F.get("first", p)["ord"].alias("first_no")))
+    told = F.zip_with(pair, "m.affinity", lambda p, v: F.struct(p["second_no"], p["first_no"], v.alias("iou")))
     islands = _matched_islands(words, threshold, width)
-    rows = islands.select("doc_id", "page", F.inline_outer("pairs").alias("second_no", "first_no", "iou"))
-    return rows.filter("iou is not null")
+    return islands.select("doc_id", "page", F.inline(F.filter(told, lambda p: p["first_no"].isNotNull())))
 
 
 def merge_ocr_words(words: DataFrame, threshold: float = 0.3, width: float = 2000.0) -> DataFrame:
@@ -82,17 +71,15 @@ def merge_ocr_words(words: DataFrame, threshold: float = 0.3, width: float = 200
             F.lit(matched).alias("matched"),
         )
 
-    def second(w: Column) -> Column:
-        pair = F.filter("pairs", lambda p: p["l"] == w["ord"])
-        partner = F.filter("first", lambda f: F.exists(pair, lambda p: p["r"] == f["ord"]))
-        f = F.get(partner, F.lit(0))
+    def second(w: Column, i: Column) -> Column:
+        f = F.get("first", F.get("m.partner", i))
         return (
-            F.when(F.size(partner) == 0, word(w, SECOND, False))
+            F.when(f.isNull(), word(w, SECOND, False))
             .when(w["confidence"] >= f["confidence"], word(w, SECOND, True))
             .otherwise(word(f, FIRST, True))
         )
 
-    rest = F.filter("first", lambda f: ~F.exists("pairs", lambda p: p["r"] == f["ord"]))
+    rest = F.filter("first", lambda _, i: ~F.get("m.taken", i))
     merged = F.concat(F.transform("second", second), F.transform(rest, lambda f: word(f, FIRST, False)))
     both = F.col("has_first") & F.col("has_second")
     lone = both & ~F.col("matched")
@@ -106,16 +93,14 @@ def merge_ocr_words(words: DataFrame, threshold: float = 0.3, width: float = 200
     )
 
 
-def document_confidence(words: DataFrame, first_scale: float = 1.0) -> DataFrame:
-    """Confidence-weighted mean confidence per document; ``first_scale`` divides the first engine's."""
+def document_confidence(words: DataFrame, first_scale: float = 1.0, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Confidence-weighted mean confidence per document (or page); ``first_scale`` divides the first engine's."""
     first = F.col("engine") == FIRST
     c = F.when(first, F.col("confidence") / first_scale).otherwise(F.col("confidence"))
-    used = words.withColumn("_c", c).filter(~first | (F.col("_c") >= 0))
-    ratio = F.try_divide(F.sum(F.col("_c") * F.col("_c")), F.sum("_c"))
-    per_doc = used.groupBy("doc_id").agg(F.least(F.lit(1.0), F.coalesce(ratio, F.lit(0.0))).alias("overall_confidence"))
-    # a document whose words were all dropped scores 0
-    empty = words.filter(first & (c < 0)).select("doc_id").distinct().join(per_doc, "doc_id", "left_anti")
-    return per_doc.unionByName(empty.withColumn("overall_confidence", F.lit(0.0)))
+    # a document whose words are all dropped scores 0
+    used = F.when(~first | (c >= 0), c)
+    ratio = F.try_divide(F.sum(used * used), F.sum(used))
+    return words.groupBy(*keys).agg(F.least(F.lit(1.0), F.coalesce(ratio, F.lit(0.0))).alias("overall_confidence"))
 
 
 def reading_lines(words: DataFrame, row_height: float = 20.0) -> DataFrame:

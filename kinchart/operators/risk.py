@@ -133,18 +133,16 @@ def disease_class(text: Column) -> Column:
     return chain
 
 
-def family_features(users: DataFrame, members: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Thirteen columns from the relatives' disease entries (member_id, condition, entries)."""
-    rel = F.replace(F.lower(F.coalesce("relationship", F.lit(""))), F.lit(" "), F.lit("_"))
+def family_aggregates(cls: Column, rel: Column, entries: Column) -> dict[str, Column]:
+    """The thirteen family columns from rows of a class, a relationship and a number of entries."""
     near = {
         "parent": rel.isin("father", "mother", "parent"),
         "grandparent": rel.contains("grand"),
         "sibling": rel.isin("brother", "sister", "sibling"),
     }
-    cls = F.col("_class")
-    count = lambda c: F.sum(F.when(cls == c, F.col("entries")).otherwise(0))
+    count = lambda c: F.sum(F.when(cls == c, entries).otherwise(0))
     flag = lambda c, who: F.max(((cls == c) & near[who]).cast("int"))
-    aggs = {
+    return {
         "parent_diabetes": flag("diabetes", "parent"),
         "grandparent_diabetes": flag("diabetes", "grandparent"),
         "sibling_diabetes": flag("diabetes", "sibling"),
@@ -159,6 +157,13 @@ def family_features(users: DataFrame, members: DataFrame, conditions: DataFrame)
         "family_thyroid_count": count("thyroid"),
         "family_cancer_count": count("cancer"),
     }
+
+
+def family_features(users: DataFrame, members: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Thirteen columns from the relatives' disease entries (member_id, condition, entries)."""
+    rel = F.replace(F.lower(F.coalesce("relationship", F.lit(""))), F.lit(" "), F.lit("_"))
+    cls = F.col("_class")
+    aggs = family_aggregates(cls, rel, F.col("entries"))
     classed = (
         conditions.withColumn("_class", disease_class(F.col("condition")))
         .filter(cls.isNotNull())
@@ -207,6 +212,79 @@ def build_features(
     return impute_and_cast(raw)
 
 
+def _placed(records: DataFrame, members: DataFrame) -> DataFrame:
+    """(record_id, user_id, record_date, relationship, kin): own records, and members' records with whose relative they are."""
+    own = records.filter("family_member_id is null").select(
+        F.col("id").alias("record_id"), F.col("owner_id").alias("user_id"), "record_date",
+        F.lit(None).cast("string").alias("relationship"), F.lit(False).alias("kin"),
+    )
+    relatives = members.select(F.col("id").alias("family_member_id"), "user_id", "relationship")
+    kin = records.filter("family_member_id is not null").join(relatives, "family_member_id")
+    return own.unionByName(
+        kin.select(F.col("id").alias("record_id"), "user_id", F.lit(None).cast("date").alias("record_date"), "relationship", F.lit(True).alias("kin"))
+    )
+
+
+def entity_features(records: DataFrame, entities: DataFrame, members: DataFrame) -> DataFrame:
+    """History, labs, medication and family columns of every user with entities, in one pass over the entities.
+
+    Entities are folded per record and value, met with their records once, folded per user, relationship
+    and value, and then to one row per user by filtered aggregates.  ``records`` are all records, own and members'.
+    """
+    kind, value, rel = F.col("kind"), F.col("entity_value"), F.col("rel")
+    lab = F.struct("id", "lab_numeric_value")
+    per_record = (
+        entities.withColumn("kind", F.lower("entity_type"))
+        .filter(kind.isin("disease", "medicine", "lab_value"))
+        .groupBy("record_id", "kind", "entity_value")
+        .agg(
+            F.count("*").alias("_n"),
+            F.count_if(F.col("entity_type") == "disease").alias("_exact"),
+            F.max(F.when(F.col("lab_numeric_value").isNotNull(), lab)).alias("_lab"),
+        )
+    )
+    dated = F.struct("record_date", F.col("_lab.id").alias("id"), F.col("_lab.lab_numeric_value").alias("lab"))
+    shown = F.replace(F.lower(F.coalesce("relationship", F.lit(""))), F.lit(" "), F.lit("_"))
+    per_value = (
+        per_record.join(_placed(records, members), "record_id")
+        .groupBy("user_id", "kin", shown.alias("rel"), "kind", "entity_value")
+        .agg(F.sum("_n").alias("_n"), F.sum("_exact").alias("_exact"), F.max(F.when(F.col("_lab").isNotNull(), dated)).alias("_lab"))
+    )
+    own = ~F.col("kin")
+    disease, medicine, labs = own & (kind == "disease"), own & (kind == "medicine"), own & (kind == "lab_value")
+    flags = {
+        f"has_{c}_history": F.max((disease & C.any_word(value, CLASSES[c])).cast("int"))
+        for c in ("diabetes", "hypertension", "thyroid", "heart")
+    }
+    counts = {
+        feature: F.sum(F.when(medicine & C.any_word(value, dims.words(names)), F.col("_n")).otherwise(0))
+        for feature, names in dims.rows("MEDICATION_SETS", 2)
+    }
+    fragments: dict[str, list[str]] = {}
+    for fragment, feature in dims.rows("LAB_FEATURES", 2):
+        fragments.setdefault(feature, []).append(fragment)
+    latest = {f: F.max(F.when(labs & C.any_word(F.trim(value), parts), F.col("_lab")))["lab"] for f, parts in fragments.items()}
+    cls = F.when(F.col("kin") & (F.col("_exact") > 0), disease_class(value))
+    family = family_aggregates(F.col("_class"), rel, F.col("_exact"))
+    return per_value.withColumn("_class", cls).groupBy("user_id").agg(
+        F.count_if(disease).alias("disease_count"),
+        F.count_if(medicine).alias("unique_medicines_count"),
+        *[agg.alias(n) for n, agg in (flags | counts | latest).items()],
+        *[F.coalesce(agg, F.lit(0)).alias(n) for n, agg in family.items()],
+    )
+
+
+def all_features(users: DataFrame, records: DataFrame, entities: DataFrame, members: DataFrame, as_of) -> DataFrame:
+    """Feature table of all users from all records, each entity read once (the rows of ``build_features``)."""
+    zero = [n for n, kind, _ in FEATURES if n.startswith(("parent_", "grandparent_", "sibling_", "family_"))]
+    raw = (
+        personal_features(users, as_of)
+        .join(record_history(records.filter("family_member_id is null")), "user_id", "left")
+        .join(entity_features(records, entities, members), "user_id", "left")
+    )
+    return impute_and_cast(raw.withColumns({n: F.coalesce(n, F.lit(0)) for n in zero if n in raw.columns}))
+
+
 # --- scores -------------------------------------------------------------------------------------
 
 

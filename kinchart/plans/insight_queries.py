@@ -295,3 +295,23 @@ query(
        case when i.id is not null then 'accepted' else 'not_invited' end as invite_status
        from fx_members m left join or_invites i on i.family_member_id = m.id and i.is_valid and i.id % 6 = 0""",
 )(lambda t: I.accept_invites(t.invites, t.members, acceptances(t), now())["members"])
+
+
+def invite_changes(t):
+    """Every invite as sent, its answer some hours later, and for some tokens a second invite after that."""
+    at = lambda h: F.col("created_at") + F.make_interval(hours=h)
+    event = lambda status, when: F.struct(F.lit(status).alias("status"), when.alias("at"))
+    answer = F.when(F.col("status") != "pending", F.struct(F.col("status").alias("status"), at((F.col("id") % 100).cast("int")).alias("at")))
+    again = F.when(F.col("id") % 5 == 0, event("pending", at(F.lit(50))))
+    events = F.array_compact(F.array(event("pending", F.col("created_at")), answer, again))
+    return t.invites.select("token", F.inline(events))
+
+
+query(
+    "expired_invites",
+    "token string, expired_at timestamp",
+    f"""select token, sent + interval 72 hour as expired_at from (
+          select token, greatest(created_at, case when id % 5 = 0 then created_at + interval 50 hour end) as sent,
+            case when status <> 'pending' then created_at + to_hours(cast(id % 100 as bigint)) end as answered from fx_invites)
+        where (answered is null or sent > answered) and sent + interval 72 hour <= {NOW}""",
+)(lambda t: I.expired_invites(invite_changes(t), now()))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kinchart.functions import columns as C
 from kinchart.operators import records as R
+from kinchart.streaming import jobs as J
 from kinchart.plans.registry import query, relation
 from kinchart.sources import dimensions as dims
 from kinchart.sources.fixtures import AS_OF
@@ -301,3 +302,38 @@ query(
         "id", F.array_join("medicine_names", "|").alias("names"), F.size("medicine_names").alias("n")
     )
 )
+
+# --- what the streams' outputs are read as --------------------------------------------------------------
+
+query(
+    "heatmap_of_days",
+    "owner_id bigint, month string, records bigint",
+    "select user_id as owner_id, strftime(ts, '%Y-%m') as month, count(*) as records from events group by 1, 2",
+)(
+    lambda t: J.heatmap_of(
+        t.events.groupBy(F.col("user_id").alias("owner_id"), F.to_date("ts").alias("day"))
+        .agg(F.count("*").alias("records"))
+        .withColumn("month", F.date_format("day", "yyyy-MM"))
+    )
+)
+
+
+def extractions(t):
+    """Every entity as written by up to three runs of two streams; the status rows tell when."""
+    runs = F.explode(F.sequence(F.lit(0), (F.col("record_id") % 3).cast("int")))
+    entities = t.entities.select("id", "record_id", runs.alias("batch")).withColumn(
+        "origin", F.when((F.col("record_id") + F.col("batch")) % 2 == 0, "a").otherwise("b")
+    )
+    status = entities.select("record_id", "batch", "origin", ((F.col("batch") * 7 + F.col("record_id")) % 5).alias("written")).distinct()
+    return J.current_entities(entities.filter((F.col("id") + F.col("batch")) % 3 != 0), status)
+
+
+query(
+    "current_entities",
+    "id bigint, record_id bigint, batch int, origin string",
+    """with runs as (select id, record_id, cast(b as int) as batch, case when (record_id + b) % 2 = 0 then 'a' else 'b' end as origin,
+         (b * 7 + record_id) % 5 as written from (select id, record_id, unnest(range(record_id % 3 + 1)) as b from fx_entities)),
+       latest as (select record_id, max(row(written, origin, batch)) as l from runs group by 1)
+       select id, runs.record_id, batch, origin from runs join latest on latest.record_id = runs.record_id
+       and l = row(written, origin, batch) where (id + batch) % 3 <> 0""",
+)(extractions)

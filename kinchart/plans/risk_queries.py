@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinchart.functions import columns as C
 from kinchart.operators import family as K
+from kinchart.operators import jobs as J
 from kinchart.operators import models as L
 from kinchart.operators import risk as S
 from kinchart.plans.family_queries import patterns
@@ -346,11 +347,38 @@ PROFILE_SQL = f"""select b.*, {LEVEL} as risk_level, health_score, health_grade,
 
 
 def profile(t):
-    return S.risk_profile_build(features(t), K.pattern_boost(patterns(t)))
+    shared = S.all_features(t.users, t.records, t.entities, t.members, AS_OF)
+    return S.risk_profile_build(shared, K.pattern_boost(patterns(t)))
 
 
 query("risk_profile_build", PROFILE, PROFILE_SQL)(profile)
 query("daily_refresh", PROFILE, PROFILE_SQL)(profile)
+
+
+def refreshed(t):
+    """The risk job: all users scored, earlier predictions switched off, profiles replaced."""
+    old = t.users.filter("id % 3 = 0").select(F.explode(F.array("id", -F.col("id") - 1)).alias("user_id")).select(
+        "user_id", F.lit(1).alias("health_score"), F.lit("F").alias("health_grade"), F.lit(0).alias("watchlist"),
+        F.to_date(F.lit("1999-01-01")).alias("updated_at"),
+    )
+    return J.refresh_profiles(profile(t), t.predictions.drop("id"), old, F.to_date(F.lit(AS_OF)))
+
+
+query(
+    "refresh_predictions",
+    "user_id bigint, disease_name string, icd10_code string, probability double, risk_level string, is_active boolean",
+    f"""with fresh as materialized ({PROFILE_SQL})
+        select f.user_id, disease_name, icd10_code, f.probability, f.risk_level, is_active and g.user_id is null as is_active
+        from fx_predictions f left join fresh g on g.user_id = f.user_id and g.disease = f.disease_name
+        union all select user_id, disease, icd10, probability, risk_level, true from fresh""",
+)(lambda t: refreshed(t)["predictions"])
+query(
+    "refresh_profiles",
+    "user_id bigint, health_score int, health_grade string, watchlist int, updated_at date",
+    f"""select user_id, health_score, health_grade, count(*) filter (on_watchlist) as watchlist, date '{AS_OF}' as updated_at
+        from ({PROFILE_SQL}) group by 1, 2, 3
+        union all select -id - 1, 1, 'F', 0, date '1999-01-01' from fx_users where id % 3 = 0""",
+)(lambda t: refreshed(t)["profiles"])
 query(
     "feature_summary",
     "user_id bigint, age double, bmi double, blood_sugar_fasting double, hba1c double, tsh double, "

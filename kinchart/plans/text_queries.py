@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from kinchart.functions import dates as D
 from kinchart.operators import extract as X
+from kinchart.operators import jobs as J
 from kinchart.operators import normalize as N
 from kinchart.operators import ocr as O
 from kinchart.plans.record_queries import EFF, title_sql
 from kinchart.plans.registry import query, relation
-from kinchart.session import checkpoint_dir
 from kinchart.sources import dimensions as dims
 from kinchart.sources import fixed_values as fixed
 from kinchart.sources.fixtures import AS_OF
@@ -91,11 +91,18 @@ finder_queries("", "fx_notes", lambda t: t.notes)
 # The whole documents, each twice, with lines of a prescription between and behind them.
 DOC_NOTE = (
     "concat(text, ' Dr. Asha Rao. Tab metformin ', cast(doc_id % 900 as string), 'mg BD for ', cast(1 + doc_id % 14 as string), "
-    "' days. BP: ', cast(100 + doc_id % 80 as string), '/', cast(60 + doc_id % 40 as string), ' mmHg. ', text, "
+    "' days. Dx: ', case doc_id % 4 when 0 then 'Type 2 Diabetes Mellitus' when 1 then 'HYPERTENSION' when 2 then 'gout' "
+    "else 'coronary artery disease' end, ' at the Apollo Hospital. BP: ', cast(100 + doc_id % 80 as string), '/', cast(60 + doc_id % 40 as string), ' mmHg. ', text, "
     "' FBS: ', cast(70 + doc_id % 120 as string), ' mg/dL. Syp paracetamol ', cast(1 + doc_id % 9 as string), ' ml thrice daily')"
 )
 relation("or_doc_notes", f"select doc_id, {DOC_NOTE} as text from documents")
-finder_queries("_documents", "or_doc_notes", lambda t: t.spread(t.documents).select("doc_id", F.expr(DOC_NOTE).alias("text")))
+
+
+def doc_notes(t):
+    return t.spread(t.documents).select("doc_id", F.expr(DOC_NOTE).alias("text"))
+
+
+finder_queries("_documents", "or_doc_notes", doc_notes)
 
 # Notes that also carry allergies and more date forms.
 relation(
@@ -107,6 +114,10 @@ relation(
 
 
 def notes2(t):
+    return with_tails(t.notes)
+
+
+def with_tails(docs):
     m = F.col("doc_id") % 5
     tail = (
         F.when(m == 0, " Allergic to Penicillin, sulfa drugs.")
@@ -115,16 +126,30 @@ def notes2(t):
         .when(m == 3, " Reports of May 4, 2023 and 25/13/2025, 2024-02-30.")
         .otherwise(" F/U: 05.11.24 (2024/07/09)")
     )
-    return t.notes.withColumn("text", F.concat("text", tail))
+    return docs.withColumn("text", F.concat("text", tail))
 
 
-query(
-    "find_allergies",
-    SPAN,
-    f"""select doc_id, m as text, start, "end", case when g <> '' then trim(g) else 'NKDA' end as normalized,
+def allergy_sql(source: str) -> str:
+    return f"""select doc_id, m as text, start, "end", case when g <> '' then trim(g) else 'NKDA' end as normalized,
         0.88 as confidence from (select *, regexp_extract(m, {q('(?i)' + P['allergy'])}, 1) as g from
-        ({spans_sql("or_notes2", "text", P["allergy"])}))""",
-)(lambda t: rows_of(t, X.find_allergies, notes2(t)))
+        ({spans_sql(source, "text", P["allergy"])}))"""
+
+
+# Documents with allergies and dates of all forms behind the text.
+relation(
+    "or_doc_notes2",
+    """select doc_id, text || case doc_id % 5 when 0 then ' Allergic to Penicillin, sulfa drugs.' when 1 then ' NKDA.'
+       when 2 then ' seen 12th June 2024; next in 3 months.' when 3 then ' Reports of May 4, 2023 and 25/13/2025, 2024-02-30.'
+       else ' F/U: 05.11.24 (2024/07/09)' end as text from documents""",
+)
+
+
+def doc_notes2(t):
+    return with_tails(t.spread(t.documents).select("doc_id", "text"))
+
+
+query("find_allergies", SPAN, allergy_sql("or_notes2"))(lambda t: rows_of(t, X.find_allergies, notes2(t)))
+query("find_allergies_documents", SPAN, allergy_sql("or_doc_notes2"))(lambda t: rows_of(t, X.find_allergies, doc_notes2(t)))
 
 NUM = q("(?i)" + P["numeric_date"])
 WRI = q("(?i)" + P["written_date"])
@@ -152,17 +177,19 @@ def date_sql(text: str) -> str:
       when {n(4)} <> '' then {make_sql(i(n(4)), i(n(5)), i(n(6)))} end"""
 
 
-relation("or_written", spans_sql("or_notes2", "text", P["written_date"]))
-relation("or_numeric", spans_sql("or_notes2", "text", P["numeric_date"]))
-query(
-    "find_dates",
-    SPAN,
-    f"""select *, cast(d as varchar) as normalized from (
-          select doc_id, m as text, start, "end", {date_sql('m')} as d, 0.95 as confidence from or_written
-          union all select doc_id, m, start, "end", {date_sql('m')}, 0.85 from or_numeric n where not exists (
-            select 1 from or_written w where w.doc_id = n.doc_id and w.start < n."end" and w."end" > n.start))
-        where d is not null""",
-)(lambda t: rows_of(t, X.find_dates, notes2(t)))
+
+
+def dates_sql(source: str) -> str:
+    return f"""select *, cast(d as varchar) as normalized from (
+          select doc_id, m as text, start, "end", {date_sql('m')} as d, 0.95 as confidence from ({spans_sql(source, "text", P["written_date"])})
+          union all select doc_id, m, start, "end", {date_sql('m')}, 0.85 from ({spans_sql(source, "text", P["numeric_date"])}) n
+          where not exists (select 1 from ({spans_sql(source, "text", P["written_date"])}) w
+            where w.doc_id = n.doc_id and w.start < n."end" and w."end" > n.start and {date_sql('w.m')} is not null))
+        where d is not null"""
+
+
+query("find_dates", SPAN, dates_sql("or_notes2"))(lambda t: rows_of(t, X.find_dates, notes2(t)))
+query("find_dates_documents", SPAN, dates_sql("or_doc_notes2"))(lambda t: rows_of(t, X.find_dates, doc_notes2(t)))
 relation(
     "or_date_texts",
     """select id, case id % 7 when 0 then strftime(created_at, '%d/%m/%Y') when 1 then strftime(created_at, '%d-%m-%y')
@@ -210,8 +237,8 @@ query(
 relation(
     "or_tails",
     """select doc_id, case doc_id % 5 when 0 then text when 1 then 'Follow-up on 5/11/24. ' || text
-       when 2 then 'revisit 3 months later, within 10 days' when 3 then 'Next visit: 14/13/2025 after 2 years'
-       else 'nothing' end as text from fx_notes""",
+       when 2 then 'revisit 3 months later, within 10 days. ' || text when 3 then 'Next visit: 14/13/2025 after 2 years. ' || text
+       else replace(text, 'Review after', 'about') end as text from fx_notes""",
 )
 
 
@@ -221,9 +248,9 @@ def tails(t):
         "text",
         F.when(m == 0, F.col("text"))
         .when(m == 1, F.concat(F.lit("Follow-up on 5/11/24. "), "text"))
-        .when(m == 2, "revisit 3 months later, within 10 days")
-        .when(m == 3, "Next visit: 14/13/2025 after 2 years")
-        .otherwise("nothing"),
+        .when(m == 2, F.concat(F.lit("revisit 3 months later, within 10 days. "), "text"))
+        .when(m == 3, F.concat(F.lit("Next visit: 14/13/2025 after 2 years. "), "text"))
+        .otherwise(F.replace("text", F.lit("Review after"), F.lit("about"))),
     )
 
 
@@ -235,35 +262,106 @@ query("relative_date", "doc_id bigint, d date", f"select doc_id, {unit_sql(REL)}
 
 
 def vocabulary_sql(names, docs: str = "fx_notes") -> str:
-    """First occurrence of each name between non-letters, unless a longer hit overlaps it."""
-    return f"""with hits as (select doc_id, name, strpos(lower(text), name) - 1 as start,
-          strpos(lower(text), name) - 1 + length(name) as "end", text from {docs} join
-          {values([(n,) for n in names], 'voc(name)')} on contains(lower(text), name)),
-        good as (select * from hits where not regexp_matches(substring(text, start, 1), '[A-Za-z]')
-          and not regexp_matches(substring(text, "end" + 1, 1), '[A-Za-z]'))
-      select doc_id, name, start, "end" from good g where not exists (select 1 from good o where o.doc_id = g.doc_id
+    """Every occurrence of each name between non-letters, unless a longer hit overlaps it."""
+    return f"""with folded as (select doc_id, text, lower(text) as low from {docs}),
+        cut as (select doc_id, text, low, name, string_split(low, name) as g from folded join
+          {values([(n,) for n in names], 'voc(name)')} on contains(low, name)),
+        hits as (select doc_id, text, low, name, cast(list_sum(list_transform(g[1:i], lambda x: length(x)))
+          + (i - 1) * length(name) as int) as start from (select *, unnest(range(1, len(g))) as i from cut)),
+        good as (select doc_id, name, substring(text, start + 1, length(name)) as m, start,
+            cast(start + length(name) as int) as "end" from hits
+          where not regexp_matches(substring(low, start, 1), '\\p{{L}}')
+          and not regexp_matches(substring(low, start + length(name) + 1, 1), '\\p{{L}}'))
+      select doc_id, name, m, start, "end" from good g where not exists (select 1 from good o where o.doc_id = g.doc_id
         and o.start < g."end" and o."end" > g.start and length(o.name) > length(g.name))"""
 
 
 DRUG_SQL = values([r for r in N.DRUGS], "dr(name, atc_code, generic_name, drug_class)")
 BRAND_SQL = values([r for r in N.BRANDS], "br(brand, generic)")
 COND_SQL = values([(i, *r) for i, r in enumerate(N.CONDITIONS)], "co(ord, name, icd10_code)")
-query(
-    "find_drugs",
-    "doc_id bigint, text string, start int, end int, normalized string, atc_code string, drug_class string",
-    f"""select doc_id, h.name as text, start, "end", {title_sql('coalesce(generic, h.name)')} as normalized,
-        coalesce(atc_code, '') as atc_code, coalesce(drug_class, '') as drug_class
-        from ({vocabulary_sql(X.DRUG_NAMES)}) h left join {BRAND_SQL} on brand = h.name
-        left join {DRUG_SQL} on dr.name = coalesce(generic, h.name)""",
-)(lambda t: rows_of(t, X.find_drugs))
-query(
-    "find_diseases",
-    "doc_id bigint, text string, start int, end int, normalized string, icd10_code string",
-    f"""select doc_id, h.name as text, start, "end", {title_sql('h.name')} as normalized, icd10_code
-        from ({vocabulary_sql(X.DISEASE_NAMES)}) h join {COND_SQL} on co.name = h.name""",
-)(lambda t: rows_of(t, X.find_diseases))
-query("find_hospitals", SPAN, """select doc_id, 'City Hospital' as text, 14 as start, 27 as "end",
-      'City Hospital' as normalized, 0.75 as confidence from fx_notes""")(lambda t: rows_of(t, X.find_hospitals))
+HOSPITAL = r"(?:[A-Za-z][A-Za-z\s]*)?\b(?:" + "|".join(dims.words(fixed.HOSPITAL_WORDS)) + r")\b"
+# Notes in which the names of places vary with the note.
+relation("or_places", """select doc_id, replace(text, 'City Hospital', case doc_id % 4 when 0 then 'St Mary Nursing Home and Clinic'
+    when 1 then 'the clinic' when 2 then 'Ward 7, Apollo Hospital Centre of' else 'City Hospital' end) as text from fx_notes""")
+
+
+def places(t):
+    m = F.col("doc_id") % 4
+    name = (
+        F.when(m == 0, "St Mary Nursing Home and Clinic").when(m == 1, "the clinic")
+        .when(m == 2, "Ward 7, Apollo Hospital Centre of").otherwise("City Hospital")
+    )
+    return t.notes.withColumn("text", F.replace("text", F.lit("City Hospital"), name))
+
+
+def name_queries(suffix: str, source: str, place_source: str, docs, place_docs) -> None:
+    """The finders of names over one table of texts."""
+    query(
+        "find_drugs" + suffix,
+        "doc_id bigint, text string, start int, end int, normalized string, atc_code string, drug_class string",
+        f"""select doc_id, m as text, start, "end", {title_sql('coalesce(generic, h.name)')} as normalized,
+            coalesce(atc_code, '') as atc_code, coalesce(drug_class, '') as drug_class
+            from ({vocabulary_sql(X.DRUG_NAMES, source)}) h left join {BRAND_SQL} on brand = h.name
+            left join {DRUG_SQL} on dr.name = coalesce(generic, h.name)""",
+    )(lambda t: rows_of(t, X.find_drugs, docs(t)))
+    query(
+        "find_diseases" + suffix,
+        "doc_id bigint, text string, start int, end int, normalized string, icd10_code string",
+        f"""select doc_id, m as text, start, "end", {title_sql('h.name')} as normalized, icd10_code
+            from ({vocabulary_sql(X.DISEASE_NAMES, source)}) h join {COND_SQL} on co.name = h.name""",
+    )(lambda t: rows_of(t, X.find_diseases, docs(t)))
+    query(
+        "find_hospitals" + suffix,
+        SPAN,
+        f"""select doc_id, m as text, start, "end", {title_sql('trim(m)')} as normalized, 0.75 as confidence
+            from ({spans_sql(place_source, "text", HOSPITAL)})""",
+    )(lambda t: rows_of(t, X.find_hospitals, place_docs(t)))
+
+
+name_queries("", "fx_notes", "or_places", lambda t: t.notes, places)
+name_queries("_documents", "or_doc_notes", "or_doc_notes", doc_notes, doc_notes)
+
+# --- all finders over one table ---------------------------------------------------------------------
+
+
+def entities_sql(source: str, normalized: bool = True) -> str:
+    """Rows (doc_id, ord, type, text, start, "end", normalized, confidence, source) of all finders in order.
+
+    Medicines have their generic name once they are normalized, the brand's or their own before.
+    """
+    generic = f"coalesce({'generic_name, ' if normalized else ''}{title_sql('coalesce(generic, h.name)')})"
+    pattern = {n: spans_sql(source, "text", P[n]) for n in ("dosage", "frequency", "duration", "lab_value", "blood_pressure")}
+    doctors = spans_sql(source, "text", "|".join(r[0] for r in dims.rows("DOCTOR_FORMS", 1)))
+    bp = q("(?i)" + P["blood_pressure"])
+    plain = "0 as k, '' as name, start"
+    parts = [
+        f"""select doc_id, 'MEDICINE' as type, m as text, start, "end", {generic} as normalized, 0.9 as confidence, 'vocab' as source,
+            0 as finder, -length(m) as k, h.name as name, start as place from ({vocabulary_sql(X.DRUG_NAMES, source)}) h
+            left join {BRAND_SQL} on brand = h.name left join {DRUG_SQL} on dr.name = coalesce(generic, h.name)""",
+        f"""select doc_id, 'DISEASE', m, start, "end", {title_sql('name')}, 0.88, 'vocab', 1, -length(m), name, start
+            from ({vocabulary_sql(X.DISEASE_NAMES, source)})""",
+        f"""select doc_id, 'DOSAGE', m, start, "end", upper(m), 0.95, 'rule', 2, {plain} from ({pattern["dosage"]})""",
+        f"""select doc_id, 'FREQUENCY', m, start, "end", {PATTERN_QUERIES["find_frequencies"][2]}, 0.92, 'rule', 3, {plain}
+            from ({pattern["frequency"]})""",
+        f"""select doc_id, 'DURATION', m, start, "end", trim(m), 0.9, 'rule', 4, {plain} from ({pattern["duration"]})""",
+        f"""select doc_id, 'DATE', text, start, "end", normalized, confidence, 'rule', 5, {plain} from ({dates_sql(source)})""",
+        f"""select doc_id, 'LAB_VALUE', m, start, "end", trim(m), 0.93, 'rule', 6, {plain} from ({pattern["lab_value"]})""",
+        f"""select doc_id, 'BLOOD_PRESSURE', m, start, "end", concat(regexp_extract(m, {bp}, 1), '/', regexp_extract(m, {bp}, 2), ' mmHg'),
+            0.95, 'rule', 7, {plain} from ({pattern["blood_pressure"]})""",
+        f"""select doc_id, 'DOCTOR', m, start, "end", trim(m), 0.85, 'rule', 8, {plain} from ({doctors})""",
+        f"""select doc_id, 'HOSPITAL', m, start, "end", {title_sql('trim(m)')}, 0.75, 'rule', 9, {plain}
+            from ({spans_sql(source, "text", HOSPITAL)})""",
+        f"""select doc_id, 'ALLERGY', text, start, "end", normalized, confidence, 'rule', 10, {plain} from ({allergy_sql(source)})""",
+    ]
+    rows = " union all ".join(parts)
+    return f"""select doc_id, cast(row_number() over (partition by doc_id order by finder, k, name, place) - 1 as int) as ord,
+        type, text, start, "end", normalized, confidence, source from ({rows})"""
+
+
+relation("or_documents", "select doc_id, coalesce(text, '') as text from documents")
+relation("or_turns", "select conv_id * 100000 + turn as doc_id, coalesce(text, '') as text from conversations")
+relation("or_note_rules", entities_sql("fx_notes", normalized=False))
+relation("or_note_entities", entities_sql("fx_notes"))
 
 # --- corrections of recognised text ----------------------------------------------------------------
 
@@ -445,14 +543,14 @@ query(
 
 # --- prescriptions and the pipeline ---------------------------------------------------------------
 
-PARTS = """select record_id as doc_id, disease, medicine, qty, 1 + pk % 14 as days, 70 + pk % 120 as fbs,
+PARTS = """select record_id * 100 + n as doc_id, disease, medicine, qty, 1 + pk % 14 as days, 70 + pk % 120 as fbs,
   1 + pk % 28 as dd, 1 + sk % 12 as mm, 1 + sk % 8 as weeks, 100 + pk % 80 as sys, 60 + sk % 40 as dia from fx_lines join """
 
 
 def parts_sql() -> str:
     from kinchart.sources.fixtures import _DISEASES, _MEDICINES
 
-    return PARTS + f"{_DISEASES} on pk % 10 = di join {_MEDICINES} on sk % 10 = mi where n = 1"
+    return PARTS + f"{_DISEASES} on pk % 10 = di join {_MEDICINES} on sk % 10 = mi"
 
 
 relation("or_parts", parts_sql())
@@ -507,8 +605,8 @@ query(
     "entities_by_type",
     "doc_id bigint, medicines int, diseases int, dates int, doctors int, hospitals int, lab_values int, dosages int, "
     "frequencies int, allergies int, blood_pressure int, all_entities int",
-    """select doc_id, 1 as medicines, 1 as diseases, 1 as dates, 1 as doctors, 1 as hospitals, 1 as lab_values,
-       2 as dosages, 1 as frequencies, 0 as allergies, 1 as blood_pressure, 11 as all_entities from fx_notes""",
+    "select doc_id, " + ", ".join(f"count(*) filter (type = '{k}') as {n}" for n, k in X.ENTITY_LISTS.items())
+    + ", count(*) as all_entities from or_note_entities group by 1",
 )(
     lambda t: X.entities_by_type(extracted(t)).select(
         "doc_id", *[F.size(n).alias(n) for n in X.ENTITY_LISTS], F.size("entities").alias("all_entities")
@@ -528,10 +626,12 @@ query(
         unnest([0.9, 0.88, 0.95, 0.95, 0.92, 0.9, 0.85, 0.93, 0.95, 0.85, 0.75]) as c
         from or_structured s join or_parts p on p.doc_id = s.doc_id)""",
 )(lambda t: X.extract_entities(t.notes))
-query("extract_documents_entities", ENTITY)(lambda t: X.extract_entities(t.spread(t.documents)))
+query("extract_documents_entities", ENTITY, entities_sql("or_documents"))(lambda t: X.extract_entities(t.spread(t.documents)))
+query("extract_note_documents", ENTITY, entities_sql("or_doc_notes"))(lambda t: X.extract_entities(doc_notes(t)))
 query(
     "extract_conversation_entities",
     "conv_id bigint, turn bigint, type string, text string, start int, normalized string",
+    f"select doc_id // 100000 as conv_id, doc_id % 100000 as turn, * from ({entities_sql('or_turns')})",
 )(
     lambda t: X.extract_documents(t.spread(t.conversations))
     .select("conv_id", "turn", F.inline_outer("entities"))
@@ -569,21 +669,10 @@ for kind, reach, extractor in (("frequency", 150, X.find_frequencies), ("duratio
     )
 
 
-def stored(rows):
-    """Rows as a stored table: the real inputs of these queries are tables, not extractions."""
-    checkpoint_dir(rows.sparkSession)
-    return rows.checkpoint()
-
-
-def shifted(t):
-    """Stand-in for annotation spans: dose, duration and pressure spans moved by up to three characters."""
-    docs = t.notes.select(
-        "doc_id",
-        F.concat(X.find_dosages(F.col("text")), X.find_durations(F.col("text")), X.find_blood_pressure(F.col("text"))).alias("entities"),
-    )
+def moved(rows):
+    """Stand-in for annotation rows: entities moved by up to three characters, with confidences of their own."""
     by = (F.col("doc_id") % 4).cast("int")
-    rows = X.explode_entities(docs)
-    moved = rows.withColumns(
+    return rows.withColumns(
         {
             "start": F.col("start") + by,
             "end": F.col("end") + by,
@@ -591,20 +680,50 @@ def shifted(t):
             "source": F.lit("ml"),
         }
     )
-    return stored(moved)
 
 
-relation("or_rule_spans", f"""select * from ({spans_sql("fx_notes", "text", P["dosage"])}) union all
-    select * from ({spans_sql("fx_notes", "text", P["duration"])}) union all
-    select * from ({spans_sql("fx_notes", "text", P["blood_pressure"])})""")
-
-
-def rule_spans(t):
-    docs = t.notes.select(
-        "doc_id",
-        F.concat(X.find_dosages(F.col("text")), X.find_durations(F.col("text")), X.find_blood_pressure(F.col("text"))).alias("entities"),
-    )
-    return stored(X.explode_entities(docs))
+def moved_sql(rules: str) -> str:
+    return f"""select doc_id, ord, type, text, cast(start + doc_id % 4 as int) as start, cast("end" + doc_id % 4 as int) as "end",
+        normalized, cast(70 + start % 30 as double) / 100.0 as confidence, 'ml' as source from {rules}"""
+
+
+def walk_sql(rules: str, ml: str) -> str:
+    """Rows (doc_id, ro, ao, v): every rule entity, in order, takes the free annotation it overlaps most."""
+    return f"""with recursive cand as materialized (
+        select r.doc_id, r.ord as ro, a.ord as ao, cast(least(r."end", a."end") - greatest(r.start, a.start) as double)
+          / least(r."end" - r.start, a."end" - a.start) as v
+        from {rules} r join {ml} a on a.doc_id = r.doc_id and a.start < r."end" and a."end" > r.start),
+      ranked as materialized (select *, dense_rank() over (partition by doc_id order by ro) as k from cand where v > 0.3),
+      walk as (
+        select distinct doc_id, cast(0 as bigint) as k, cast([] as int[]) as taken, cast(null as int) as ro, cast(null as int) as ao,
+          cast(null as double) as v from ranked
+        union all
+        select doc_id, k, case when ao is null then taken else list_append(taken, ao) end, ro, ao, v from (
+          select w.doc_id, c.k, any_value(w.taken) as taken, any_value(c.ro) as ro,
+            arg_max(c.ao, row(c.v, -c.ao)) filter (where not list_contains(w.taken, c.ao)) as ao,
+            max(c.v) filter (where not list_contains(w.taken, c.ao)) as v
+          from walk w join ranked c on c.doc_id = w.doc_id and c.k = w.k + 1 group by w.doc_id, c.k))
+      select doc_id, ro, ao, v from walk where ao is not null"""
+
+
+def merged_sql(rules: str, ml: str, pairs: str) -> str:
+    """Rows of both sides with conflicts resolved."""
+    pick = "p.ao is not null and a.confidence > 0.85"
+    field = lambda n: f'case when {pick} then a."{n}" else r."{n}" end as "{n}"'
+    names = ("type", "text", "start", "end", "normalized", "source")
+    return f"""select r.doc_id, {", ".join(field(n) for n in names)},
+        case when {pick} then cast(round(cast(0.4 as decimal(4,2)) * cast(r.confidence as decimal(12,6))
+          + cast(0.6 as decimal(4,2)) * cast(a.confidence as decimal(12,6)), 3) as double) else r.confidence end as confidence
+      from {rules} r left join {pairs} p on p.doc_id = r.doc_id and p.ro = r.ord
+        left join {ml} a on a.doc_id = r.doc_id and a.ord = p.ao
+      union all
+      select a.doc_id, {", ".join(f'a."{n}"' for n in names)}, case when exists (select 1 from {rules} r where r.doc_id = a.doc_id)
+        then a.confidence * cast(0.85 as double) else a.confidence end
+      from {ml} a left join {pairs} p on p.doc_id = a.doc_id and p.ao = a.ord where p.ao is null"""
+
+
+def rule_rows(docs):
+    return X.explode_entities(X.rule_entities(docs))
 
 
 def located_pairs(rules, ml):
@@ -614,22 +733,29 @@ def located_pairs(rules, ml):
     return pairs.join(place(rules, "rule"), ["doc_id", "rule_ord"]).join(place(ml, "ml"), ["doc_id", "ml_ord"])
 
 
+relation("or_doc_rules", entities_sql("or_doc_notes", normalized=False))
+for name in ("note", "doc"):
+    relation(f"or_{name}_ml", moved_sql(f"or_{name}_rules"))
+    relation(f"or_{name}_pairs", walk_sql(f"or_{name}_rules", f"or_{name}_ml"))
+
 query(
     "span_overlap_join",
     "doc_id bigint, rule_start int, ml_start int, overlap double",
-    """select r.doc_id, r.start as rule_start, a.start + r.doc_id % 4 as ml_start,
-       cast(least(r."end", a."end" + r.doc_id % 4) - greatest(r.start, a.start + r.doc_id % 4) as double)
-         / least(r."end" - r.start, a."end" - a.start) as overlap
-       from or_rule_spans r join or_rule_spans a on a.doc_id = r.doc_id
-       where cast(least(r."end", a."end" + r.doc_id % 4) - greatest(r.start, a.start + r.doc_id % 4) as double)
-         / least(r."end" - r.start, a."end" - a.start) > 0.3""",
-)(lambda t: located_pairs(rule_spans(t), shifted(t)))
-query("merge_entities", ENTITY + ", source string")(
-    lambda t: X.merge_entities(stored(X.explode_entities(X.rule_entities(t.notes))), shifted(t))
-)
-query("extract_merged_entities", ENTITY + ", source string")(
-    lambda t: X.extract_entities(t.notes, annotations=shifted(t))
+    """select p.doc_id, r.start as rule_start, a.start as ml_start, v as overlap from or_doc_pairs p
+       join or_doc_rules r on r.doc_id = p.doc_id and r.ord = p.ro join or_doc_ml a on a.doc_id = p.doc_id and a.ord = p.ao""",
+)(lambda t: located_pairs(rule_rows(doc_notes(t)), moved(rule_rows(doc_notes(t)))))
+MERGED = ENTITY + ", source string"
+query("merge_entities", MERGED, merged_sql("or_note_rules", "or_note_ml", "or_note_pairs"))(
+    lambda t: X.merge_entities(rule_rows(t.notes), moved(rule_rows(t.notes)))
 )
+query(
+    "extract_merged_entities",
+    MERGED,
+    f"""select m.doc_id, type, text, start, "end", case when type = 'MEDICINE' then coalesce(dr.generic_name, m.normalized) else normalized end
+        as normalized, confidence, source from ({merged_sql("or_doc_rules", "or_doc_ml", "or_doc_pairs")}) m
+        left join {BRAND_SQL} on brand = lower(m.text) left join {DRUG_SQL} on dr.name = coalesce(generic, lower(m.text))
+        where confidence >= 0.6""",
+)(lambda t: X.extract_entities(doc_notes(t), annotations=moved(rule_rows(doc_notes(t)))))
 
 # --- flags ----------------------------------------------------------------------------------------
 
@@ -735,7 +861,7 @@ def paged(t):
 relation(
     "or_pages",
     """select doc_id, 1 + word_no % 3 as page, string_agg(text, ' ' order by floor(y_min / 20), x_min, word_no) as raw_text,
-       round(avg(confidence), 6) as cs, count(*) as n from fx_words group by 1, 2""",
+       least(1.0, coalesce(sum(confidence * confidence) / nullif(sum(confidence), 0), 0.0)) as c from fx_words group by 1, 2""",
 )
 query(
     "reading_order_text",
@@ -746,8 +872,14 @@ query(
     "merge_pages",
     "doc_id bigint, raw_text string, overall_confidence double, page_count bigint",
     """select doc_id, string_agg('--- Page ' || page || ' ---' || chr(10) || raw_text, chr(10) || chr(10) order by page) as raw_text,
-       round(avg(page / 4.0), 3) as overall_confidence, count(*) as page_count from or_pages group by 1""",
-)(lambda t: O.merge_pages(O.reading_order_text(paged(t)).withColumn("confidence", F.col("page") / 4.0)))
+       round(avg(c), 3) as overall_confidence, count(*) as page_count from or_pages group by 1""",
+)(
+    lambda t: O.merge_pages(
+        O.reading_order_text(paged(t)).join(
+            O.document_confidence(paged(t), keys=("doc_id", "page")).withColumnRenamed("overall_confidence", "confidence"), ["doc_id", "page"]
+        )
+    )
+)
 
 
 def archived(t):
@@ -779,3 +911,95 @@ query(
     "record_id bigint, page int, engine string, text string, x_min double, y_max double, confidence double",
     "select doc_id as record_id, page, engine, text, x_min, y_max, confidence from fx_words",
 )(lambda t: O.ocr_words(nested_results(t)))
+
+# --- the upload job as a whole ------------------------------------------------------------------------
+
+# Every turn of a conversation with a prescription behind it, as two engines read it: forty words a page, eight a line; the
+# second engine misses every fourth word and stands a little aside.
+TURN_NOTE = (
+    "concat(coalesce(text, ''), ' Dr. Asha Rao, at Apollo Hospital. Dx: gout and asthma. Tab Metforrn ', cast(1 + turn % 900 as string), "
+    "' rnq bd for ', cast(1 + conv_id % 14 as string), ' days. BP: 130/85 mmHg. FBS: ', cast(70 + conv_id % 120 as string), "
+    "' mg/dL. Date ', cast(1 + conv_id % 28 as string), '/', cast(1 + turn % 12 as string), '/2025. NKDA')"
+)
+relation(
+    "or_job_words",
+    f"""select doc_id, i, ws[i + 1] as w, 1 + i // 40 as page, cast((doc_id + i * 7) % 101 as double) / 100 as ct,
+        case when i % 4 <> 3 then cast((doc_id + i * 11) % 101 as double) / 100 end as ce
+        from (select doc_id, ws, unnest(range(len(ws))) as i from (
+          select conv_id * 1000 + turn as doc_id,
+            string_split(trim(regexp_replace({TURN_NOTE}, '\\s+', ' ', 'g')), ' ') as ws from conversations))""",
+)
+relation(
+    "or_job_pages",
+    """select doc_id, page, string_agg(w, ' ' order by i) as raw_text, sum(c * c) / sum(c) as confidence from (
+         select *, case when ce >= ct then ce else ct end as c from or_job_words) group by 1, 2""",
+)
+relation(
+    "or_job_raw",
+    """select doc_id, string_agg('--- Page ' || page || ' ---' || chr(10) || raw_text, chr(10) || chr(10) order by page) as raw_text,
+       round(avg(least(1.0, confidence)), 3) as confidence from or_job_pages group by 1""",
+)
+relation("or_job_texts", f"select doc_id, {fix_sql('raw_text')} as text from or_job_raw")
+relation("or_job_entities", entities_sql("or_job_texts"))
+
+
+def job_words(t):
+    turns = t.spread(t.conversations)
+    text = F.trim(F.regexp_replace(F.expr(TURN_NOTE), r"\s+", " "))
+    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.posexplode(F.split(text, " ")).alias("i", "text"))
+    i = F.col("i")
+    engines = F.array(*[
+        F.struct(F.lit(name).alias("engine"), F.lit(off).alias("off"), F.lit(mul).alias("mul"))
+        for name, off, mul in ((O.FIRST, 0.0, 7), (O.SECOND, 6.0, 11))
+    ])
+    both = rows.select("doc_id", "i", "text", F.inline(engines)).filter((F.col("engine") == O.FIRST) | (i % 4 != 3))
+    x, y = (i % 8) * 60 + F.col("off"), F.floor(i % 40 / 8) * 40 + F.col("off")
+    return both.select(
+        "doc_id", (1 + F.floor(i / 40)).cast("int").alias("page"), i.cast("bigint").alias("word_no"), "engine", "text",
+        x.alias("x_min"), y.alias("y_min"), (x + 50).alias("x_max"), (y + 18).alias("y_max"),
+        (((F.col("doc_id") + i * F.col("mul")) % 101).cast("double") / 100).alias("confidence"),
+    )
+
+
+def processed(t):
+    """The job over pending records, half of them prescriptions, with rows of an earlier run and of other records."""
+    ids = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn")
+    records = ids.select(
+        "id", (F.col("id") % 100).alias("owner_id"), F.when(F.col("turn") % 2 == 0, "prescription").otherwise("lab_report").alias("record_type"),
+        F.when(F.col("id") % 3 == 0, F.to_date(F.lit("2020-02-02"))).alias("record_date"), F.lit("pending").alias("extraction_status"),
+        F.lit(None).cast("double").alias("confidence_score"),
+    )
+    waiting = records.withColumn("id", -F.col("id") - 1)
+    old = ids.select(F.explode(F.array(F.col("id"), -F.col("id") - 1)).alias("record_id"))
+    entities = old.select("record_id", F.lit("disease").alias("entity_type"), F.lit("earlier").alias("entity_value"), F.lit(0.5).alias("confidence"))
+    prescriptions = old.select("record_id", F.lit("earlier").alias("diagnosis"))
+    return J.process_documents(records.unionByName(waiting), job_words(t), entities, prescriptions, AS_OF)
+
+
+STORED = ", ".join(q(w) for w in dims.words(fixed.STORED_ENTITY_TYPES))
+query(
+    "process_documents_entities",
+    "record_id bigint, entity_type string, entity_value string, confidence double, start_index int, end_index int",
+    f"""select doc_id as record_id, case when lower(type) in ({STORED}) then lower(type) else 'other' end as entity_type,
+        text as entity_value, confidence, start as start_index, "end" as end_index from or_job_entities
+        union all select -(conv_id * 1000 + turn) - 1, 'disease', 'earlier', 0.5, null, null from conversations""",
+)(lambda t: processed(t)["entities"])
+query(
+    "process_documents_prescriptions",
+    "record_id bigint, diagnosis string, prescription_date date, medicines string",
+    f"""select doc_id as record_id, string_agg(distinct normalized, ', ' order by normalized) filter (type = 'DISEASE') as diagnosis,
+        arg_min(case when type = 'DATE' then cast(normalized as date) end, ord) as prescription_date,
+        coalesce(string_agg(normalized, ';' order by ord) filter (type = 'MEDICINE'), '') as medicines
+        from or_job_entities where doc_id % 1000 % 2 = 0 group by 1
+        union all select -(conv_id * 1000 + turn) - 1, 'earlier', null, null from conversations""",
+)(lambda t: processed(t)["prescriptions"].withColumn("medicines", F.array_join(F.transform("medicines", lambda m: m["name"]), ";")))
+query(
+    "process_documents_records",
+    "id bigint, extraction_status string, confidence_score double, record_date date, raw_ocr_text string",
+    """select doc_id as id, 'done' as extraction_status, confidence as confidence_score, case when doc_id % 3 = 0 then date '2020-02-02'
+         when doc_id % 1000 % 2 = 0 then d end as record_date, raw_text as raw_ocr_text
+       from or_job_raw left join (select doc_id, arg_min(cast(normalized as date), ord) as d from or_job_entities where type = 'DATE' group by 1)
+         using (doc_id)
+       union all select -(conv_id * 1000 + turn) - 1, 'pending', null,
+         case when (conv_id * 1000 + turn) % 3 = 0 then date '2020-02-02' end, null from conversations""",
+)(lambda t: processed(t)["records"])

@@ -41,12 +41,13 @@ VIEWS = {
     "fx_users": """
         select c_custkey as id, c_name as full_name,
           <add date '1940-01-01' | (c_custkey * 37) % 25000> as date_of_birth,
-          case c_custkey % 3 when 0 then 'male' when 1 then 'female' end as gender, 'patient' as role
+          case c_custkey % 3 when 0 then 'male' when 1 then 'female' end as gender,
+          case c_custkey % 10 when 3 then 'doctor' else 'patient' end as role
         from {customer}""",
     "fx_members": f"""
         select o_orderkey as id, o_custkey as user_id, concat('Member#', cast(o_orderkey as string)) as name,
           relationship, o_orderstatus = 'F' as is_deceased,
-          case when o_orderkey % 2 = 0 then o_orderkey % 1500 end as related_user_id,
+          case when o_orderkey % 2 = 0 then (o_orderkey * 7919) % (select max(c_custkey) + 1 from {{customer}}) end as related_user_id,
           o_orderdate as created_at
         from {{orders}} join {_RELATIONS} on o_orderkey % 19 = ri where o_orderkey % 3 = 0""",
     "fx_records": """
@@ -60,11 +61,11 @@ VIEWS = {
           o_orderkey % 5 = 0 as is_verified_by_user, o_orderdate as created_at
         from {orders}""",
     "fx_lines": """
-        select l_orderkey as record_id, l_linenumber as n, min(l_partkey) as pk, min(l_suppkey) as sk,
-          cast(min(l_quantity) as int) as qty
-        from {lineitem} group by l_orderkey, l_linenumber""",
+        select l_orderkey as record_id, l_partkey as pk, l_suppkey as sk, cast(l_quantity as int) as qty,
+          cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as int) as n
+        from {lineitem}""",
     "fx_entities": f"""
-        select record_id * 10 + n as id, record_id,
+        select record_id * 100 + n as id, record_id,
           case when n % 3 = 1 then 'disease' when n % 3 = 2 then 'medicine' else 'lab_value' end as entity_type,
           case when n % 3 = 1 then disease when n % 3 = 2 then medicine else lab end as entity_value,
           cast(50 + pk % 50 as double) / 100 as confidence, pk % 13 = 0 as user_corrected,
@@ -96,12 +97,12 @@ VIEWS = {
           created_at, created_at + interval '72' hour as expires_at
         from {fx_members}""",
     "fx_notes": f"""
-        select record_id as doc_id, concat('Dr. Asha Rao, City Hospital. Dx: ', disease, '. Tab ', medicine,
+        select record_id * 100 + n as doc_id, record_id, concat('Dr. Asha Rao, City Hospital. Dx: ', disease, '. Tab ', medicine,
           ' ', cast(qty as string), 'mg BD for ', cast(1 + pk % 14 as string), ' days. BP: ',
           cast(100 + pk % 80 as string), '/', cast(60 + sk % 40 as string), ' mmHg. FBS: ',
           cast(70 + pk % 120 as string), ' mg/dL. Date ', cast(1 + pk % 28 as string), '/',
           cast(1 + sk % 12 as string), '/2025. Review after ', cast(1 + sk % 8 as string), ' weeks') as text
-        from {{fx_lines}} join {_DISEASES} on pk % 10 = di join {_MEDICINES} on sk % 10 = mi where n = 1""",
+        from {{fx_lines}} join {_DISEASES} on pk % 10 = di join {_MEDICINES} on sk % 10 = mi""",
     "fx_words": """
         select record_id as doc_id, cast(1 as int) as page, n as word_no, e.engine,
           concat('w', cast(n as string)) as text, cast(n * 60 + off as double) as x_min,

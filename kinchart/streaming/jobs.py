@@ -65,31 +65,53 @@ def current_entities(entities: DataFrame, status: DataFrame) -> DataFrame:
 def refresh_risks(touched: DataFrame, tables: dict[str, DataFrame], as_of) -> DataFrame:
     """Risk profiles of the touched users only (user_id); every table is cut to them first."""
     keys = touched.select("user_id").distinct()
-    owned = keys.withColumnRenamed("user_id", "owner_id")
     users = tables["users"].join(keys.withColumnRenamed("user_id", "id"), "id", "left_semi")
     members = tables["members"].join(keys, "user_id", "left_semi")
-    records = tables["records"].join(owned, "owner_id", "left_semi")
-    kin = tables["records"].join(
-        members.select(F.col("id").alias("family_member_id")), "family_member_id", "left_semi"
-    )
-    entries = K.member_conditions(kin, tables["entities"], distinct=False)
+    own = tables["records"].filter("family_member_id is null").join(keys.withColumnRenamed("user_id", "owner_id"), "owner_id", "left_semi")
+    kin = tables["records"].join(members.select(F.col("id").alias("family_member_id")), "family_member_id", "left_semi")
     effective = K.member_conditions(kin, tables["entities"], distinct=False, use_corrections=True)
-    own = records.filter("family_member_id is null")
-    features = S.build_features(users, own, tables["entities"], members, entries, as_of)
+    features = S.all_features(users, own.unionByName(kin), tables["entities"], members, as_of)
     return S.risk_profile_build(features, K.pattern_boost(K.weighted_patterns(members, effective)))
 
 
 def stream_risk_refresh(changes: DataFrame, tables: dict[str, DataFrame], out: str, checkpoint: str, as_of, once: bool = True):
-    """Re-score the users named in a stream of changes; one versioned folder per batch."""
+    """Re-score the users named in a stream of changes.
+
+    Each batch is written to a folder of its own, named by the stream's id and the batch, so a repeated
+    batch replaces itself and a stream with a new checkpoint replaces nothing.  Earlier predictions stay as
+    rows; ``versioned_predictions`` tells which are active and ``current_profiles`` the profile of each user.
+    """
 
     def batch(touched: DataFrame, number: int) -> None:
-        refresh_risks(touched, tables, as_of).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(
-            f"{out}/run={number}"
+        stream = touched.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        scored = refresh_risks(touched, tables, as_of).withColumns(
+            {"written": F.lit(time.time()), "origin": F.lit(stream), "batch": F.lit(number)}
         )
+        scored.write.mode("overwrite").parquet(f"{out}/stream={stream}/run={number}")
 
     return _start(changes, batch, checkpoint, once)
 
 
+VERSION = ("written", "origin", "batch")
+
+
+def versioned_predictions(scored: DataFrame) -> DataFrame:
+    """All predictions ever written with ``is_active``: of a user and disease only the one written last is."""
+    last = scored.groupBy("user_id", "disease").agg(F.max(F.struct(*VERSION)).alias("_last"))
+    joined = scored.join(last, ["user_id", "disease"])
+    return joined.withColumn("is_active", F.struct(*VERSION) == F.col("_last")).drop("_last")
+
+
+def current_profiles(scored: DataFrame) -> DataFrame:
+    """Score, grade and number of watched diseases of each user as written last."""
+    heads = scored.groupBy("user_id", *VERSION).agg(
+        F.first("health_score").alias("health_score"), F.first("health_grade").alias("health_grade"),
+        F.sum(F.col("on_watchlist").cast("int")).cast("int").alias("watchlist"),
+    )
+    latest = F.max_by(F.struct("health_score", "health_grade", "watchlist"), F.struct(*VERSION))
+    return heads.groupBy("user_id").agg(latest.alias("_p")).select("user_id", "_p.*")
+
+
 def stream_heatmap(records: DataFrame, lateness: str = "40 days") -> DataFrame:
     """Monthly record counts per owner of a stream, final once the watermark has passed the month.
 

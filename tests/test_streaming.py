@@ -55,10 +55,20 @@ def test_risk_refresh_equals_the_full_run_for_touched_users(spark, tmp_path):
     changes = J.read_files(spark, str(source), "user_id bigint")
     J.stream_risk_refresh(changes, tables, str(tmp_path / "out"), str(tmp_path / "cp"), AS_OF).awaitTermination(120)
     columns = ["user_id", "model_key", "probability", "risk_level", "health_score"]
-    got = spark.read.parquet(str(tmp_path / "out") + "/run=0").select(columns)
+    written = lambda: spark.read.parquet(str(tmp_path / "out"))
+    got = written().select(columns)
     want = entry.queries()["risk_profile_build"](spark, folder).filter("user_id in (3, 5)").select(columns)
     assert got.count() == 8
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # a stream with a new checkpoint starts at batch 0 again and replaces nothing; older scores turn inactive
+    write_lines(tmp_path / "more", "1.json", [{"user_id": 5}])
+    again = J.read_files(spark, str(tmp_path / "more"), "user_id bigint")
+    J.stream_risk_refresh(again, tables, str(tmp_path / "out"), str(tmp_path / "cp2"), AS_OF).awaitTermination(120)
+    versions = J.versioned_predictions(written())
+    assert versions.count() == 12 and versions.filter("is_active").count() == 8
+    assert versions.filter("user_id = 5 and not is_active").count() == 4
+    heads = {r["user_id"]: r["health_score"] for r in J.current_profiles(written()).collect()}
+    assert heads == {r["user_id"]: r["health_score"] for r in want.collect()}
 
 
 def test_rate_limit_stream(spark, tmp_path):

@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinchart.functions import dates as D
 from kinchart.functions import spans as SP
+from kinchart.functions import sweep
 from kinchart.functions.islands import with_islands
 from kinchart.operators import extract as X
 from kinchart.operators import limits as L
@@ -137,7 +139,7 @@ def test_dates(spark):
 def test_relative_dates_do_not_overflow(spark):
     df = spark.createDataFrame([("after 99999999999 days",), ("in 1 months",), ("within 2 years",)], "t string")
     far = spark.createDataFrame([("after 7900 years",), ("after 7999 years",), ("within 2920000 days",)], "t string")
-    assert [str(r[0]) for r in far.select(D.relative_date(F.col("t"), "2001-08-02")).collect()] == ["9901-08-02", "None", "9996-04-29"]
+    assert [str(r[0]) for r in far.select(D.relative_date(F.col("t"), "2001-08-02")).collect()] == ["9901-08-02", "None", "9996-04-10"]
     got = [str(r[0]) for r in df.select(D.relative_date(F.col("t"), "2024-01-31")).collect()]
     assert got == ["None", "2024-02-29", "2026-01-31"]
 
@@ -178,7 +180,7 @@ def test_greedy_span_matching_equals_brute_force(spark):
     frame = lambda rows: spark.createDataFrame(rows, "doc_id int, ord int, start int, end int, confidence double")
     got = {
         (r["doc_id"], r["rule_ord"], r["ml_ord"])
-        for r in X.span_overlap_join(frame(rules), frame(ml), width=50).collect()
+        for r in X.span_overlap_join(frame(rules), frame(ml)).collect()
     }
     want, merged = set(), []
     for doc in range(6):
@@ -199,7 +201,7 @@ def test_greedy_span_matching_equals_brute_force(spark):
                 merged.append((doc, r[2], round(r[4], 6)))
         merged += [(doc, m[2], round(m[4] * 0.85, 6)) for m in items if m[1] not in used]
     assert got == want
-    rows = X.merge_entities(frame(rules), frame(ml), width=50).select("doc_id", "start", F.round("confidence", 6)).collect()
+    rows = X.merge_entities(frame(rules), frame(ml)).select("doc_id", "start", F.round("confidence", 6)).collect()
     assert sorted(map(tuple, rows)) == sorted(merged)
 
 
@@ -292,3 +294,114 @@ def test_diagnosis_is_cut_and_notes_are_built(spark):
     assert row["diagnosis"] == "Asthma, Gout"
     assert row["notes"] == "Allergies: Penicillin\nLab observations: TSH=4.5mIU/L"
     assert str(row["prescription_date"]) == "2024-06-12" and str(row["follow_up"]) == "2024-06-26"
+
+
+def sequential_windows(events, span):
+    start, out = {}, {}
+    for key, ident, at in sorted(events, key=lambda e: (e[0], e[2], e[1])):
+        if key not in start or at >= start[key] + span:
+            start[key] = at
+        out[key, ident] = start[key]
+    return out
+
+
+@pytest.mark.parametrize("fan", [2, 3, 60])
+def test_windows_of_a_hot_key_over_many_levels(spark, fan):
+    """One key has half of the events, dense and with gaps of many windows."""
+    draw = random.Random(fan)
+    events, at = [], 0
+    for i in range(6000):
+        at += draw.choice([0, 0, 1, 1, 2, 3, 7] if i % 500 else [4000])
+        events.append(("hot" if i % 2 else f"k{draw.randrange(300)}", i, at))
+    events += [("edge", 10_000 + i, 60 * i) for i in range(50)] + [("twice", 20_000 + i, 5) for i in range(3)]
+    df = spark.createDataFrame(events, "key string, id long, s long").select("key", "id", F.timestamp_seconds("s").alias("ts"))
+    rows = L.anchored_windows(df, 60, fan).select("key", "id", F.unix_seconds("window_start").alias("w")).collect()
+    assert len(rows) == len(events)
+    assert {(r["key"], r["id"]): r["w"] for r in rows} == sequential_windows(events, 60)
+    found = {(r["key"], r["id"]) for r in L.violations(df, limit=5, seconds=60, fan=fan).collect()}
+    count, want = {}, set()
+    windows = sequential_windows(events, 60)
+    for key, ident, at in sorted(events, key=lambda e: (e[0], e[2], e[1])):
+        w = key, windows[key, ident]
+        count[w] = count.get(w, 0) + 1
+        if count[w] > 5:
+            want.add((key, ident))
+    assert found == want
+
+
+def test_windows_without_events(spark):
+    assert L.violations(spark.createDataFrame([], "key string, id long, ts timestamp")).collect() == []
+
+
+def plain_greedy(left, right, value, fits):
+    taken, out = set(), []
+    for a in left:
+        best, at = None, -1
+        for i, b in enumerate(right):
+            v = value(a, b)
+            if i not in taken and (best is None or v > best):
+                best, at = v, i
+        if at >= 0 and fits(best):
+            taken.add(at)
+            out.append(at)
+        else:
+            out.append(-1)
+    return out
+
+
+def test_sweeps_equal_plain_greedy_matching():
+    draw = random.Random(17)
+    for size, reach in ((5, 20), (60, 100), (200, 60)):
+        spans = lambda n: [(s, s + draw.randrange(0, 15)) for s in (draw.randrange(reach) for _ in range(n))]
+        for _ in range(20):
+            left, right = spans(size), spans(size)
+            partner, affinity, taken = sweep.greedy(left, right, 0.3)
+            assert partner == plain_greedy(left, right, lambda a, b: sweep.overlap(*a, *b), lambda v: v > 0.3)
+            assert [i for i, t in enumerate(taken) if t] == sorted(p for p in partner if p >= 0)
+            boxes = lambda: [(float(a), float(c), float(b), float(d)) for (a, b), (c, d) in zip(spans(size), spans(size))]
+            left, right = boxes(), boxes()
+            partner = sweep.greedy_boxes(left, right, 0.3)[0]
+            assert partner == plain_greedy(left, right, sweep.box_overlap, lambda v: v >= 0.3)
+
+
+def test_very_many_boxes_on_one_spot(spark):
+    """A pile of boxes is one island; every one of the second engine still finds a partner."""
+    n = 4000
+    rows = spark.range(2 * n).select(
+        F.lit(1).alias("doc_id"), F.lit(1).alias("page"), (F.col("id") % n).alias("word_no"),
+        F.when(F.col("id") < n, O.FIRST).otherwise(O.SECOND).alias("engine"), F.lit("w").alias("text"), F.lit(0.9).alias("confidence"),
+        *[F.lit(float(v)).alias(c) for c, v in (("x_min", 5), ("y_min", 5), ("x_max", 50), ("y_max", 20))],
+    )
+    got = O.bbox_iou_join(rows).agg(F.count("*"), F.count_if(F.col("second_no") == F.col("first_no")), F.min("iou")).first()
+    assert tuple(got) == (n, n, 1.0)
+
+
+def test_spans_of_long_texts_take_time_in_proportion(spark):
+    """Twice the text, with its doses, names, dates and diseases, takes about twice the time."""
+    line = "Tab metformin 500mg BD for 5 days, type 2 diabetes mellitus on 12/06/2024 and 3rd May 2024 at Apollo Hospital. "
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, line * n)], "doc_id int, text string")
+        began = time.perf_counter()
+        rows = X.extract_entities(docs).groupBy("type").count().collect()
+        return time.perf_counter() - began, {r["type"]: r["count"] for r in rows}
+
+    seconds(10)
+    (half, few), (whole, many) = seconds(3500), seconds(7000)
+    assert few["MEDICINE"] == few["DOSAGE"] == few["DISEASE"] == few["HOSPITAL"] == 3500 and few["DATE"] == 7000
+    assert many == {k: 2 * n for k, n in few.items()}
+    assert whole < 3 * half
+
+
+def test_vocabulary_hits_inside_clusters(spark):
+    """Longer hits win over those that overlap them, also in chains; the order is by length, name and place."""
+    names = ("heart", "heart disease", "disease of heart", "disease")
+    text = "Heart disease of heart, heart. disease of heart disease; HEART"
+    got = spark.createDataFrame([(text,)], "t string").select(SP.vocabulary_spans(F.col("t"), names).alias("s")).first()["s"]
+    hits = [(m.start(), m.end(), n) for n in names for m in re.finditer(rf"(?i)(?<![^\W\d_])(?={n}(?![^\W\d_]))", text)]
+    hits = sorted(((s, s + len(n), n) for s, _, n in hits), key=lambda h: (-len(h[2]), h[2], h[0]))
+    want = []
+    for s, e, _ in hits:
+        if not any(s < b and a < e for a, b in want):
+            want.append((s, e))
+    assert [(s["start"], s["end"]) for s in got] == want
