@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from kinchart.llm import odd_sketch, repetition, secrets
+from kinchart.llm import odd_sketch, repeats, repetition, secrets
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,6 +71,14 @@ def _found(pattern: str) -> str:
         where len(ms) > 0)"""
 
 
+def _all_parts(pattern: str) -> str:
+    return f"len(list_filter(string_split_regex(m, '{secrets.SIGNS}'), lambda p: p <> '' and not regexp_matches(p, '{pattern}'))) = 0"
+
+
+_ALLOWED = f"""regexp_matches(m, {_quoted(secrets.ALLOWED)}) or {_all_parts(secrets.WORD)}
+  or (regexp_matches(m, '^[A-Za-z]') and {_all_parts(secrets.LETTERS)})"""
+
+
 def _entropy(kind: secrets.CharacterClass) -> str:
     width = kind.window
     logs = [0, *[round(c * math.log2(c) * secrets.SCALE) for c in range(1, width + 1)]]
@@ -78,7 +86,7 @@ def _entropy(kind: secrets.CharacterClass) -> str:
     total = f"list_sum(list_transform(list_distinct(string_split({window}, '')), lambda c: [{', '.join(map(str, logs))}][1 + {width} - length(replace({window}, c, ''))]))"
     return f"""select doc_id, start + min(i) as start, start + max(i) + {width} as "end" from (
         select doc_id, start, m, unnest(range(length(m) - {width - 1})) as i from ({_found(f"[{kind.signs}]{{{width},}}")})
-        where regexp_matches(m, '[0-9]') and not regexp_matches(m, {_quoted(secrets.ALLOWED)}))
+        where regexp_matches(m, '[0-9]') and not ({_ALLOWED}))
       where {total} <= {kind.largest_sum()} group by doc_id, start, m"""
 
 
@@ -122,8 +130,90 @@ select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = componen
 from documents d left join sizes s on s.doc_id = d.doc_id
   join (select a, min(b) as component_id from reach group by 1) c on c.a = d.doc_id"""
 
+
+# --- vector codes: all distances, over vectors of 64 components ------------------------------------------
+
+_PARTS, _ENTRIES, _ROUNDS, _WIDTH = 4, 256, 4, 16
+_APART = " + ".join(f"(x.v[{i}] - b.v[{i}]) * (x.v[{i}] - b.v[{i}])" for i in range(1, _WIDTH + 1))
+
+
+def _round(k: int) -> str:
+    return f"""near{k} as materialized (
+    select vec_id, p, min({_APART}) as d, arg_min(e, ({_APART}) * {_ENTRIES} + e) as e
+    from points x join book{k} b using (p) group by 1, 2),
+  means{k} as (
+    select p, e, list((s - ((s % n) + n) % n) // n order by i) as v from (
+      select p, e, i, cast(sum(x.v[i]) as bigint) as s, count(*) as n
+      from near{k} join points x using (vec_id, p), (select unnest(range(1, {_WIDTH + 1})) as i) group by 1, 2, 3) group by 1, 2),
+  book{k + 1} as materialized (select p, e, coalesce(m.v, b.v) as v from book{k} b left join means{k} m using (p, e))"""
+
+
+VECTOR_CODES = f"""with kept as (
+    select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  places as (select unnest(range({_PARTS})) as p),
+  points as materialized (select vec_id, p, v[p * {_WIDTH} + 1:(p + 1) * {_WIDTH}] as v from kept, places),
+  book0 as materialized (
+    select p, e, v from points join (select vec_id, row_number() over (order by vec_id) - 1 as e from kept) using (vec_id)
+    where e < {_ENTRIES}),
+  {", ".join(_round(k) for k in range(_ROUNDS + 1))},
+  coded as (
+    select vec_id, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from near{_ROUNDS} group by 1),
+  labels as (select label, cast(sum(error) as bigint) as label_error from coded join kept using (vec_id) group by 1)
+select c.vec_id, code, error, label_error, (
+    select sha256(string_agg(x, ',' order by p, e, i)) from (
+      select p, e, unnest(v) as x, unnest(range({_WIDTH})) as i from book{_ROUNDS})) as codebooks_sha256
+from coded c join kept using (vec_id) join labels l on l.label is not distinct from kept.label"""
+
+
+# --- fill-in-middle --------------------------------------------------------------------------------------
+
+FILL_MIDDLE = """with drawn as (
+    select doc_id, t, length(t) as n, cast(cast('0x' || h[1:8] as ubigint) % (length(t) + 1) as bigint) as h1,
+      cast(cast('0x' || h[9:16] as ubigint) % (length(t) + 1) as bigint) as h2, cast('0x' || h[17:24] as ubigint) as h3,
+      cast('0x' || h[25:32] as ubigint) as h4
+    from (select doc_id, coalesce(text, '') as t, sha256('1:' || doc_id) as h from documents)),
+  cut as (
+    select doc_id, t, n, least(h1, h2) as a, greatest(h1, h2) as b,
+      case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+        when h4 % 100 < 20 then 'spm' else 'psm' end as form from drawn),
+  parts as (select *, substr(t, 1, a) as pre, substr(t, a + 1, b - a) as mid, substr(t, b + 1) as suf from cut)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+    else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256
+from parts"""
+
+
+# --- repeated strings: every string of the length by its digest -------------------------------------------
+
+_N = repeats.LENGTH
+REPEATS = f"""with texts as (
+    select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+  starts as (
+    select doc_id, i, md5(substr(h, 2 * i + 1, {2 * _N})) as m from (
+      select doc_id, h, unnest(range(n - {_N - 1})) as i from texts where n >= {_N})),
+  twice as (
+    select doc_id, i, lag(i) over (partition by doc_id order by i) as before from (
+      select doc_id, i, count(*) over (partition by m) as c from starts) where c > 1),
+  spans as (
+    select doc_id, min(i) as s, max(i) + {_N} as e from (
+      select doc_id, i, sum(case when i <= before + {_N} then 0 else 1 end) over (partition by doc_id order by i) as g from twice)
+    group by doc_id, g),
+  pieces as (
+    select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as last from spans),
+  cut as (
+    select doc_id, sum(e - s) as n_removed, count(*) as n_spans, max(e) as tail,
+      string_agg(substr(h, 2 * last + 1, 2 * (s - last)), '' order by s) as front
+    from pieces join texts using (doc_id) group by 1)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(tail, 0) + 1))) as kept_sha256
+from texts left join cut using (doc_id)"""
+
 ORACLES: dict[str, str] = {
     "op6_odd_sketches": NEAR_COPIES,
     "op9_entropy_secrets": SECRETS,
     "op10_repetition_coverage": REPETITION,
+    "op11_vector_codes": VECTOR_CODES,
+    "op12_fill_middle": FILL_MIDDLE,
+    "op13_sampled_suffixes": REPEATS,
 }

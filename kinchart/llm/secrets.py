@@ -5,11 +5,12 @@ The method adds strings that look random: in every run of a character class (hex
 a window slides over the characters; the counts of the window's characters change by one that enters
 and one that leaves, and with them the sum of c * log2(c), which gives the entropy of the window.
 The sums are whole numbers (table ``c * log2(c)`` times 2^20, rounded), so every engine agrees.
-A run that an allow-list pattern describes is no candidate.
+A run that the allow-list describes is no candidate.
 
 Everything stays in the row: no shuffle, no Python.  Positions are code points, the end exclusive.
 
-Defined cases: a null or empty text has no span; rows are scanned one by one, so repeated rows, null
+Defined cases: a null or empty text has no span; very long texts and runs are scanned as wholes, in time that
+grows with their length; an empty table has an empty result; rows are scanned one by one, so repeated rows, null
 keys and extra columns change nothing (a clashing column ``spans`` is replaced).
 """
 
@@ -31,16 +32,18 @@ HEX = r"[0-9a-f]{24,}"
 MIN_VALUE = 6
 SCALE = 2**20
 
-# Runs that are no secrets: digits only, words (also joined by signs, with short numbers), words of one case with a
-# short number behind them and numbers (joined by signs), universally unique ids, digests of published packages,
-# alphabets written out.
-_WORD = r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]{1,10})"
+# Runs that are no secrets as a whole: numbers (joined by signs), signs, universally unique ids, digests of published
+# packages, alphabets written out.
 ALLOWED = (
-    r"^(?:[0-9]+|[A-Za-z]+(?:[-_+/=]+(?:[A-Za-z]+|[0-9]{1,4}))*[-_+/=]*|[-_+/=]+|[0-9-]+"
-    rf"|[-_+/=]*{_WORD}(?:[-_+/=]+{_WORD}){{0,60}}[-_+/=]*"
-    r"|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+"
-    r"|(?:0123456789|abcdefghij|ABCDEFGHIJ).*)$"
+    r"^(?:[0-9-]+|[-_+/=]+|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
+    r"|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+|(?:0123456789|abcdefghij|ABCDEFGHIJ).*)$"
 )
+# Nor are runs whose every part between signs is a word of one case with a short number behind it or a number, or that
+# begin with a letter and whose parts are all letters or short numbers.  No pattern repeats a group: long runs of parts
+# are taken apart before they are looked at.
+SIGNS = "[-_+/=]+"
+WORD = r"^(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]{1,10})$"
+LETTERS = r"^(?:[A-Za-z]+|[0-9]{1,4})$"
 
 
 @dataclass(frozen=True)
@@ -84,9 +87,12 @@ def _before(lengths: Column) -> Column:
             ),
         )
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")),
-        lambda b: inner(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))),
+    blocks = let(
+        lengths,
+        lambda v: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")),
+            lambda b: inner(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))),
+        ),
     )
     start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<array<int>>").alias("out"))
     shifted = F.aggregate(
@@ -204,10 +210,21 @@ def _random_part(run: Column, kind: CharacterClass) -> Column:
     )
 
 
+def allowed_run(run: Column, allowed: str = ALLOWED) -> Column:
+    """Whether the allow-list describes a run."""
+    parts = F.filter(F.split(run, SIGNS, -1), lambda p: p != "")
+
+    def of_words(found: Column) -> Column:
+        words = F.forall(found, lambda p: p.rlike(WORD))
+        return words | (run.rlike("^[A-Za-z]") & F.forall(found, lambda p: p.rlike(LETTERS)))
+
+    return run.rlike(allowed) | let(parts, of_words)
+
+
 def entropy_spans(text: Column, kind: CharacterClass, allowed: str = ALLOWED) -> Column:
     """Random-looking parts of the runs of a character class."""
     runs = matches(text, f"[{kind.signs}]{{{kind.window},}}")
-    candidates = F.filter(runs, lambda m: m["text"].rlike("[0-9]") & ~m["text"].rlike(allowed))
+    candidates = F.filter(runs, lambda m: m["text"].rlike("[0-9]") & ~allowed_run(m["text"], allowed))
     parts = F.transform(
         candidates,
         lambda m: let(_random_part(m["text"], kind), lambda p: _span(m["at"] + p["first"], m["at"] + p["last"], kind.kind)),
@@ -226,21 +243,62 @@ def secret_spans(
 
 
 def all_spans(text: Column, classes: tuple[CharacterClass, ...] = CLASSES, allowed: str = ALLOWED) -> Column:
-    spans = let(fixed_spans(text), lambda s: s)
-    for kind in classes:
-        spans = _with_new(spans, entropy_spans(text, kind, allowed))
-    return F.coalesce(F.array_sort(spans), F.array()).cast(SPANS)
+    found = F.concat(fixed_spans(text), *[entropy_spans(text, kind, allowed) for kind in classes])
+    return F.coalesce(F.array_sort(_told_once(found)), F.array()).cast(SPANS)
 
 
-def _with_new(spans: Column, more: Column) -> Column:
-    def joined(pair: Column) -> Column:
-        fresh = F.filter(
-            pair["more"],
-            lambda s: ~F.exists(pair["spans"], lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"])),
-        )
-        return F.concat(pair["spans"], fresh)
+def _largest_so_far(values: Column) -> Column:
+    """The largest value up to each place: folded in blocks, then over the blocks."""
+
+    def grown(out: Column, x: Column) -> Column:
+        return F.concat(out, F.array(F.greatest(F.element_at(out, -1), x)))
+
+    def inner(block: Column) -> Column:
+        return F.aggregate(block, F.array().cast("array<int>"), lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(grown(acc, x)))
+
+    blocks = let(
+        values,
+        lambda v: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / _BLOCK), F.lit(0)).cast("int")),
+            lambda b: inner(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))),
+        ),
+    )
+    start = F.struct(F.lit(0).alias("most"), F.array().cast("array<array<int>>").alias("out"))
+    raised = F.aggregate(
+        blocks,
+        start,
+        lambda acc, block: F.struct(
+            F.greatest(acc["most"], F.try_element_at(block, F.lit(-1))).alias("most"),
+            F.concat(acc["out"], F.array(F.transform(block, lambda x: F.greatest(x, acc["most"])))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return F.flatten(raised)
 
-    return let(F.struct(spans.alias("spans"), more.alias("more")), joined)
+
+def _told_once(spans: Column) -> Column:
+    """Without spans of a class that lie in one of a lower rank: one sorted pass with the furthest end so far."""
+    def ordered(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["rank"].alias("rank"), s["kind"].alias("kind"))
+
+    def fresh(found: Column) -> Column:
+        # what covers a span comes before it: it starts earlier, or at the same place and ends later, or has a lower rank
+        def reach(rank: int) -> Column:
+            return _largest_so_far(F.transform(found, lambda s: F.when(s["rank"] < rank, -s["back"]).otherwise(F.lit(0))))
+
+        def kept(ends: Column) -> Column:
+            def free(s: Column, i: Column) -> Column:
+                covered = F.get(F.get(ends, s["rank"] - 3), i) >= -s["back"]
+                return (s["rank"] < 3) | ~F.coalesce(covered, F.lit(False))
+
+            return F.filter(found, free)
+
+        return let(F.array(*[reach(rank) for rank in range(3, len(KINDS))]), kept)
+
+    def whole(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), (-s["back"]).alias("end"))
+
+    return F.transform(let(F.array_sort(F.transform(spans, ordered)), fresh), whole)
 
 
 def spans_text(spans: Column) -> Column:
@@ -248,24 +306,41 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+_PIECE = 4096
+
+
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """Characters from ``start`` up to ``end``, exclusive, of a text cut in pieces: no scan from the text's beginning."""
+    first, last = F.floor(start / _PIECE).cast("int"), F.floor(end / _PIECE).cast("int")
+    at, until = (start % _PIECE).cast("int"), (end % _PIECE).cast("int")
+    piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    across = F.concat(
+        F.substring(piece(first), at + 1, F.lit(_PIECE)),
+        F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.substring(piece(last), F.lit(1), until),
+    )
+    return F.when(first == last, F.substring(piece(first), at + 1, end - start)).otherwise(across)
+
+
 def without_secrets(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mask``; overlapping spans become one."""
     name = free_name(docs, "_spans")
     scanned = docs.withColumn(name, all_spans(docs[text]))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(docs[text], acc["at"] + 1, s["start"] - acc["at"])
-        told = F.concat(acc["out"], F.array(gap, F.lit(mask)))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], told).otherwise(acc["out"]).alias("out"),
-        )
+    spans = F.col(name)
 
-    masked = F.aggregate(
-        F.col(name),
-        start,
-        step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(docs[text], acc["at"] + 1, F.length(docs[text]))),
+    def masked(x: Column) -> Column:
+        pieces, reach = x["pieces"], x["reach"]
+
+        def told(s: Column, i: Column) -> Column:
+            # how far the spans before this one reach
+            before = F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0))
+            return F.when(s["start"] >= before, F.concat(_part(pieces, before, s["start"]), F.lit(mask))).otherwise(F.lit(""))
+
+        rest = _part(pieces, F.try_element_at(reach, F.lit(-1)), F.length(docs[text]))
+        return F.concat(F.array_join(F.transform(spans, told), ""), rest)
+
+    cut = F.struct(
+        F.regexp_extract_all(docs[text], F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)).alias("pieces"),
+        _largest_so_far(F.transform(spans, lambda s: s["end"])).alias("reach"),
     )
-    return scanned.withColumn(text, F.when(F.size(name) > 0, masked).otherwise(docs[text])).drop(name)
+    return scanned.withColumn(text, F.when(F.size(name) > 0, let(cut, masked)).otherwise(docs[text])).drop(name)
