@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,3 +100,9 @@ def day(as_of) -> Column:
 
 def days_before(as_of, days: int) -> Column:
     return F.date_sub(day(as_of), days)
+
+
+def sentence(form: str, **values: Column) -> Column:
+    """A sentence with ``{name}`` places filled by columns."""
+    parts = re.split(r"\{(\w+)\}", form)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])

@@ -240,31 +240,10 @@ def _percent() -> Column:
 
 def heritability_summary(patterns: DataFrame) -> DataFrame:
     pct = _percent()
-    text = (
-        F.when(
-            F.col("weighted_score") >= 2.25,
-            F.concat(
-                F.lit("Strong family history across multiple generations. This condition has "),
-                pct,
-                F.lit(" heritability. Regular screening is strongly recommended."),
-            ),
-        )
-        .when(
-            F.col("weighted_score") >= 1.5,
-            F.concat(
-                F.lit("Significant family history detected. With "),
-                pct,
-                F.lit(" heritability, early detection and prevention are important."),
-            ),
-        )
-        .otherwise(
-            F.concat(
-                F.lit("Moderate family history detected. This condition has "),
-                pct,
-                F.lit(" heritability. Maintain awareness and schedule routine checkups."),
-            )
-        )
-    )
+    text = F.lit(None).cast("string")
+    for least, form in reversed(fixed.HERITABILITY_SENTENCES):
+        told = C.sentence(form, percent=pct)
+        text = told if least == 0 else F.when(F.col("weighted_score") >= least, told).otherwise(text)
     return patterns.filter(F.col("risk_flag") != "low").select(
         "user_id",
         "disease",
@@ -379,8 +358,8 @@ def _reach(members: DataFrame, ancestors: bool, max_depth: int, link_accounts: b
     """Breadth-first walk from every user at once, each member once with its first depth.
 
     Members link to their user only, so one step is complete unless a member's own account is
-    followed (``link_accounts``).  The depth is a small constant: a fixed number of joins, each
-    against the rows reached so far.
+    followed (``link_accounts``).  The depth is a small constant.  Each level follows the distinct links of the
+    one before; the least depth of a member is taken once, at the end, so no level is met with those before it.
     """
     gen = generation_graph(F.col("relationship"))
     side = members.filter((gen < 0) | (gen == 0) if ancestors else (gen > 0) | (gen == 0)).select(
@@ -393,21 +372,15 @@ def _reach(members: DataFrame, ancestors: bool, max_depth: int, link_accounts: b
     )
     reached = side.withColumn("user_id", F.col("node_user")).withColumn("depth", F.lit(1))
     if link_accounts:
-        reached = reached.filter(~F.col("related_user_id").eqNullSafe(F.col("user_id")))
-        frontier = reached
+        own_link = F.col("related_user_id").eqNullSafe(F.col("user_id"))
+        reached = frontier = reached.filter(~own_link)
         for depth in range(2, max_depth + 1):
-            ahead = (
-                frontier.filter(F.col("related_user_id").isNotNull())
-                .select("user_id", F.col("related_user_id").alias("node_user"))
-                .distinct()
-            )
-            frontier = (
-                ahead.join(side, "node_user")
-                .filter(~F.col("related_user_id").eqNullSafe(F.col("user_id")))
-                .join(reached.select("user_id", "member_id"), ["user_id", "member_id"], "left_anti")
-                .withColumn("depth", F.lit(depth))
-            )
+            links = frontier.filter(F.col("related_user_id").isNotNull())
+            ahead = links.select("user_id", F.col("related_user_id").alias("node_user")).distinct()
+            frontier = ahead.join(side, "node_user").filter(~own_link).withColumn("depth", F.lit(depth))
             reached = reached.unionByName(frontier)
+        first = F.min(F.struct("depth", "name", "relationship", "generation"))
+        reached = reached.groupBy("user_id", "member_id").agg(first.alias("_f")).select("user_id", "member_id", "_f.*")
     return reached.select("user_id", "member_id", "name", "relationship", "generation", "depth")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinchart.functions import columns as C
 from kinchart.operators.records import disease_trends, top_per_key
 from kinchart.sources import dimensions as dims
+from kinchart.sources import fixed_values as fixed
 
 # --- predictions --------------------------------------------------------------------------------
 
@@ -212,7 +213,7 @@ def health_summary(
             F.array_join(F.slice(names, F.lit(1), count - 1), ", "), F.lit(" and "), F.element_at(names, -1)
         ))
         .when(count == 1, F.element_at(names, 1))
-        .otherwise("no significant conditions")
+        .otherwise(fixed.NO_RISKS)
     )
     scores = health_score(users, predictions, records).withColumnRenamed("user_id", "id")
     return (
@@ -227,15 +228,7 @@ def health_summary(
             F.coalesce(F.transform("_c", lambda c: c["disease"]), F.array().cast("array<string>")).alias(
                 "recent_conditions"
             ),
-            F.concat(
-                F.lit("Hello "),
-                F.col("_first"),
-                F.lit("! Your current health score is "),
-                F.col("score").cast("string"),
-                F.lit("/100. Your primary areas to monitor are "),
-                clause,
-                F.lit(". Stay on top of your annual checkups and follow your personalised plan."),
-            ).alias("summary"),
+            C.sentence(fixed.HEALTH_SENTENCE, name=F.col("_first"), score=F.col("score"), risks=clause).alias("summary"),
         )
     )
 

@@ -468,6 +468,29 @@ query(
         t.predictions.withColumn("label", F.expr("case when (user_id * 31 + id) % 100 < 100 * probability then 1 else 0 end"))
     )
 )
+LABELLED = "case when (user_id * 31 + id) % 100 < 100 * probability then 1 else 0 end"
+
+
+def judged(t):
+    return t.predictions.withColumn("label", F.expr(LABELLED))
+
+
+query(
+    "evaluate_auc",
+    "disease_name string, auc double",
+    f"""select disease_name, sum(p * (2 * coalesce(below, 0) + n)) / (2 * cast(sum(p) as double) * sum(n)) as auc from (
+          select *, sum(n) over (partition by disease_name order by probability rows between unbounded preceding and 1 preceding) as below
+          from (select disease_name, probability, sum({LABELLED}) as p, sum(1 - {LABELLED}) as n from fx_predictions group by 1, 2))
+        group by 1""",
+)(lambda t: L.auc(judged(t), keys=("disease_name",)))
+query(
+    "evaluate_report",
+    "disease_name string, precision double, recall double, f1 double, support bigint",
+    f"""select *, 2 * precision * recall / (precision + recall) as f1 from (
+          select disease_name, count(*) filter (y = 1 and p) / cast(count(*) filter (p) as double) as precision,
+            count(*) filter (y = 1 and p) / cast(count(*) filter (y = 1) as double) as recall, count(*) filter (y = 1) as support
+          from (select *, {LABELLED} as y, probability >= 0.5 as p from fx_predictions) group by 1)""",
+)(lambda t: L.class_report(judged(t), keys=("disease_name",)))
 MODEL_NAMES = list(L.INPUTS)
 relation(
     "or_catalog",

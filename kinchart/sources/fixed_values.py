@@ -831,3 +831,16 @@ high = Schedule an immediate consultation with a specialist.
 moderate = Request an annual screening test and monitor regularly.
 low = Maintain healthy lifestyle habits and monitor annually.
 """
+
+# Sentences shown to users, with places for the values.
+HEALTH_SENTENCE = (
+    "Hello {name}! Your current health score is {score}/100. Your primary areas to monitor are {risks}. "
+    "Stay on top of your annual checkups and follow your personalised plan."
+)
+NO_RISKS = "no significant conditions"
+# Least weighted score and sentence, strongest first.
+HERITABILITY_SENTENCES = (
+    (2.25, "Strong family history across multiple generations. This condition has {percent} heritability. Regular screening is strongly recommended."),
+    (1.5, "Significant family history detected. With {percent} heritability, early detection and prevention are important."),
+    (0.0, "Moderate family history detected. This condition has {percent} heritability. Maintain awareness and schedule routine checkups."),
+)

@@ -59,6 +59,33 @@ def test_fit_predict_evaluate_and_catalog(spark, cohort, tmp_path):
     assert ready == {"diabetes": True, "hypertension": False, "thyroid": False, "heart_disease": False}
 
 
+SCORES = {"hypertension": S.hypertension_score, "thyroid": S.thyroid_score, "heart_disease": S.heart_score}
+
+
+@pytest.mark.parametrize("model", SCORES)
+def test_models_of_the_other_diseases_pass_their_gates(spark, cohort, model):
+    noisy = SCORES[model]() + (F.col("user_id") * 7919 % 1000) / 20000
+    table = cohort.drop("label", "part").withColumn("s", noisy)
+    median = table.agg(F.percentile("s", 0.5)).first()[0]
+    labelled = table.withColumn("label", (F.col("s") >= median).cast("double")).drop("s")
+    split = S.stratified_split(labelled, "label", "user_id")
+    train, test = split.filter("part = 'train'"), split.filter("part <> 'train'")
+    settings = [{"maxIter": 10, "maxDepth": 4, "stepSize": 0.15, "subsamplingRate": 0.9}]
+    trees = ML.fit_trees(train, model, settings=settings)
+    net = ML.fit_net(train, model, epochs=60)
+    scored = ML.predict_batch(test, model, trees, net).join(test.select("user_id", "label"), "user_id")
+    scored = scored.withColumn("probability", C.ensemble(F.col("tree_p"), F.col("net_p"), F.lit(0.0)))
+    report = ML.evaluate(scored)
+    assert report["passed"], (model, report)
+
+
+def test_exact_area_under_the_curve(spark):
+    rows = [("a", 1, 0.9), ("a", 0, 0.9), ("a", 0, 0.1), ("a", 1, 0.10001), ("a", 0, 1.7), ("b", 1, 0.5), ("c", 1, 0.3), ("c", 0, 0.3)]
+    df = spark.createDataFrame(rows, "k string, label int, probability double")
+    got = {r["k"]: r["auc"] for r in ML.auc(df, keys=("k",)).collect()}
+    assert got == {"a": pytest.approx((1.5 + 1) / 6), "b": None, "c": 0.5}
+
+
 def test_search_space_is_bounded_and_repeatable():
     space = ML.search_space(50)
     assert space == ML.search_space(50) and len(space) == 50
