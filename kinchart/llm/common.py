@@ -43,6 +43,7 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in batches:
             if batch.num_rows:
                 yield each(batch)
+        forget()
 
     return df.mapInArrow(run, schema)
 
@@ -52,7 +53,28 @@ def map_partitions(
 ) -> DataFrame:
     """A whole partition as a stream of small Arrow batches."""
     _small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        forget()
+
+    return df.mapInArrow(whole, schema)
+
+
+# What a worker remembers during a task only: workers are used again by later stages, which have memories of their own.
+_MEMORIES: list[dict] = []
+
+
+def remembered(memory: dict) -> dict:
+    """A memory that is emptied at the end of each task."""
+    _MEMORIES.append(memory)
+    return memory
+
+
+def forget() -> None:
+    for memory in _MEMORIES:
+        memory.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinchart.llm.common import free_name, map_batches, map_partitions, mix64, stored, texts_of
+from kinchart.llm.common import free_name, map_batches, map_partitions, mix64, remembered, stored, texts_of
 from kinchart.llm.components import components
 
 WORDS = 5
@@ -87,7 +87,7 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
+_WORDS = remembered(_Words())
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -203,15 +203,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFram
         )
 
     source = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    found = map_batches(source, each, "cid binary, hashes binary")
-    once = found.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("hashes").alias("hashes"))
-    return stored(once)
+    # copies of a class are folded in each task, before anything is dealt by class
+    once = map_batches(source, each, "cid binary, hashes binary").groupBy("cid").agg(F.first("hashes").alias("hashes"))
+    return stored(once.join(wanted.select("cid"), "cid", "left_semi"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
-    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("y")), "b")
+    # sets are long: only those of the pairs' classes move
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    of = sets.join(ends, "cid", "left_semi")
+    left = pairs.join(of.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a")
+    both = left.join(of.select(F.col("cid").alias("b"), F.col("hashes").alias("y")), "b")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -224,6 +227,38 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both.select("a", "b", "x", "y"), each, "a binary, b binary")
 
 
+def _live(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, cid) of the buckets that hold several classes, one bucket of every set of members; and these classes.
+
+    Near copies share most of their bands, and one bucket tells as much as all of equal members.  The
+    buckets are counted first; a bitmap of the shared ones spares most classes the joins.
+    """
+    spark = classes.sparkSession
+    keys = classes.select(F.explode("bands").alias("bucket"))
+    shared = stored(keys.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"))
+    bitmap = spark.sparkContext.broadcast(_bitmap(shared.withColumnRenamed("bucket", "th")))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = np.frombuffer(bitmap.value, "<u4")
+        lists = batch.column(0)
+        keys, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        bit = np.mod(keys, BITMAP_BITS)
+        hit = ((bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1).astype(bool)
+        before = np.concatenate(([0], np.cumsum(hit))).astype(np.int32)[ends - ends[0]]
+        left = pa.ListArray.from_arrays(pa.array(before), pa.array(keys[hit]))
+        columns = [left, *batch.columns[1:]]
+        return pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(np.diff(before) > 0))
+
+    fields = ["bands", "cid", "th", "sketch", "n"]
+    schema = "bands array<long>, cid binary, th long, sketch array<long>, n long"
+    some = stored(map_batches(classes.select(*fields), each, schema))
+    members = stored(some.select(F.explode("bands").alias("bucket"), "cid").join(shared, "bucket", "left_semi"))
+    parity = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    alike = members.groupBy("bucket").agg(F.count("*").alias("c"), *parity).groupBy("c", "x0", "x1").agg(F.min("bucket").alias("bucket"))
+    live = stored(members.join(alike.select("bucket"), "bucket", "left_semi"))
+    return live, stored(some.drop("bands").join(live.select("cid").distinct(), "cid", "left_semi"))
+
+
 def _differing(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
 
@@ -252,7 +287,7 @@ def _dealt(named: DataFrame, classes: DataFrame) -> DataFrame:
     open_ones = facts.where("comps > 1").select(
         "bucket", F.col("largest.comp").alias("most"), blocks.alias("blocks"), guest_blocks.alias("guest_blocks")
     )
-    members = named.join(open_ones, "bucket").join(classes.select("cid", "sketch", "bands", "n"), "cid")
+    members = named.join(open_ones, "bucket").join(classes.select("cid", "sketch", "n"), "cid")
     own, own_guest = (F.pmod(F.xxhash64("cid"), F.col(n)).cast("int") for n in ("blocks", "guest_blocks"))
     outside = F.col("comp") != F.col("most")
 
@@ -263,12 +298,12 @@ def _dealt(named: DataFrame, classes: DataFrame) -> DataFrame:
     as_guest = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda h: place(h, own_guest))
     placed = members.select(
         "bucket", F.explode(F.when(outside, F.array_union(as_home, as_guest)).otherwise(as_home)).alias("at"),
-        own.alias("own"), own_guest.alias("own_guest"), outside.alias("outside"), "cid", "comp", "sketch", "bands", "n",
+        own.alias("own"), own_guest.alias("own_guest"), outside.alias("outside"), "cid", "comp", "sketch", "n",
     )
     is_home = F.col("at.home") == F.col("own")
     is_guest = F.col("outside") & (F.col("at.guest") == F.col("own_guest"))
     return placed.select(
-        "bucket", "at.home", "at.guest", is_home.alias("is_home"), is_guest.alias("is_guest"), "cid", "comp", "sketch", "bands", "n"
+        "bucket", "at.home", "at.guest", is_home.alias("is_home"), is_guest.alias("is_guest"), "cid", "comp", "sketch", "n"
     )
 
 
@@ -309,23 +344,18 @@ def _pairs(rows: list[tuple], forest: bool, percent: int) -> Iterator[pa.RecordB
             continue
         code = {c: i for i, c in enumerate(dict.fromkeys(r[6] for r in group))}
         words = BITS // 64
-        right, right_bands, right_n = (np.array([r[i] for r in home], np.int64) for i in (7, 8, 9))
+        right, right_n = (np.array([r[i] for r in home], np.int64) for i in (7, 8))
         right_comp = np.array([code[r[6]] for r in home])
         chosen: list[tuple[int, int, int]] = []
         for start in range(0, len(guests), 128):
             part = guests[start : start + 128]
-            left, left_bands, left_n = (np.array([r[i] for r in part], np.int64) for i in (7, 8, 9))
+            left, left_n = (np.array([r[i] for r in part], np.int64) for i in (7, 8))
             bits = differing(left[:, None, :words], right[None, :, :words])
             other = np.array([code[r[6]] for r in part])[:, None] != right_comp
             g, h = np.nonzero(other & (bits <= most))
             apart = differing(left[g, words:], right[h, words:]).astype(np.int64)
             near = apart * (100 + percent) <= (left_n[g] + right_n[h]) * (100 - percent)
             g, h = g[near], h[near]
-            if not forest and len(g):
-                # a pair that shares several buckets is told in the first of them only
-                shared = (left_bands[g] == right_bands[h]).argmax(1)
-                first = left_bands[g, shared] == group[0][0]
-                g, h = g[first], h[first]
             found = list(zip(bits[g, h].tolist(), (start + g).tolist(), h.tolist()))
             if forest:  # the best links so far and the new ones: no more is held than a forest and one part
                 chosen = _forest(chosen + found, [code[r[6]] for r in guests], right_comp.tolist(), len(code))
@@ -380,15 +410,13 @@ def near_copies(
             F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("n").alias("n"),
         )
     )
-    keyed = classes.select("cid", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    live = stored(keyed.join(shared, "bucket").select("bucket", "cid"))
-    sets = _sets(docs, classes.join(live.select("cid").distinct(), "cid", "left_semi").select("cid", "th"), text, words)
+    live, known = _live(classes)  # no other class is looked at from here on
+    sets = _sets(docs, known.select("cid", "th"), text, words)
 
-    tested = stored(_starred(live, classes, percent))
+    tested = stored(_starred(live, known, percent))
     comps = components(stored(_confirmed(tested, sets, percent)))
     for forest in (True, True, False):
-        found = stored(_across(live, classes, comps, forest, percent))
+        found = stored(_across(live, known, comps, forest, percent))
         if found.isEmpty():  # no bucket has a pair left across components
             break
         pairs = stored(found.join(tested, ["a", "b"], "left_anti"))
@@ -409,18 +437,39 @@ def near_copies(
     )
 
 
+def _without(keyed: DataFrame, gone: DataFrame, key: str, th: str) -> DataFrame:
+    """The rows that ``gone`` does not list.  Fewer go than stay: a bitmap of those that go leaves most texts where they
+    are, and only rows that hit it are dealt to meet the list.
+    """
+    spark = keyed.sparkSession
+    one = F.coalesce(F.col(key), F.lit(0)).bitwiseXOR(F.col(th))
+    shared = spark.sparkContext.broadcast(_bitmap(gone.select(one.alias("th"))))
+    hash_ = free_name(keyed, "_one")
+
+    def hits(wanted: bool):
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            bits = np.frombuffer(shared.value, "<u4")
+            bit = np.mod(batch.column(batch.num_columns - 1).to_numpy(), BITMAP_BITS)
+            hit = ((bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1).astype(bool)
+            return batch.select(range(batch.num_columns - 1)).filter(pa.array(hit == wanted))
+
+        return map_batches(keyed.withColumn(hash_, one), each, keyed.schema)
+
+    some = hits(True)
+    same = some[key].eqNullSafe(gone[key]) & (some[th] == gone[th])
+    return hits(False).unionByName(some.join(gone, same, "left_anti"))
+
+
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row of every component: that of the smallest id, and one of its copies if the row is repeated."""
     name, there = free_name(docs, "_key"), free_name(docs, "_th")
     marks = stored(near_copies(docs, key, text, percent=percent).select(F.col(key).alias(name), "kept", F.col("text_hash").alias(there)))
     known = F.col(name).isNotNull()
-    # fewer rows go than stay: the short list meets the documents, and a small one is broadcast by its size;
     # an id may come with several texts, of which some go
     gone = stored(marks.where(~F.col("kept")).select(name, there).distinct())
     again = stored(marks.where(F.col("kept") & known).groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name))
     keyed = docs.withColumns({name: F.col(key).cast("long"), there: F.xxhash64(text)})
-    same = keyed[name].eqNullSafe(gone[name]) & (keyed[there] == gone[there])
-    left = keyed.join(gone, same, "left_anti")
+    left = _without(keyed, gone, name, there)
     if again.isEmpty():
         return left.select(*docs.columns)
     repeated = left.join(again, name, "left_semi").dropDuplicates([key, text])
