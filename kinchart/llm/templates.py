@@ -7,12 +7,15 @@ be consistent: a value of the benchmark stands for one value of the document whe
 A document leaks an item if consistent alignments cover at least half of the item's windows.
 
 The windows of the benchmark fill a bitmap of fixed size; only document windows that hit it become
-rows, and the join decides.  Nothing here grows with the square of anything: an alignment has at most
-as many rows as its item has windows.
+rows, and the join decides.  Items of one template whose values come up alike are one class in the join, however
+many they are: a document meets each template once, and an alignment has at most as many rows as its
+item has windows.
 
 Defined cases: null and blank texts have no windows; items of five to seven tokens are one window of
 their length, shorter ones and windows of fewer than four plain words (half of a short one) prove
-nothing and are not searched for; repeated rows leak alike; null ids are reported as null.
+nothing and are not searched for; very long texts are searched whole, their words hashed once; of equal
+shares no item goes before another: each is told; repeated rows leak alike; null ids are reported as null;
+empty tables leak nothing; other columns of either table play no part, and ``without_leaks`` keeps them.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinchart.llm.common import free_name, map_batches, mix64, stored, texts_of
+from kinchart.llm.common import free_name, map_batches, mix64, remembered, stored, texts_of
 
 WINDOW = 8
 LEAST_TOKENS = 5
@@ -82,7 +85,7 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
+_WORDS = remembered(_Words())
 
 
 def tokens(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -118,10 +121,8 @@ def windows(kind: np.ndarray, form: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def _slots(words: list[bytes], kind: np.ndarray, at: int, width: int) -> list[str]:
-    """``place in the window:value`` of the placeholders."""
-    return [
-        f"{i}:{words[at + i].decode('utf-8', 'replace').strip(_SIGNS).lower()}" for i in range(width) if kind[at + i] != _PLAIN
-    ]
+    """Values of the placeholders, from left to right: windows of equal hash have them at equal places."""
+    return [words[at + i].decode("utf-8", "replace").strip(_SIGNS).lower() for i in range(width) if kind[at + i] != _PLAIN]
 
 
 def _rows(df: DataFrame, keys: list[str], text: str, widths: list[int] | None, bitmap: bytes | None) -> DataFrame:
@@ -170,40 +171,73 @@ def _bitmap(codes: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def item_classes(benchmark: DataFrame, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per item: its windows (at, code, numbers of the slots' values), the values in order of first use, and ``form``.
+
+    Items of one ``form`` have one template, and their values come up again at the same places: they are searched
+    for as one.  An item is a row as long as its text.
+    """
+    items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
+    window = F.struct("at", "code", "width", "slots")
+    whole = _rows(items, ["item"], "text", None, None).groupBy("item", "total").agg(F.array_sort(F.collect_set(window)).alias("whole"))
+    valued = whole.withColumn("values", F.array_distinct(F.flatten(F.transform("whole", lambda w: w["slots"]))))
+
+    def numbered(w: Column) -> Column:
+        ids = F.transform(w["slots"], lambda v: F.array_position("values", v).cast("int"))
+        return F.struct(w["at"].alias("at"), w["code"].alias("code"), w["width"].alias("width"), ids.alias("ids"))
+
+    known = valued.withColumn("windows", F.transform("whole", numbered)).drop("whole")
+    form = F.struct(F.xxhash64("windows").alias("x"), F.xxhash64(F.lit(1), "windows").alias("y"))
+    return known.withColumn("form", form)
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
     item_text: str = "text", coverage: float = COVERAGE, consistent: float = CONSISTENT,
 ) -> DataFrame:
-    """(key, text_hash, item, n_windows, matched, coverage, same_values) of every document and item that leaks."""
-    items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
-    asked = stored(_rows(items, ["item"], "text", None, None))
-    widths = sorted(r["width"] for r in asked.select("width").distinct().collect())  # LEAST_TOKENS to WINDOW
+    """(key, text_hash, item, n_items, n_windows, matched, coverage, same_values) of every document and form that leaks.
+
+    ``item`` is the least item of the form, ``n_items`` their number (``item_classes`` lists them); ``same_values``
+    tells that the document has the values of one of them.
+    """
+    known = stored(item_classes(benchmark, item, item_text))
+    least = F.min(F.struct("item", "values", "windows", "total"))
+    heads = known.groupBy("form").agg(least.alias("h"), F.count("*").alias("n_items"))
+    ask = heads.select("form", "n_items", "h.item", "h.total", "h.values", F.inline("h.windows"))
+    ask = stored(ask.withColumnRenamed("at", "item_at"))
+    widths = sorted(r["width"] for r in ask.select("width").distinct().collect())  # LEAST_TOKENS to WINDOW
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    hits = _rows(source, ["key", "th"], "text", widths, _bitmap(asked)).drop("total", "width")
-    ask = asked.select("item", "total", F.col("at").alias("item_at"), "code", F.col("slots").alias("item_slots"))
+    hits = _rows(source, ["key", "th"], "text", widths, _bitmap(ask)).drop("total", "width")
+    asked = F.transform("ids", lambda i: F.struct(i.alias("id"), F.get("values", i - 1).alias("asked")))
     # one row per place of an alignment, also for repeated rows
     met = hits.join(ask, "code").select(
-        "key", "th", "item", "total", "item_at", (F.col("at") - F.col("item_at")).alias("shift"),
-        F.zip_with(
-            "item_slots", "slots",
-            lambda a, b: F.struct(F.substring_index(a, ":", -1).alias("asked"), F.substring_index(b, ":", -1).alias("found")),
-        ).alias("slots"),
+        "key", "th", "form", "item", "n_items", "total", F.size("values").alias("n_values"), "item_at",
+        (F.col("at") - F.col("item_at")).alias("shift"),
+        F.zip_with(asked, "slots", lambda a, b: F.struct(a["id"], a["asked"], b.alias("found"))).alias("slots"),
     )
-    aligned = met.groupBy("key", "th", "item", "total", "shift").agg(
-        F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    pair = ["key", "th", "form", "item", "n_items", "total", "n_values"]
+    aligned = met.groupBy(*pair, "shift").agg(
+        F.collect_set("item_at").alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("slots")))).alias("slots")
     )
-    values = F.size("slots")
-    agree = F.when(values == 0, 1.0).otherwise(F.size(F.array_distinct(F.transform("slots", lambda s: s["asked"]))) / values)
-    fits = aligned.where(agree >= consistent).withColumn(
-        "changed", F.exists("slots", lambda s: ~s["asked"].eqNullSafe(s["found"]))
+    size = F.size("slots")
+    agree = F.when(size == 0, 1.0).otherwise(F.size(F.array_distinct(F.transform("slots", lambda s: s["id"]))) / size)
+    found = F.xxhash64(F.transform("slots", lambda s: s["found"]))
+    fits = aligned.where(agree >= consistent).withColumns(
+        {
+            "changed": F.exists("slots", lambda s: ~s["asked"].eqNullSafe(s["found"])),
+            "found": F.when(size == F.col("n_values"), found),  # every value has one counterpart
+        }
     )
-    places = fits.select("key", "th", "item", "total", "changed", F.explode("places").alias("place"))
-    once = places.groupBy("key", "th", "item", "total", "place").agg(F.min("changed").alias("changed"))
-    told = once.groupBy("key", "th", "item", "total").agg(F.count("*").alias("matched"), F.max("changed").alias("changed"))
+    places = fits.select(*pair, "changed", "found", F.explode("places").alias("place"))
+    once = places.groupBy(*pair, "place").agg(F.min("changed").alias("changed"), F.max("found").alias("found"))
+    told = once.groupBy(*pair).agg(F.count("*").alias("matched"), F.max("changed").alias("changed"), F.max("found").alias("found"))
     share = F.col("matched") / F.col("total")
-    return told.where(share >= coverage).select(
-        F.col("key").alias(key), F.col("th").alias("text_hash"), F.col("item").alias(item),
-        F.col("total").cast("long").alias("n_windows"), "matched", share.alias("coverage"), (~F.col("changed")).alias("same_values"),
+    members = known.select(F.col("form").alias("_form"), F.xxhash64("values").alias("_values")).distinct()
+    some = (F.col("form") == F.col("_form")) & (F.col("found") == F.col("_values"))
+    return told.where(share >= coverage).join(members, some, "left").select(
+        F.col("key").alias(key), F.col("th").alias("text_hash"), F.col("item").alias(item), "n_items",
+        F.col("total").cast("long").alias("n_windows"), "matched", share.alias("coverage"),
+        (~F.col("changed") | F.col("_form").isNotNull()).alias("same_values"),
     )
 
 
