@@ -3,7 +3,9 @@
 DataFrame functions and Spark ML only.  URLs that a rule fits take the rule's verdict and are the
 labelled rows the trees learn from (a bounded sample, taken by a hash of the URL): length, depth,
 shares of digits, entropy of the characters, parameters, and how often a host's endings are blocked.
-The trees judge what no rule fits.
+The trees judge what no rule fits.  A labelled row sees how often its endings are blocked in the other
+folds of hosts only, so no row is taught by its own label; ``held_out`` tells how well hosts are judged
+that the trees have not seen.
 
 Defined cases: a null URL and one without ``://`` has an empty host and path, fits no rule, and is
 judged by the trees like any other; with labels of one kind only, that kind is the verdict;
@@ -16,6 +18,7 @@ from __future__ import annotations
 import string
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -31,6 +34,8 @@ FEATURES = (
     "entropy", "parameters", "fragment", "ending_rate", "domain_rate",
 )
 _HASH_RANGE = 2**30
+# Folds of hosts, and rows of the mean that a rate begins with.
+FOLDS, PRIOR = 5, 10
 
 
 @dataclass(frozen=True)
@@ -115,6 +120,54 @@ def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+
+
+def _with_rates(df: DataFrame, labelled: DataFrame, mean: float, own_fold_out: bool) -> DataFrame:
+    """``df`` with the rates of its hosts' endings among the labelled rows (a bounded sample: so are these tables)."""
+    for name, labels in (("ending_rate", 1), ("domain_rate", 2)):
+        sums = (F.sum("label").alias("_s"), F.count("*").alias("_n"))
+        ending = _ending(F.col("host"), labels)
+        whole = labelled.groupBy(ending.alias("_end")).agg(*sums)
+        df = df.withColumn("_end", ending).join(F.broadcast(whole), "_end", "left")
+        s, n = F.coalesce("_s", F.lit(0.0)), F.coalesce("_n", F.lit(0))
+        if own_fold_out:
+            parts = labelled.groupBy(ending.alias("_end"), _fold().alias("_fold")).agg(*sums).toDF("_end", "_fold", "_fs", "_fn")
+            df = df.withColumn("_fold", _fold()).join(F.broadcast(parts), ["_end", "_fold"], "left")
+            s, n = s - F.coalesce("_fs", F.lit(0.0)), n - F.coalesce("_fn", F.lit(0))
+        df = df.withColumn(name, (s + PRIOR * mean) / (n + PRIOR)).drop("_end", "_s", "_n", "_fold", "_fs", "_fn")
+    return df
+
+
+def _grown(sample: DataFrame, mean: float, trees: int, depth: int) -> PipelineModel:
+    """Trees fitted on the labelled rows."""
+    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="_x")
+    grower = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=trees, maxDepth=depth, seed=11, subsamplingRate=1.0)
+    return Pipeline(stages=[vector, grower]).fit(_with_rates(sample, sample, mean, True).select("label", *FEATURES))
+
+
+def _sample(known: DataFrame, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` labelled rows, give or take: by a hash of the URL."""
+    labelled = known.where(F.col("_rule").isNotNull())
+    wanted = F.lit(int(_HASH_RANGE * min(1.0, max_rows / max(1, labelled.count()))))
+    sample = labelled.where(F.pmod(F.xxhash64("_url"), F.lit(_HASH_RANGE)) < wanted).limit(2 * max_rows)
+    label = (F.col("_rule.verdict") == "block").cast("double").alias("label")
+    return stored(sample.select("host", label, *[f for f in FEATURES if not f.endswith("_rate")]))
+
+
+def held_out(
+    pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, max_rows: int = MAX_ROWS, trees: int = 20, depth: int = 4
+) -> DataFrame:
+    """(label, verdict, rows) of the labelled hosts of one fold, judged by trees that learnt from the others."""
+    known = lexical(pages.select(F.col(url).alias("_url")), "_url").withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
+    sample = _sample(known, max_rows)
+    seen, rest = sample.where(_fold() != 0), sample.where(_fold() == 0)
+    mean = seen.agg(F.avg("label")).first()[0] or 0.0
+    judged = _grown(seen, mean, trees, depth).transform(_with_rates(rest, seen, mean, False))
+    return judged.groupBy("label", F.col("prediction").alias("verdict")).agg(F.count("*").alias("rows"))
+
+
 def judge_urls(
     pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, max_rows: int = MAX_ROWS,
     trees: int = 20, depth: int = 4,
@@ -125,30 +178,13 @@ def judge_urls(
     # the caller's columns travel under numbers: none clashes with a feature
     numbered = pages.select(F.col(url).alias("_url"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(rest)])
     known = lexical(numbered, "_url").withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
-    labelled = known.where(F.col("_rule").isNotNull())
-    wanted = F.lit(int(_HASH_RANGE * min(1.0, max_rows / max(1, labelled.count()))))
-    sample = labelled.where(F.pmod(F.xxhash64("_url"), F.lit(_HASH_RANGE)) < wanted).limit(2 * max_rows)
-    label = (F.col("_rule.verdict") == "block").cast("double").alias("label")
-    plain = [f for f in FEATURES if not f.endswith("_rate")]
-    sample = stored(sample.select("host", label, *plain))
+    sample = _sample(known, max_rows)
     kinds = sample.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
     n, blocked = kinds["n"], kinds["blocked"] or 0.0
     judged = known
     if 0 < blocked < n:
         mean = blocked / n
-
-        def with_rates(df: DataFrame) -> DataFrame:
-            for name, labels in (("ending_rate", 1), ("domain_rate", 2)):
-                rates = sample.groupBy(_ending(F.col("host"), labels).alias("_end")).agg(
-                    ((F.sum("label") + 10 * mean) / (F.count("*") + 10)).alias(name)
-                )  # at most as many rows as the bounded sample
-                df = df.withColumn("_end", _ending(F.col("host"), labels)).join(F.broadcast(rates), "_end", "left").drop("_end")
-            return df.fillna(mean, ["ending_rate", "domain_rate"])
-
-        vector = VectorAssembler(inputCols=list(FEATURES), outputCol="_x")
-        grower = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=trees, maxDepth=depth, seed=11, subsamplingRate=1.0)
-        model = grower.fit(vector.transform(with_rates(sample)).select("_x", "label"))
-        judged = model.transform(vector.transform(with_rates(known)))
+        judged = _grown(sample, mean, trees, depth).transform(_with_rates(known, sample, mean, False))
         score = vector_to_array(F.col("probability"))[1]
     else:
         score = F.lit(float(n > 0 and blocked == n))
