@@ -103,6 +103,23 @@ def test_url_rules_and_trees(spark):
     assert sum((r["score"] >= 0.5) == (r["verdict"] == "block") for r in known) > 0.8 * len(known)
 
 
+def test_url_trees_on_hosts_they_have_not_seen(spark):
+    counts = {(r["label"], r["verdict"]): r["rows"] for r in urls.held_out(queries.table(spark, "/root/testdata/sf0.1", "pages")).collect()}
+    right, total = sum(n for (label, verdict), n in counts.items() if label == verdict), sum(counts.values())
+    print("held-out hosts", counts)
+    assert total > 0 and right >= 0.6 * total
+
+
+def test_url_rates_leave_out_the_own_fold(spark):
+    rows = [("a.net", 1.0), ("b.net", 1.0), ("c.net", 0.0), ("a.net", 0.0), ("d.org", 1.0)]
+    df = spark.createDataFrame(rows, "host string, label double").withColumn("fold", urls._fold())
+    got = urls._with_rates(df, df.select("host", "label"), 0.6, True).collect()
+    plain = df.collect()
+    for r in got:
+        others = [o["label"] for o in plain if o["fold"] != r["fold"] and o["host"].split(".")[-1] == r["host"].split(".")[-1]]
+        assert r["ending_rate"] == pytest.approx((sum(others) + 6.0) / (len(others) + 10))
+
+
 def test_url_defined_cases(spark):
     made = [
         (1, None), (2, ""), (3, "no scheme.com/"), (4, "HTTP://WWW.Example.COM/en/x?q=1#f"), (5, "x://example.com/en/"), (6, "x://net/es/"),
@@ -138,7 +155,7 @@ def test_pipeline_equals_plain_python(spark):
         return not plain_counts(text)[-1] and all(plain_cover(text, n) <= limit for n, limit in repetition.LIMITS.items())
 
     texts = {i: r["text"] for i, r in rows.items() if passes(r["text"])}
-    texts = {i: texts[i] for i, (_, c) in plain_components(texts).items() if i == c}
+    texts = {i: texts[i] for i, (_, c) in plain_components(texts, corpus_pipeline.NEAR_PERCENT).items() if i == c}
     texts = {i: t for i, t in texts.items() if not any(item in t for item in items)}
     for i, t in texts.items():
         for start, _, _, end in sorted(plain_spans(t), reverse=True):

@@ -119,6 +119,12 @@ def test_repetition_rejects_what_the_base_rule_passes():
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
+def plain_allowed(run):
+    parts = [p for p in re.split(secrets.SIGNS, run) if p]
+    letters = run[0].isalpha() and all(re.match(secrets.LETTERS, p) for p in parts)
+    return re.match(secrets.ALLOWED, run) or letters or all(re.match(secrets.WORD, p) for p in parts)
+
+
 def plain_spans(text):
     text = text or ""
     found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -127,7 +133,7 @@ def plain_spans(text):
     for kind in secrets.CLASSES:
         limit = kind.largest_sum()
         for m in re.finditer(f"[{kind.signs}]{{{kind.window},}}", text):
-            if not re.search("[0-9]", m[0]) or re.match(secrets.ALLOWED, m[0]):
+            if not re.search("[0-9]", m[0]) or plain_allowed(m[0]):
                 continue
             high = []
             for i in range(len(m[0]) - kind.window + 1):
@@ -150,6 +156,8 @@ SECRETS = [
     "550e8400-e29b-41d4-a716-446655440000 1234567890123456789012345 internationalization-of-everything-in-2024",
     "z" * 30 + "1" + "A1b2C3d4E5f6G7h8I9j0KlMnOpQrStUvWxYz" * 80,
     "0123456789abcdef0123456789abcdef " * 300,
+    "Go/2024/-Ab1-QwErTy12-", "QwErTy-ZxCvBn-12-AsDfGh", "-QwErTy-ZxCvBn-12-AsDfGh9", "a-" * 30_000 + "a1", "key=" * 40 + "k9Xw2LqZ7TbR4mVn8PcD",
+    *["/".join(f"part{i % 10}" for i in range(n)) for n in range(60, 64)], "/".join(f"part{i % 10}" for i in range(200)),
 ]
 
 
@@ -189,6 +197,18 @@ def test_random_keys_of_every_alphabet_are_found_and_plain_runs_are_not(spark):
         assert share >= list(KEYS.values())[k], (k, size, share)
 
 
+def test_secrets_of_very_long_runs_and_many_keys(spark):
+    draw = np.random.default_rng(3)
+    keys = ["".join(k) for k in draw.choice(list("0123456789abcdef"), (50_000, 32))]
+    rows = [(1, "a-" * 100_000 + "a1"), (2, " ".join(keys)), (3, "é" + "x" * 9000 + f" token={keys[0]} " + "é" * 9000 + f" {keys[1]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["n"] for r in secrets.secret_spans(df).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert found == {1: 0, 2: 50_000, 3: 3}
+    masked = {r["doc_id"]: r["text"] for r in secrets.without_secrets(df).collect()}
+    assert masked[1] == rows[0][1] and masked[2] == " ".join(["[SECRET]"] * 50_000)
+    assert masked[3] == "é" + "x" * 9000 + " [SECRET] " + "é" * 9000 + " [SECRET]"
+
+
 def test_secret_masks_and_defined_cases(spark, odd, empty):
     masked = {r["doc_id"]: r["text"] for r in secrets.without_secrets(odd.where("doc_id <> 6")).collect()}
     assert masked[7].endswith("\U0001f600 [SECRET]\"") and masked[2] is None and masked[3] == "" and masked[5] == LONG
@@ -351,7 +371,7 @@ def plain_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def plain_components(texts):
+def plain_components(texts, percent=85):
     """Component of every id: each pair of different sets that share a shingle is compared."""
     parent = {i: i for i in texts}
 
@@ -374,7 +394,7 @@ def plain_components(texts):
         for g in sets[i]:
             shared.update(j for j in holders[g] if j < i)
         for j, k in shared.items():
-            if 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k):
+            if 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
                 parent[root(i)] = root(j)
     least = {}
     for i in texts:
@@ -498,6 +518,77 @@ def test_leaks_of_the_documents(spark, docs, texts):
 ITEM = "Yesterday the farmer Tom sold 12 crates of apples at 3 dollars each and Tom kept 4 crates. How many did he sell?"
 
 
+def plain_leaks(docs, items):
+    """(doc, item, windows, matched, same values) by loops over all windows of every pair of texts."""
+    out = set()
+    for d, text in docs:
+        words, kind, form = templates.tokens(text.encode())
+        for i, item in items:
+            asked, asked_kind, asked_form = templates.tokens(item.encode())
+            if len(asked) < templates.LEAST_TOKENS:
+                continue
+            width = min(templates.WINDOW, len(asked))
+            least = min(templates.LEAST_PLAIN, (width + 1) // 2)
+            good = [a for a in range(len(asked) - width + 1) if (asked_kind[a : a + width] == templates._PLAIN).sum() >= least]
+            values = []
+            for a in good:
+                values += [v for v in templates._slots(asked, asked_kind, a, width) if v not in values]
+            shifts = defaultdict(list)
+            for a in good:
+                for b in range(len(words) - width + 1):
+                    if (form[b : b + width] == asked_form[a : a + width]).all():
+                        shifts[b - a].append(a)
+            matched, full = {}, False
+            for shift, places in shifts.items():
+                pairs = set()
+                for a in places:
+                    pairs |= set(zip(templates._slots(asked, asked_kind, a, width), templates._slots(words, kind, a + shift, width)))
+                if pairs and len({x for x, _ in pairs}) / len(pairs) < templates.CONSISTENT:
+                    continue
+                for a in places:
+                    matched[a] = min(matched.get(a, True), any(x != y for x, y in pairs))
+            if good and len(matched) / len(good) >= templates.COVERAGE:
+                out.add((d, i, len(good), len(matched), not any(matched.values())))
+    return out
+
+
+CLOCK = "The train leaves the old station at {} and reaches the small town on the coast at {} every day of the week."
+
+
+def test_leaks_equal_plain_alignments(spark):
+    draw = np.random.default_rng(4)
+    base = [ITEM, CLOCK.format("10:30", "12:45"), "five small words stand here", "Lena has 3 red balls and Lena has 5 blue balls, so how many balls are there in the box of Lena?"]
+    items = list(enumerate(base))
+    texts = [
+        CLOCK.format("11:30", "14:45"), CLOCK.format("10:30", "12:45"), CLOCK.format("10:30", "12:45") + " " + CLOCK.format("9:15", "9:15"),
+        base[3].replace("Lena", "Otto"), base[3].replace("and Lena", "and Otto"), "we saw five small words stand here again", "no match at all in this text here",
+    ]
+    for _ in range(40):
+        words = " ".join(draw.choice(base, 2)).split()
+        for _ in range(draw.integers(0, 6)):
+            words[draw.integers(0, len(words))] = str(draw.choice(["and", "7", "Bob", "12:45", "word"]))
+        cut = draw.integers(0, 8, 2)
+        texts.append(" ".join(words[cut[0] : len(words) - cut[1]]))
+    docs = list(enumerate(texts))
+    found = templates.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    got = {(r["doc_id"], r["item_id"], r["n_windows"], r["matched"], r["same_values"]) for r in found}
+    assert len(found) == len(got) and got == plain_leaks(docs, items)
+    assert {(r["doc_id"], r["same_values"]) for r in found if r["item_id"] == 1} >= {(0, False), (1, True)}
+
+
+def test_leaks_of_many_items_of_one_template(spark):
+    """Items that differ in values are one row of a document; it has the values of one of them, or of none."""
+    item = "On day {} the shop of the old harbour sold {} boxes of fresh fish to the people of the town."
+    items = spark.createDataFrame([(i, item.format(i, 2 * i)) for i in range(1, 301)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "Read this. " + item.format(i, 2 * i + i % 2)) for i in range(1, 301)], "doc_id long, text string")
+    rows = templates.leaks(docs, items).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(1, 301)) and {(r["item_id"], r["n_items"]) for r in rows} == {(1, 300)}
+    assert {r["doc_id"] for r in rows if r["same_values"]} == {i for i in range(2, 301, 2)}
+    assert templates.item_classes(items).select("form").distinct().count() == 1
+
+
 def test_leaks_catch_new_values_and_keep_other_texts(spark, odd, empty):
     changed = ITEM.replace("Tom", "Anna").replace("12", "57").replace("4 crates", "9 crates")
     mixed = ITEM.replace("farmer Tom", "farmer Anna").replace("and Tom", "and Bert")
