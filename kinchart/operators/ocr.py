@@ -24,34 +24,66 @@ def ocr_words(results: DataFrame) -> DataFrame:
 BODY = ["text", "x_min", "y_min", "x_max", "y_max", "confidence"]
 
 
-def _matched_islands(words: DataFrame, threshold: float, width: float) -> DataFrame:
-    """Islands of overlapping boxes of a page: both engines' words as arrays, and in ``m`` the word each second one takes.
+#: Boxes of a page up to which it is matched as one row.
+PAGE = 4096
+PAGE_KEY = ["doc_id", "page"]
+ENGINES = {"has_first": FIRST, "has_second": SECOND}
+
+
+def _matched_sides(grouped, threshold: float, *flags: Column, kept: Column | None = None) -> DataFrame:
+    """Both engines' words of every group as arrays, and in ``m`` the word each second one takes.
 
     Each word of the second engine, in order, takes the free word of the first engine with the
-    largest IoU of at least the threshold.  Boxes matter to each other only where they overlap, so
-    the pass runs per island: overlapping rows of the page first, overlapping columns inside them.
+    largest IoU of at least the threshold.
     """
-    page = ["doc_id", "page"]
-    boxes = words.select(*page, "engine", F.col("word_no").cast("bigint").alias("ord"), *BODY)
-    engines = {"has_first": F.col("engine") == FIRST, "has_second": F.col("engine") == SECOND}
-    rows = with_islands(boxes, page, "y_min", "y_max", width, "band", engines)
-    cells = with_islands(rows, [*page, "band"], "x_min", "x_max", width, "island")
     item = F.struct("ord", *BODY)
-    sides = cells.groupBy(*page, "band", "island").agg(
-        F.first("has_first").alias("has_first"),
-        F.first("has_second").alias("has_second"),
-        F.array_sort(F.collect_list(F.when(F.col("engine") == SECOND, item))).alias("second"),
-        F.array_sort(F.collect_list(F.when(F.col("engine") == FIRST, item))).alias("first"),
-    )
+
+    def side(engine: str) -> Column:
+        own = F.col("engine") == engine
+        return F.array_sort(F.collect_list(F.when(own if kept is None else own & kept, item)))
+
+    sides = grouped.agg(*flags, side(SECOND).alias("second"), side(FIRST).alias("first"))
     return sides.withColumn("m", matched_boxes(F.col("second"), F.col("first"), threshold))
 
 
+def _matched_islands(boxes: DataFrame, threshold: float, width: float) -> DataFrame:
+    """Words of a page matched island by island; ``boxes`` has the flags of its page.
+
+    Boxes matter to each other only where they overlap, so the pass runs per island: overlapping rows of the
+    page first, overlapping columns inside them.
+    """
+    rows = with_islands(boxes, PAGE_KEY, "y_min", "y_max", width, "band")
+    cells = with_islands(rows, [*PAGE_KEY, "band"], "x_min", "x_max", width, "island")
+    flags = [F.first(n).alias(n) for n in ENGINES]
+    return _matched_sides(cells.groupBy(*PAGE_KEY, "band", "island"), threshold, *flags).drop("band", "island")
+
+
+def _matched_pages(words: DataFrame, threshold: float, width: float, most: int = PAGE) -> DataFrame:
+    """Words of every page matched, as arrays: a page of up to ``most`` boxes is one row, of a larger one each island.
+
+    Boxes of two islands do not overlap, so a threshold above 0 gives both ways the same matches.  Words without
+    a document, a page or a left or upper side are left out, but tell that their engine found words on the page.
+    """
+    boxes = words.select(*PAGE_KEY, "engine", F.col("word_no").cast("bigint").alias("ord"), *BODY)
+    boxes = boxes.filter(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
+    placed = F.col("x_min").isNotNull() & F.col("y_min").isNotNull()
+    flags = [F.max(F.col("engine") == engine).alias(n) for n, engine in ENGINES.items()]
+    # a side that is no number has no place among the others
+    odd = F.isnan("x_min") | F.isnan("y_min") | F.isnan("x_max") | F.isnan("y_max")
+    large = boxes.groupBy(*PAGE_KEY).agg(F.count("*").alias("_n"), F.max(odd).alias("_odd"), *flags)
+    large = large.filter((F.col("_n") > (most if threshold > 0 else 0)) | F.col("_odd")).drop("_n", "_odd")
+    small = boxes.join(large.select(*PAGE_KEY), PAGE_KEY, "left_anti").groupBy(*PAGE_KEY)
+    pages = _matched_sides(small, threshold, *flags, kept=placed)
+    islands = _matched_islands(boxes.filter(placed).join(large, PAGE_KEY), threshold, width)
+    return pages.unionByName(islands)
+
+
 def bbox_iou_join(words: DataFrame, threshold: float = 0.3, width: float = 2000.0) -> DataFrame:
     """Matched words (doc_id, page, second_no, first_no, iou)."""
     pair = F.zip_with("second", "m.partner", lambda s, p: F.struct(s["ord"].alias("second_no"), F.get("first", p)["ord"].alias("first_no")))
     told = F.zip_with(pair, "m.affinity", lambda p, v: F.struct(p["second_no"], p["first_no"], v.alias("iou")))
-    islands = _matched_islands(words, threshold, width)
-    return islands.select("doc_id", "page", F.inline(F.filter(told, lambda p: p["first_no"].isNotNull())))
+    pages = _matched_pages(words, threshold, width)
+    return pages.select("doc_id", "page", F.inline(F.filter(told, lambda p: p["first_no"].isNotNull())))
 
 
 def merge_ocr_words(words: DataFrame, threshold: float = 0.3, width: float = 2000.0) -> DataFrame:
@@ -59,10 +91,8 @@ def merge_ocr_words(words: DataFrame, threshold: float = 0.3, width: float = 200
     words of the second engine at 0.85 of their confidence, unmatched words of the first as they are.
     Where only one engine found words on a page they are kept untouched.
 
-    The merge happens inside the islands, which hold both words of every match already.
+    The merge happens inside the pages, or islands, which hold both words of every match already.
     """
-    page = ["doc_id", "page"]
-
     def word(w: Column, engine: str, matched: bool) -> Column:
         return F.struct(
             w["ord"].alias("word_no"),
@@ -85,8 +115,8 @@ def merge_ocr_words(words: DataFrame, threshold: float = 0.3, width: float = 200
     lone = both & ~F.col("matched")
     lowered = lone & (F.col("engine") == SECOND)
     return (
-        _matched_islands(words, threshold, width)
-        .select(*page, "has_first", "has_second", F.inline_outer(merged))
+        _matched_pages(words, threshold, width)
+        .select(*PAGE_KEY, "has_first", "has_second", F.inline_outer(merged))
         .withColumn("confidence", F.when(lowered, F.col("confidence") * 0.85).otherwise(F.col("confidence")))
         .withColumn("engine", F.when(lone, F.concat("engine", F.lit("_unmatched"))).otherwise(F.col("engine")))
         .drop("has_first", "has_second", "matched")
