@@ -41,8 +41,13 @@ def prediction_derived(predictions: DataFrame) -> DataFrame:
 
 
 def top_predictions(predictions: DataFrame, n: int = 3) -> DataFrame:
+    """The likeliest ``n`` active predictions of every user.
+
+    The rows are dealt out before they are sorted for the first cut: one split of a small wide source may hold them
+    all, and a task would sort them all.
+    """
     order = [F.desc("probability"), F.asc("id")]
-    return top_per_key(active_predictions(predictions), ["user_id"], order, n)
+    return top_per_key(active_predictions(predictions).repartition("user_id", "id"), ["user_id"], order, n)
 
 
 def ranked_predictions(predictions: DataFrame) -> DataFrame:
@@ -129,7 +134,12 @@ def watchlist(predictions: DataFrame, n: int = 5) -> DataFrame:
     advice = dims.lookup(dims.rows("WATCHLIST_ACTIONS", 2))
     low = dict(dims.rows("WATCHLIST_ACTIONS", 2))["low"]
     family = F.filter(F.coalesce("contributing_factors", F.slice("contributing_factors", 1, 0)), lambda f: f["source"] == "family")
-    return top_predictions(predictions, n).select(
+    # only what is shown is dealt out and sorted, not all factors
+    shown = predictions.select(
+        "user_id", "id", "disease_name", "icd10_code", "probability", "risk_level", "is_active",
+        F.slice(F.transform(family, lambda f: f["factor"]), 1, 3).alias("family_members_affected"),
+    )
+    return top_predictions(shown, n).select(
         "user_id",
         "rank",
         "disease_name",
@@ -138,7 +148,7 @@ def watchlist(predictions: DataFrame, n: int = 5) -> DataFrame:
         F.round(F.col("probability").cast("decimal(12,6)") * 100, 1).cast("double").alias("probability_pct"),
         "risk_level",
         F.coalesce(F.try_element_at(advice, F.col("risk_level")), F.lit(low)).alias("recommended_action"),
-        F.slice(F.transform(family, lambda f: f["factor"]), 1, 3).alias("family_members_affected"),
+        "family_members_affected",
     )
 
 
