@@ -6,8 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from kinchart.functions import dates as D
 from kinchart.functions import spans as SP
 from kinchart.operators import extract as X
+from kinchart.operators import normalize as N
 from kinchart.sources import dimensions as dims
 from kinchart.sources import fixed_values as fixed
 
@@ -80,3 +82,22 @@ def test_runs_of_letters_with_and_without_a_hospital(spark):
     got = docs.select("want", F.transform(SP.hospital_spans(F.col("t"), dims.words(fixed.HOSPITAL_WORDS)), lambda s: s["text"]).alias("g"))
     for r in got.collect():
         assert r["g"] == r["want"], r
+
+
+def test_a_follow_up_phrase_is_looked_for_once(spark):
+    rows = [("Review after 5 weeks", "2001-09-06"), ("F/U: 05.11.24 x", "2024-11-05"), ("review on 31/02/2024", None), ("revıew after 2 days", "2001-08-04"),
+            ("é follow up in 3 months", "2001-11-02"), ("come  back @1 day, review 2 days", "2001-08-03"), ("well", None), (None, None)]
+    docs = spark.createDataFrame(rows, "t string, want string")
+    got = docs.select("want", D.follow_up_date(F.col("t"), "2001-08-02").cast("string").alias("d"))
+    assert [r["d"] for r in got.collect()] == [want for _, want in rows]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(t#") == 2
+
+
+def test_the_next_dose_is_looked_for_once(spark):
+    docs = spark.createDataFrame([(1, "Tab metformin 500 mg BD for 7 days")], "doc_id int, text string")
+    made = X.structured_prescription(X.extract_documents(docs), "2001-08-02").select("medications")
+    assert [tuple(m)[4:7] for m in made.first()["medications"]] == [("500 mg", "Twice daily", "for 7 days")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("\n", 1)[0].count("LOG2") == 3
+    assert len(N.medicine_facts()) > 100 and set(X.normal_drugs()) <= set(X.DRUG_NAMES)
